@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .licences import licences_sql, scan_licences
+from .line_dedup import line_digest
 from .pii import pii_digest, pii_sql
 
 
@@ -14,9 +16,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii}
+    return {"op4_pii": op4_pii, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii_sql()}
+    return {"op4_pii": pii_sql(), "op8_licences": licences_sql()}
