@@ -10,12 +10,22 @@ from .common import table
 from .licences import licences_sql, scan_licences
 from .line_dedup import line_digest
 from .pii import pii_digest, pii_sql
+from .quality_rules import quality_rules
+from .simhash import simhash_digest
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
@@ -25,7 +35,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op4_pii": op4_pii, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
