@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contaminated
 from .licences import licences_sql, scan_licences
 from .line_dedup import line_digest
 from .pii import pii_digest, pii_sql
 from .quality_rules import quality_rules
+from .sentencepiece_lattice import encode_digest
 from .simhash import simhash_digest
+from .token_counts import token_counts
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
@@ -35,7 +50,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op4_pii": op4_pii, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
