@@ -15,6 +15,11 @@ from .quality_rules import quality_rules
 from .sentencepiece_lattice import encode_digest
 from .simhash import simhash_digest
 from .token_counts import token_counts
+from .warc import round_trip, warc_sql
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +55,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op2_warc": op2_warc, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii_sql(), "op8_licences": licences_sql()}
+    return {"op2_warc": warc_sql(), "op4_pii": pii_sql(), "op8_licences": licences_sql()}
