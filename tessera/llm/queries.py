@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .licences import licences_sql, scan_licences
 from .line_dedup import line_digest
 from .pii import pii_digest, pii_sql
+from .pu_quality import classify
 from .quality_rules import quality_rules
 from .sentencepiece_lattice import encode_digest
 from .simhash import simhash_digest
@@ -42,6 +43,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +60,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op2_warc": op2_warc, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op2_warc": op2_warc, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op6_quality_classifier": op6_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
