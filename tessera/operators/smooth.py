@@ -68,12 +68,12 @@ def gaussian_reflect(df: DataFrame, keys: Sequence[str], order: str, value: str,
     r = len(weights) // 2
     w = Window.partitionBy(*keys)
     d = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    taps = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("k")) for j, k in zip(range(-r, r + 1), weights)]))
-    at = d.select(*keys, "_i", "_n", taps.alias("t"))
-    m = F.pmod(F.col("_i") + F.col("t.j"), 2 * F.col("_n"))
-    at = at.select(*keys, "_i", "t.k", F.when(m < F.col("_n"), m).otherwise(2 * F.col("_n") - 1 - m).alias("_s"))
+    taps = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(k).alias("_w")) for j, k in zip(range(-r, r + 1), weights)]))
+    at = d.select(*keys, "_i", "_n", taps.alias("_t"))
+    m = F.pmod(F.col("_i") + F.col("_t._j"), 2 * F.col("_n"))
+    at = at.select(*keys, "_i", "_t._w", F.when(m < F.col("_n"), m).otherwise(2 * F.col("_n") - 1 - m).alias("_s"))
     src = d.select(*keys, F.col("_i").alias("_s"), F.col(value).alias("_v"))
-    total = at.join(src, [*keys, "_s"]).groupBy(*keys, "_i").agg(F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("k") * F.col("_v"))).alias(out))
+    total = at.join(src, [*keys, "_s"]).groupBy(*keys, "_i").agg(F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("_w") * F.col("_v"))).alias(out))
     return d.join(total, [*keys, "_i"]).drop("_i", "_n")
 
 
