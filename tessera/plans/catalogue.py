@@ -451,7 +451,7 @@ def depth_percentile_profile(spark, sf):
 
 
 @query(f"""WITH {TRACE_SQL}, a AS (SELECT roi, z, quantile_cont(f, 0.5) AS x FROM tr GROUP BY ALL), b AS (SELECT roi, z, avg(fneu) AS y FROM tr GROUP BY ALL)
-    SELECT roi, round(CASE WHEN count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) >= 3 THEN covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) END, 6) AS r FROM a JOIN b USING (roi, z) GROUP BY roi""")
+    SELECT roi, round(CASE WHEN count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) >= 3 THEN covar_pop(x, y) / nullif(stddev_pop(x) FILTER (y IS NOT NULL) * stddev_pop(y) FILTER (x IS NOT NULL), 0) END, 6) AS r FROM a JOIN b USING (roi, z) GROUP BY roi""")
 def profile_correlation(spark, sf):
     d = traces(spark, sf)
     a, b = d.groupBy("roi", "z").agg(F.percentile("f", 0.5).alias("x")), d.groupBy("roi", "z").agg(F.avg("fneu").alias("y"))
