@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import gaussian, hanning
-from ..operators import align, depth, events, image, planes, profiles, sequence, smooth, trace
+from ..functions.kernels import gaussian, hanning, savitzky_golay
+from ..operators import align, composite, depth, events, image, planes, profiles, sequence, smooth, trace
 from .bindings import PLANES, REFERENCE_SQL, TRACE_SQL, frames, planes_of_reference, read, reference_correlations, seconds, tidy
 from .bindings import trace as traces
 
@@ -575,3 +575,114 @@ def run_summary(spark, sf):
     return _manifests(spark, sf).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+# Composite analyses
+
+
+@query(f"""{_BASE_SQL}, x AS (SELECT roi, value AS a, f - (slope * (fneu - n0) + intercept) AS b FROM c LEFT JOIN r USING (roi))
+    SELECT roi, round(quantile_cont(log2(b / a), 0.05) FILTER (a > 0 AND b > 0), 6) AS ratio_low, round(quantile_cont(log2(b / a), 0.95) FILTER (a > 0 AND b > 0), 6) AS ratio_high, round(quantile_cont(b - a, 0.05), 6) AS difference_low,
+    round(quantile_cont(b - a, 0.95), 6) AS difference_high, round(CASE WHEN count(b) >= 3 THEN covar_pop(a, b) / nullif(stddev_pop(a) FILTER (b IS NOT NULL) * stddev_pop(b) FILTER (a IS NOT NULL), 0) END, 6) AS correlation,
+    round(100.0 * count(*) FILTER (a IS NOT NULL AND b IS NULL) / nullif(count(a), 0), 6) AS removed FROM (SELECT roi, a, b FROM x) GROUP BY roi""".replace("log2(b / a)", "CASE WHEN a > 0 AND b > 0 THEN log2(b / a) END"))
+def trace_difference_metrics(spark, sf):
+    return composite.trace_differences(_corrected(spark, sf), ["roi"], "value", "fc")
+
+
+@query(f"""WITH {TRACE_SQL}, {REFERENCE_SQL}, e AS (SELECT (extract(day FROM ts) - 1)::BIGINT AS frame, user_id % {PLANES} AS plane, roi, value FROM tr), b AS (SELECT frame, plane AS best_plane FROM bp WHERE ref = 0),
+    p AS (SELECT roi, plane - best_plane AS depth, quantile_cont(value, 0.5) AS v, count(value) AS n FROM e JOIN b USING (frame) GROUP BY ALL)
+    SELECT roi, depth, n, round(v, 6) AS value, round(CASE WHEN z > 0 THEN v / z END, 6) AS relative FROM (SELECT *, max(CASE WHEN depth = 0 THEN v END) OVER (PARTITION BY roi) AS z FROM p)""")
+def effective_depth_profile(spark, sf):
+    d = traces(spark, sf).select((F.day("ts") - 1).cast("long").alias("frame"), (F.col("user_id") % PLANES).alias("plane"), "roi", "value")
+    best = planes_of_reference(spark, sf).select("frame", F.col("plane").alias("best_plane"))
+    p = profiles.depth_profile(composite.effective_depth(d, best, ["frame"]), ["roi"], "depth", "value", 0.5)
+    return composite.relative_profile(p, ["roi"])
+
+
+@query(f"""WITH {TRACE_SQL}, i AS (SELECT roi, value, frame, segment, row_number() OVER (PARTITION BY roi, segment ORDER BY frame) - 1 AS i FROM tr), c AS (SELECT *, i // 16 AS cycle, i % 16 AS p FROM i),
+    w AS (SELECT *, count(*) OVER (PARTITION BY roi, segment, cycle) AS n FROM c), r AS (SELECT roi, segment, cycle, value - avg(value) OVER (PARTITION BY roi, segment, p) AS x FROM w WHERE n = 16)
+    SELECT roi, segment, cycle, round(quantile_cont(x, 0.5), 6) AS "offset" FROM r GROUP BY ALL""")
+def cycle_residual_median(spark, sf):
+    return composite.cycle_residuals(traces(spark, sf), KEYS, "frame", "value", 16)
+
+
+@query(f"WITH {TRACE_SQL}, m AS (SELECT roi, quantile_cont(f - fneu, 0.5) AS m FROM tr GROUP BY roi) SELECT round(quantile_cont(m, 0.5), 6) AS \"offset\" FROM m")
+def shared_offset(spark, sf):
+    return composite.shared_offset(traces(spark, sf), "roi", "f", "fneu")
+
+
+_ROI_SQL = "ro AS (SELECT p_partkey AS roi, list_transform(range(p_size % 7 + 1), lambda i: (p_size + i) % 48) AS ypix, list_transform(range(p_size % 7 + 1), lambda i: (p_partkey + i) % 64) AS xpix, list_transform(range(p_size % 7 + 1), lambda i: (p_partkey + i) % 3 = 0) AS overlap FROM part)"
+
+
+def _masks(spark, sf):
+    n = F.sequence(F.lit(0), F.col("p_size") % 7)
+    return read(spark, sf, "part").select(
+        F.col("p_partkey").alias("roi"), F.transform(n, lambda i: (F.col("p_size") + i) % 48).alias("ypix"), F.transform(n, lambda i: (F.col("p_partkey") + i) % 64).alias("xpix"), F.transform(n, lambda i: (F.col("p_partkey") + i) % 3 == 0).alias("overlap")
+    )
+
+
+@query(f"WITH {_ROI_SQL}, u AS (SELECT roi, unnest(ypix)::BIGINT AS y, unnest(xpix)::BIGINT AS x, unnest(overlap) AS o FROM ro) SELECT roi, y, x FROM u WHERE NOT o")
+def mask_rasterise(spark, sf):
+    return composite.rasterise(_masks(spark, sf), ["roi"])
+
+
+@query(f"WITH {_ROI_SQL} SELECT roi FROM ro WHERE list_max(ypix) >= 40 OR list_max(xpix) >= 60")
+def roi_bounds_violations(spark, sf):
+    return composite.out_of_bounds(_masks(spark, sf), ["roi"], 40, 60)
+
+
+@query("SELECT p_partkey, p_partkey // 37 AS y, p_partkey % 37 AS x FROM part")
+def unravel_index(spark, sf):
+    return composite.unravel(read(spark, sf, "part").select("p_partkey"), "p_partkey", 37)
+
+
+@query("""WITH px AS (SELECT vec_id AS frame, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), q AS (SELECT frame, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px GROUP BY frame)
+    SELECT frame, i, round((greatest(lo, least(hi, v)) - lo) / nullif(hi - lo, 0), 6) AS v FROM px JOIN q USING (frame)""")
+def image_clip_normalise(spark, sf):
+    px = image.pixels(frames(spark, sf).select("frame", "px"), "px").withColumn("v", F.col("v").cast("double"))
+    return composite.clip_normalise(px, ["frame"], "v", 0.01, 0.99)
+
+
+@query("SELECT user_id, k.kind FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES ('click'), ('error'), ('signup')) k(kind) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = k.kind AND e.value > 60)")
+def missing_bins_plan(spark, sf):
+    e = read(spark, sf, "events")
+    expected = e.select("user_id").distinct().withColumn("kind", F.explode(F.array(F.lit("click"), F.lit("error"), F.lit("signup"))))
+    return composite.missing_parts(expected, e.filter("value > 60").select("user_id", F.col("event_type").alias("kind")).distinct(), ["user_id", "kind"])
+
+
+@query("""WITH i AS (SELECT l_suppkey AS k, l_linenumber - 4 AS x, l_quantity::BIGINT - 25 AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_partkey) - 1 AS i FROM lineitem WHERE l_suppkey < 30),
+    b AS (SELECT k, i // 4096 AS b, sha256(string_agg(x || ',' || y, ';' ORDER BY i)) AS h, max(greatest(abs(x), abs(y))) AS m FROM i GROUP BY ALL) SELECT k, max(m)::BIGINT AS largest, sha256(string_agg(h, ';' ORDER BY b)) AS checksum FROM b GROUP BY k""")
+def shift_checksum(spark, sf):
+    d = read(spark, sf, "lineitem").filter("l_suppkey < 30").select(F.col("l_suppkey").alias("k"), (F.col("l_linenumber") - 4).alias("x"), (F.col("l_quantity").cast("int") - 25).alias("y"), F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").alias("at"))
+    return composite.shift_checksum(d, ["k"], "at", "x", "y")
+
+
+@query("SELECT segment, n, stop, stop - n AS start FROM (SELECT segment, n, (sum(n) OVER (ORDER BY segment))::BIGINT AS stop FROM (SELECT floor((extract(day FROM ts) - 1) / 10)::BIGINT AS segment, count(*) AS n FROM events GROUP BY 1))")
+def segment_boundaries(spark, sf):
+    n = traces(spark, sf).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    return sequence.boundaries(n, "segment", "n").select("segment", "n", "stop", "start")
+
+
+@query("SELECT segment, greatest(0, least(n, 500 - (stop - n)))::BIGINT AS n FROM (SELECT segment, n, sum(n) OVER (ORDER BY segment) AS stop FROM (SELECT floor((extract(day FROM ts) - 1) / 10)::BIGINT AS segment, count(*) AS n FROM events GROUP BY 1))")
+def trimmed_segments(spark, sf):
+    n = traces(spark, sf).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    return sequence.trim(n, "segment", "n", 500).select("segment", "n")
+
+
+@query(f"""WITH {TRACE_SQL}, w AS (SELECT roi, segment, frame, f, last_value(CASE WHEN f IS NOT NULL THEN frame END IGNORE NULLS) OVER b AS x0, last_value(f IGNORE NULLS) OVER b AS y0, first_value(CASE WHEN f IS NOT NULL THEN frame END IGNORE NULLS) OVER a AS x1, first_value(f IGNORE NULLS) OVER a AS y1 FROM tr
+    WINDOW b AS (PARTITION BY roi, segment ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY roi, segment ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT roi, segment, frame, round(coalesce(f, y0 + (y1 - y0) * ((frame - x0) / nullif(x1 - x0, 0)), y0, y1), 6) AS f FROM w""")
+def interpolated_trace(spark, sf):
+    return sequence.interpolate(traces(spark, sf), KEYS, "frame", "f").select(*KEYS, "frame", "f")
+
+
+@query(f"""WITH {TRACE_SQL}, n AS (SELECT roi, segment, max(frame) AS m FROM tr GROUP BY ALL)
+    SELECT a.roi, a.segment, a.frame, round(sum(w * b.value), 6) AS smooth FROM tr a JOIN n USING (roi, segment) CROSS JOIN {_weights(savitzky_golay(7, 2))}
+    JOIN tr b ON b.roi = a.roi AND b.segment = a.segment AND b.frame = greatest(0, least(m, a.frame + j)) GROUP BY ALL""")
+def savitzky_golay_smooth(spark, sf):
+    return smooth.convolve(traces(spark, sf), KEYS, "frame", "value", savitzky_golay(7, 2), "smooth").select(*KEYS, "frame", "smooth")
+
+
+@query()
+def piezo_cycle(spark, sf):
+    e = read(spark, sf, "events").withColumn("t_s", seconds("ts"))
+    return composite.piezo_cycle(e.select("t_s", F.col("value").alias("volts")), e.filter("event_type = 'signup'").select("t_s"), 4, 3, 5, 0.5)
