@@ -6,16 +6,16 @@ from tessera.plans import manifest, validate
 def test_manifest_states(spark, tmp_path):
     path = str(tmp_path / "m")
     config = {"b": 1, "a": [1, 2]}
-    manifest.record(spark, path, "d1", "zregister", "running", config, "out")
-    manifest.record(spark, path, "d1", "zregister", "complete", config, "out")
-    manifest.record(spark, path, "d2", "zregister", "failed", config, "out", "no file")
+    manifest.record(spark, path, "d1", "best-plane", "running", config, "out")
+    manifest.record(spark, path, "d1", "best-plane", "complete", config, "out")
+    manifest.record(spark, path, "d2", "best-plane", "failed", config, "out", "no file")
     last = {r.ds: r.asDict() for r in manifest.latest(spark, path).collect()}
     assert last["d1"]["state"] == "complete" and last["d2"]["error"] == "no file"
     assert {r.state: r.n for r in manifest.summary(spark, path).collect()} == {"complete": 1, "failed": 1}
-    assert manifest.may_run(None, config, "zregister") is None
-    assert manifest.may_run(last["d1"], config, "zregister") and manifest.may_run(last["d1"], config, "zregister", overwrite=True) is None
-    assert manifest.may_run(last["d2"], config, "zregister") is None
-    assert manifest.may_run(last["d2"], {"a": 2}, "zregister") and manifest.may_run(last["d1"], config, "other", overwrite=True)
+    assert manifest.may_run(None, config, "best-plane") is None
+    assert manifest.may_run(last["d1"], config, "best-plane") and manifest.may_run(last["d1"], config, "best-plane", overwrite=True) is None
+    assert manifest.may_run(last["d2"], config, "best-plane") is None
+    assert manifest.may_run(last["d2"], {"a": 2}, "best-plane") and manifest.may_run(last["d1"], config, "other", overwrite=True)
     assert manifest.digest({"a": [1, 2], "b": 1}) == manifest.digest(config)
     with pytest.raises(ValueError):
         manifest.record(spark, path, "d", "w", "odd", {}, "")
