@@ -7,8 +7,8 @@ become one read of at most RUN bytes. No archive is read for records that were n
 
 Each record is a gzip member of its own, as the format asks, so that a range of bytes is a readable record.
 Of records with equal payloads the one with the largest page id is the response, the others are
-revisits that refer to it. Payloads are compressed where they are read, before it is known which
-are the responses; then the compressed records meet the digests' groups. Archives are files of
+revisits that refer to it. A first pass finds the digests that pages share; in a second one payloads are
+compressed where they are read, and the compressed records meet those digests. Archives are files of
 ``spark.checkpoint.dir`` or of a folder that the caller names, opened by the file system of their URI. A task writes
 archives under names that no other attempt uses, and only the index of the attempt that Spark
 commits names them; a lost executor's archives are written again by the attempt that replaces it.
@@ -81,7 +81,7 @@ def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             raw = (p or "").encode()
             digest = sha1_base32(raw)
             member = gzip.compress(record(i, u or "", raw, "response", digest, len(raw)), compresslevel=3, mtime=0)
-            held.append((i, u or "", digest, len(raw), member))
+            held.append((i, u or "", base64.b32decode(digest).hex(), len(raw), member))
             size += len(member)
             if size > 4 << 20:
                 yield _rows(held)
@@ -114,9 +114,10 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
                 path, at = f"{folder}/{name}", 0
                 sink = store.open_output_stream(f"{base}/{name}", compression=None)  # the members are compressed already
             revisit = r["refers_to"] is not None
-            member = gzip.compress(record(r["page_id"], r["url"], b"", "revisit", r["digest"], r["size"], r["refers_to"]), compresslevel=3, mtime=0) if revisit else r["member"]
+            digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
+            member = gzip.compress(record(r["page_id"], r["url"], b"", "revisit", digest, r["size"], r["refers_to"]), compresslevel=3, mtime=0) if revisit else r["member"]
             sink.write(member)
-            rows.append((path, at, len(member), r["page_id"], r["url"], r["digest"], r["size"], "revisit" if revisit else "response", r["refers_to"]))
+            rows.append((path, at, len(member), r["page_id"], r["url"], digest, r["size"], "revisit" if revisit else "response", r["refers_to"]))
             at += len(member)
         if rows:
             yield pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
@@ -129,9 +130,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
-    packed = written(d.mapInArrow(_packed_batches, "page_id bigint, url string, digest string, size bigint, member binary"), "warc-packed")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
     # Digests that more than one page has; the largest page id is the one the others refer to.
-    groups = packed.filter(F.col("size") >= least_revisit).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    sums = d.filter(F.length(payload) >= least_revisit).select("page_id", F.sha1(payload).alias("digest"))
+    groups = sums.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    packed = d.mapInArrow(_packed_batches, "page_id bigint, url string, digest string, size bigint, member binary")
     marked = packed.join(groups, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
     marked = marked.select("page_id", "url", "digest", "size", F.when(F.col("refers_to").isNull(), F.col("member")).alias("member"), "refers_to")
     return written(marked.mapInArrow(lambda it: _write_batches(it, folder), INDEX), "warc-index")
