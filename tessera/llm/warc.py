@@ -213,7 +213,9 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
     Records are dealt out by archive and stretch of RUN bytes, so that neighbours meet in one task.
     """
     d = index.select("path", "offset", "length", F.floor(F.col("offset") / RUN).alias("stretch"))
-    d = d.repartition("path", "stretch").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    # The number is given, because index rows are few bytes that stand for many: merged by their own size they would end in a few tasks.
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartition(parts, "path", "stretch").sortWithinPartitions("path", "offset").select("path", "offset", "length")
     return d.mapInArrow(lambda it: _read_batches(it, payloads), READ)
 
 
