@@ -8,10 +8,11 @@ at a similarity of 0.8 two texts agree on some part with a probability of over 0
 reference fingerprint (pivot) differ by over RADIUS, or that are over RADIUS bits apart, are discarded, and the
 survivors are verified by the exact Jaccard similarity of their whole shingle sets.
 
-Equal shingle sets are one node. Up to PAIRED documents that agree on a part are all paired. Where more do, they
-are compared with the most central of them (the one whose parts are shared most), those similar to it are
-linked and leave, and the rest goes on in the next round, until none is left: rows are linear in the
-documents of a round, and a part's rest can always be paired or has a new centre.
+Equal shingle sets are one node. Up to PAIRED documents that agree on a part are all paired. Where more do (texts that
+share a passage, or copies by the thousand), they are split TABLES times by SPLIT_BITS bits of their whole
+texts' fingerprints: two texts at a similarity of 0.8 meet in one of the splits with a probability of over 0.99. Groups that are
+still larger are compared with the most central document in them, the one whose groups are largest, so rows
+stay linear in the documents. Two copies of which neither is central are linked by way of a centre, or in a smaller group.
 
 Defined cases: a null text is the empty text; texts without words are copies of each other; a text with fewer words than a
 shingle has one shingle, its whole sequence; repeated rows with one id count once; columns besides id and text are ignored;
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, mix
@@ -34,6 +35,7 @@ from .simhash import _LOWER, PAIRED, components, fingerprint_of, max_difference,
 SHINGLE, SIMILARITY = 5, 0.8
 PARTS, SAMPLED = 16, 64
 RADIUS = 20
+TABLES, SPLIT_BITS = 12, 6
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -52,12 +54,28 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator
                 least = mix(h)
                 if len(h) > SAMPLED:
                     least = least[np.argpartition(least, SAMPLED)[:SAMPLED]]
-                of = (mix(least) >> np.uint64(60)).astype(np.int64)
-                parts[lo + i] = [_long(fingerprint_of(np.sort(mix(least[of == p] + np.uint64(p))))) if (of == p).any() else None for p in range(PARTS)]
+                parts[lo + i] = part_fingerprints(least)
         cols = [pa.array(x.view(np.int64)) for x in (fp, count, total, both)]
         yield pa.record_batch([batch.column(0), *cols, pa.array(parts, type=pa.list_(pa.int64()))], names=["id", "fp", "n", "s1", "s2", "parts"])
 
 
+def part_fingerprints(sampled: np.ndarray) -> list[int | None]:
+    """The fingerprint of each part of a sample of hashes: of its hashes' bits those that over half have. None where a part has no hash."""
+    of = (mix(sampled) >> np.uint64(60)).astype(np.int64)
+    deal = np.zeros((PARTS, len(sampled)), dtype=np.float32)
+    deal[of, np.arange(len(sampled))] = 1
+    bits = np.unpackbits(mix(sampled + of.astype(np.uint64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+    size = deal.sum(axis=1)
+    fp = np.packbits(2 * (deal @ bits) > size[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    return [x if n else None for x, n in zip(fp.tolist(), size.tolist())]
+
+
+def split_masks() -> list[int]:
+    """For each table the bits of the fingerprint that it compares."""
+    rng = np.random.default_rng(12)
+    return [_long(sum(1 << int(b) for b in rng.choice(64, SPLIT_BITS, replace=False))) for _ in range(TABLES)]
+
+
 def _long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -104,25 +122,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         common = F.size(F.array_intersect("sa", "sb"))
         return c.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    side = lambda df, x: df.select("p", "key", F.col("node").alias(x), F.col("dist").alias(f"d{x}"), F.col("fp").alias(f"f{x}"))
-    few = keyed.filter(F.col("size") <= paired)
-    links = [written(verified(side(few, "a").join(side(few, "b"), ["p", "key"]).filter("a < b")), "similar-pairs")]
-    rest = keyed.filter(F.col("size") > paired)
-    while rest.take(1):
-        # The centre of a part: the node whose parts are shared by most.
-        share = rest.groupBy("node").agg(F.sum("size").alias("share"))
-        rest = written(rest.join(share, "node"), "central")
-        centre = rest.groupBy("p", "key").agg(F.max_by(F.struct("node", "dist", "fp"), F.struct("share", -F.col("node") if kind in ("bigint", "int") else F.col("node"))).alias("c"))
-        pairs = rest.join(centre, ["p", "key"]).filter("node != c.node")
-        found = verified(pairs.select(F.col("c.node").alias("a"), F.col("c.dist").alias("da"), F.col("c.fp").alias("fa"), F.col("node").alias("b"), F.col("dist").alias("db"), F.col("fp").alias("fb")))
-        found = written(found, "similar-to-centre")
-        links.append(found)
-        gone = found.select(F.col("b").alias("node")).unionByName(centre.select("c.node")).distinct()
-        left = rest.drop("share", "size").join(gone, "node", "left_anti")
-        left = written(left.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("p", "key"))).filter("size > 1"), "left-over")
-        small = left.filter(F.col("size") <= paired)
-        links.append(written(verified(side(small, "a").join(side(small, "b"), ["p", "key"]).filter("a < b")), "similar-rest"))
-        rest = left.filter(F.col("size") > paired).select(keyed.columns)
+    by = ["p", "key", "t", "bits"]
+    side = lambda df, x: df.select(*by, F.col("node").alias(x), F.col("dist").alias(f"d{x}"), F.col("fp").alias(f"f{x}"))
+    few = keyed.filter(F.col("size") <= paired).withColumns({"t": F.lit(-1), "bits": F.lit(0).cast("long")})
+    # Parts that many share (a common passage, or copies by the thousand) are split by bits of the whole text's fingerprint.
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(split_masks())])
+    many = keyed.filter(F.col("size") > paired).withColumn("_t", F.explode(tables)).select("p", "key", "node", "dist", "fp", "_t.t", "_t.bits")
+    split = written(many.join(many.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), by), "split-parts")
+    small = few.select(*by, "node", "dist", "fp").unionByName(split.filter(F.col("size") <= paired).select(*by, "node", "dist", "fp"))
+    links = [written(verified(side(small, "a").join(side(small, "b"), by).filter("a < b")), "similar-pairs")]
+    large = split.filter(F.col("size") > paired)
+    # The centre of a group: the node whose groups are the largest together.
+    share = large.groupBy("node").agg(F.sum("size").alias("share"))
+    large = written(large.join(share, "node"), "central")
+    centre = large.groupBy(*by).agg(F.max_by(F.struct("node", "dist", "fp"), F.struct("share", "node")).alias("c"))
+    pairs = large.join(centre, by).filter("node != c.node")
+    links.append(written(verified(pairs.select(F.col("c.node").alias("a"), F.col("c.dist").alias("da"), F.col("c.fp").alias("fa"), F.col("node").alias("b"), F.col("dist").alias("db"), F.col("fp").alias("fb"))), "similar-to-centre"))
     edges = links[0]
     for e in links[1:]:
         edges = edges.unionByName(e)
