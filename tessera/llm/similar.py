@@ -36,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 PARTS, SAMPLED = 16, 64
 RADIUS = 20
 TABLES, SPLIT_BITS = 12, 6
+#: In the splits of a large part, groups of up to so many are paired: a text meets each of its copies in several splits.
+SPLIT_PAIRED = 8
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -129,9 +131,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(split_masks())])
     many = keyed.filter(F.col("size") > paired).withColumn("_t", F.explode(tables)).select("p", "key", "node", "dist", "fp", "_t.t", "_t.bits")
     split = written(many.join(many.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), by), "split-parts")
-    small = few.select(*by, "node", "dist", "fp").unionByName(split.filter(F.col("size") <= paired).select(*by, "node", "dist", "fp"))
+    small = few.select(*by, "node", "dist", "fp").unionByName(split.filter(F.col("size") <= SPLIT_PAIRED).select(*by, "node", "dist", "fp"))
     links = [written(verified(side(small, "a").join(side(small, "b"), by).filter("a < b")), "similar-pairs")]
-    large = split.filter(F.col("size") > paired)
+    large = split.filter(F.col("size") > SPLIT_PAIRED)
     # The centre of a group: the node whose groups are the largest together.
     share = large.groupBy("node").agg(F.sum("size").alias("share"))
     large = written(large.join(share, "node"), "central")
