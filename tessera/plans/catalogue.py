@@ -432,12 +432,12 @@ def reslice_join(spark, sf):
 @query()
 def initial_reference(spark, sf):
     f = frames(spark, sf).withColumn("px", F.transform("px", lambda v: v * 1000))
-    return image.initial_reference(f.filter("frame < 400"), ["plane"], "frame", "px").select("plane", F.posexplode("px").alias("i", "v"))
+    return image.initial_reference(f, ["plane"], "frame", "px").select("plane", F.posexplode("px").alias("i", "v"))
 
 
 @query()
 def frame_registration(spark, sf):
-    f = frames(spark, sf).filter("frame < 200")
+    f = frames(spark, sf)
     refs = f.filter("frame < 4").select(F.col("frame").cast("int").alias("ref"), "px")
     return image.register(f, refs, (8, 8))
 
