@@ -9,10 +9,11 @@ reference fingerprint (pivot) differ by over RADIUS, or that are over RADIUS bit
 survivors are verified by the exact Jaccard similarity of their whole shingle sets.
 
 Equal shingle sets are one node. Up to PAIRED documents that agree on a part are all paired. Where more do (texts that
-share a passage, or copies by the thousand), they are split TABLES times by SPLIT_BITS bits of their whole
-texts' fingerprints: two texts at a similarity of 0.8 meet in one of the splits with a probability of over 0.99. Groups that are
-still larger are compared with the most central document in them, the one whose groups are largest, so rows
-stay linear in the documents. Two copies of which neither is central are linked by way of a centre, or in a smaller group.
+share a passage, or copies by the thousand), their pairs come from an exact join on their rarest shingles instead: two sets
+at the similarity share a shingle among the few rarest of each (prefix filter), and no shingle that one text alone has can be
+common. Where over PAIRED texts share such a rare shingle, CENTRES rounds link what is similar to the group's most central
+text; then every text outside the largest component of its group meets all of the group that it is not tied to yet, block
+by block. Pairs within one component add nothing, so the groups are those of all pairs, whatever their size.
 
 Defined cases: a null text is the empty text; texts without words are copies of each other; a text with fewer words than a
 shingle has one shingle, its whole sequence; repeated rows with one id count once; columns besides id and text are ignored;
@@ -21,11 +22,12 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, mix
@@ -35,9 +37,10 @@ from .simhash import _LOWER, PAIRED, components, fingerprint_of, max_difference,
 SHINGLE, SIMILARITY = 5, 0.8
 PARTS, SAMPLED = 16, 64
 RADIUS = 20
-TABLES, SPLIT_BITS = 12, 6
-#: In the splits of a large part, groups of up to so many are paired: a text meets each of its copies in several splits.
-SPLIT_PAIRED = 8
+#: Rounds that compare large groups with a centre before the exact remainder; texts of a block of that remainder.
+CENTRES, BLOCK = 2, 256
+#: Bits of the counters that order shingles by rarity. Shingles that share a counter change the order, not the result.
+COUNTER_BITS = 20
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -72,16 +75,6 @@ def part_fingerprints(sampled: np.ndarray) -> list[int | None]:
     return [x if n else None for x, n in zip(fp.tolist(), size.tolist())]
 
 
-def split_masks() -> list[int]:
-    """For each table the bits of the fingerprint that it compares."""
-    rng = np.random.default_rng(12)
-    return [_long(sum(1 << int(b) for b in rng.choice(64, SPLIT_BITS, replace=False))) for _ in range(TABLES)]
-
-
-def _long(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """id, fp, n, s1, s2 (number and sums of the distinct shingles' hashes), parts (fingerprints of the parts)."""
     d = docs.select(F.col(id_col).alias("id"), whole_text(docs, text_col).alias("t"))
@@ -102,6 +95,57 @@ def _set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
         yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offs, type=pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))], names=["id", "set"])
 
 
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    for batch in batches:
+        counts += np.bincount(_counter(batch.column(0).flatten().to_numpy()), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    for lo in range(0, len(at), 1 << 16):
+        k = at[lo : lo + (1 << 16)]
+        yield pa.record_batch([pa.array(k), pa.array(counts[k])], names=["k", "n"])
+
+
+def _rare_batches(batches: Iterator[pa.RecordBatch], shared, similarity: float) -> Iterator[pa.RecordBatch]:
+    counts = shared.value
+    for batch in batches:
+        rows, keys, sizes, commons = [], [], [], []
+        for i, h in enumerate(batch.column(1)):
+            h = h.values.to_numpy()
+            times = counts[_counter(h)]
+            # Two sets at the similarity have a shingle in common among so many first ones of one order of all shingles.
+            first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+            order = np.lexsort((h, times))[:first]
+            order = order[times[order] > 1]
+            rows.append(np.full(len(order), i))
+            keys.append(h[order])
+            sizes.append(np.full(len(order), len(h)))
+            commons.append(np.full(len(order), np.count_nonzero(times > 1)))
+        cat = lambda x: pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64())
+        yield pa.record_batch([batch.column(0).take(cat(rows)), cat(sizes), cat(commons), cat(keys)], names=["node", "n", "common", "h"])
+
+
+def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, n, common, h, size: the rarest shingles of each set that others have among theirs too; common bounds its common shingles."""
+    spark = sets.sparkSession
+    counted = sets.select("set").mapInArrow(_count_batches, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    counts[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+    kind = sets.schema["id"].dataType.simpleString()
+    rare = written(sets.select("id", "set").mapInArrow(lambda it: _rare_batches(it, shared, similarity), f"node {kind}, n bigint, common bigint, h bigint"), "rare-shingles")
+    return written(rare.join(rare.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "h"), "shared-shingles")
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Whether sets of na and nb shingles, of which at most ma and mb are common, can have the similarity."""
+    most = F.least("ma", "mb")
+    return most >= similarity * (F.col("na") + F.col("nb") - most) - 1e-6
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
     """id, group_id: the smallest id that each document is tied to by links of ``similarity`` or more."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -116,33 +160,47 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.join(wanted, docs[id_col] == wanted["node"], "left_semi").select(F.col(id_col).alias("id"), whole_text(docs, text_col).alias("t")).dropDuplicates(["id"])
     sets = written(texts.mapInArrow(lambda it: _set_batches(it, shingle), f"id {kind}, set array<bigint>"), "shingle-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """a, b of pairs (a, da, fa, b, db, fb) that pass the pivots, the bits and the similarity."""
-        near = (max_difference(F.col("da"), F.col("db")) <= RADIUS) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
-        c = pairs.filter(near).select("a", "b").distinct()
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """a, b of the pairs whose exact similarity suffices."""
+        c = pairs.select("a", "b").distinct()
         c = c.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return c.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-    by = ["p", "key", "t", "bits"]
-    side = lambda df, x: df.select(*by, F.col("node").alias(x), F.col("dist").alias(f"d{x}"), F.col("fp").alias(f"f{x}"))
-    few = keyed.filter(F.col("size") <= paired).withColumns({"t": F.lit(-1), "bits": F.lit(0).cast("long")})
-    # Parts that many share (a common passage, or copies by the thousand) are split by bits of the whole text's fingerprint.
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(split_masks())])
-    many = keyed.filter(F.col("size") > paired).withColumn("_t", F.explode(tables)).select("p", "key", "node", "dist", "fp", "_t.t", "_t.bits")
-    split = written(many.join(many.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), by), "split-parts")
-    small = few.select(*by, "node", "dist", "fp").unionByName(split.filter(F.col("size") <= SPLIT_PAIRED).select(*by, "node", "dist", "fp"))
-    links = [written(verified(side(small, "a").join(side(small, "b"), by).filter("a < b")), "similar-pairs")]
-    large = split.filter(F.col("size") > SPLIT_PAIRED)
-    # The centre of a group: the node whose groups are the largest together.
-    share = large.groupBy("node").agg(F.sum("size").alias("share"))
-    large = written(large.join(share, "node"), "central")
-    centre = large.groupBy(*by).agg(F.max_by(F.struct("node", "dist", "fp"), F.struct("share", "node")).alias("c"))
-    pairs = large.join(centre, by).filter("node != c.node")
-    links.append(written(verified(pairs.select(F.col("c.node").alias("a"), F.col("c.dist").alias("da"), F.col("c.fp").alias("fa"), F.col("node").alias("b"), F.col("dist").alias("db"), F.col("fp").alias("fb"))), "similar-to-centre"))
-    edges = links[0]
-    for e in links[1:]:
-        edges = edges.unionByName(e)
+        return written(c.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), name)
+
+    few = keyed.filter(F.col("size") <= paired)
+    side = lambda x: few.select("p", "key", F.col("node").alias(x), F.col("dist").alias(f"d{x}"), F.col("fp").alias(f"f{x}"))
+    near = (max_difference(F.col("da"), F.col("db")) <= RADIUS) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
+    edges = links(side("a").join(side("b"), ["p", "key"]).filter("a < b").filter(near), "similar-pairs")
+
+    # Parts that many share: the exact join on rare shingles.
+    many = keyed.filter(F.col("size") > paired).select(F.col("node").alias("id")).distinct()
+    rare = rare_shingles(written(sets.join(many, "id", "left_semi"), "shared-sets"), similarity)
+    of = lambda df, x: df.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"m{x}"))
+    low = rare.filter(F.col("size") <= paired)
+    edges = edges.unionByName(links(of(low, "a").join(of(low, "b"), "h").filter("a < b").filter(_may_be_similar(similarity)), "similar-rare"))
+    large = rare.filter(F.col("size") > paired)
+    large = written(large.join(large.groupBy("node").agg(F.sum("size").alias("share")), "node"), "large-groups")
+    # The centre of a group: the text whose groups are the largest together. Later rounds leave out who is tied to a centre.
+    rest = large
+    for i in range(CENTRES):
+        centre = rest.groupBy("h").agg(F.max_by(F.struct("node", "n", "common"), F.struct("share", "node")).alias("c"))
+        met = rest.join(centre, "h").select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.common").alias("ma"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("mb"))
+        linked = links(met.filter("a != b").filter(_may_be_similar(similarity)), "similar-to-centre")
+        edges = edges.unionByName(linked)
+        if i + 1 < CENTRES:
+            tied = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).distinct()
+            rest = written(rest.join(tied, "node", "left_anti"), "not-linked")
     roots = components(edges)
+
+    # The remainder: who is outside the largest component of a group meets all of the group outside its own component.
+    large = written(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "group-components")
+    main = large.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    open_ = written(large.join(main, "h").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "open-groups")
+    x = open_.filter("root != main").select("h", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("common").alias("ma"), F.col("root").alias("ra"))
+    y = open_.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("mb"), F.col("root").alias("rb"), (F.col("root") != F.col("main")).alias("outer"))
+    # Two outside the largest component meet from both sides: one of them is enough.
+    rest = x.join(y, ["h", "part"]).filter("ra != rb AND (a < b OR NOT outer)").filter(_may_be_similar(similarity))
+    more = links(rest, "similar-remainder")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     of = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("group_id"))
     return sig.join(of, same).select(F.col("id").alias(id_col), "group_id")

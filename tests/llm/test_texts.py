@@ -211,6 +211,49 @@ def test_similar_groups_match_brute_force(spark, sf):
     assert similar.similar_groups(docs(spark, [])).count() == 0
 
 
+def brute_groups(texts, chain=5):
+    """The smallest number that each text is tied to by a similarity of 0.8, over all pairs."""
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append(frozenset(" ".join(w[i : i + chain]) for i in range(len(w) - chain + 1)) or frozenset([" ".join(w)] if w else []))
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(sets))}
+
+
+def test_similar_groups_in_large_parts_match_brute_force(spark):
+    passage = prose(1, 132, 4000)  # texts that share it have a similarity of 0.78; the pairs share three words more, 0.81
+    texts = []
+    for i in range(150):
+        more = prose(1000 + i, 33, 4000).split()
+        texts += [" ".join([passage, *more[:18]]), " ".join([passage, *more[:3], *more[18:]])]
+    want = brute_groups(texts)
+    assert len(set(want.values())) > 100
+    assert {r.doc_id: r.group_id for r in similar.similar_groups(docs(spark, texts)).collect()} == want
+    chains = []
+    for c in range(4):  # texts that are tied to their neighbours only, and texts near to none
+        w = prose(c, 150, 4000).split()
+        for i in range(25):
+            w = [*w[: 5 * i], *[f"new{c}x{i}x{j}" for j in range(5)], *w[5 * i + 5 :]]
+            chains.append(" ".join(w))
+        chains += [" ".join([*prose(c, 150, 4000).split()[:120], *prose(50 + i, 30).split()]) for i in range(10)]
+    want = brute_groups(chains)
+    assert len(set(want.values())) > 4
+    for paired in (2, 8):
+        assert {r.doc_id: r.group_id for r in similar.similar_groups(docs(spark, chains), paired=paired).collect()} == want
+
+
 def test_sql_forms(spark, sf):
     from tessera.llm import queries
 
