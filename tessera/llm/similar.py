@@ -1,28 +1,28 @@
 """Near copies by SimHash with a verified similarity: for stages on word shingles (five words, 0.8).
 
-A fingerprint of 64 bits tells near copies at a similarity of 0.8 apart from other texts (some 10 bits
-against some 30), but no part of it need stay equal. So each document also gets fingerprints of PARTS sets of
-shingles: of its SAMPLED shingles with the smallest hashes, which two similar texts mostly share, and which
-their hashes deal out to the parts. Documents that agree on the fingerprint of a part are candidates:
-at a similarity of 0.8 two texts agree on some part with a probability of over 0.99. Candidates whose distances to a
-reference fingerprint (pivot) differ by over RADIUS, or that are over RADIUS bits apart, are discarded, and the
-survivors are verified by the exact Jaccard similarity of their whole shingle sets.
-
-Equal shingle sets are one node. Up to PAIRED documents that agree on a part are all paired. Where more do (texts that
-share a passage, or copies by the thousand), their pairs come from an exact join on their rarest shingles instead: two sets
-at the similarity share a shingle among the few rarest of each (prefix filter), and no shingle that one text alone has can be
-common. Where over PAIRED texts share such a rare shingle, CENTRES rounds link what is similar to the group's most central
-text; then every text outside the largest component of its group meets all of the group that it is not tied to yet, block
-by block. Pairs within one component add nothing, so the groups are those of all pairs, whatever their size.
+SimHash estimates a cosine, so the similarity is the cosine of two sets of shingles: the shingles that they
+share, divided by the root of the product of their sizes. A fingerprint of 64 bits tells near copies at 0.8 apart from
+other texts (some 13 bits against some 32), but no part of it need stay equal. So each document also gets fingerprints of
+PARTS sets of shingles: of its SAMPLED shingles with the smallest hashes, which two similar texts mostly share, and which
+their hashes deal out to the parts. Documents that agree on the fingerprint of a part are candidates: at a similarity
+of 0.8 two texts agree on some part with a probability of over 0.999. Candidates whose distances to some reference
+fingerprint (pivot) differ by over RADIUS, or that are over RADIUS bits apart, are discarded, and the survivors are
+verified by the exact similarity of their whole shingle sets.
+
+Equal shingle sets are one node. Up to PAIRED nodes that agree on a part are all paired. Where more do (copies by the
+thousand, texts that share a passage), CENTRES rounds link a part's nodes to its most central one; then every node outside
+the largest component of its part meets all nodes of that part, in blocks of bounded size that count common shingles by
+a product of matrices. Pairs within one component add nothing, so the groups are those of all pairs of the part,
+whatever its size; no part is cut, and no block holds more than BLOCK nodes or BLOCK_SHINGLES shingles a side (or one node).
 
 Defined cases: a null text is the empty text; texts without words are copies of each other; a text with fewer words than a
-shingle has one shingle, its whole sequence; repeated rows with one id count once; columns besides id and text are ignored;
-an empty table gives an empty result.
+shingle has one shingle, its whole sequence; rows that share an id are looked at each for itself, and the id is in the group of each;
+a null id takes part, and a group of null ids alone has a null group id; a very long text costs memory in proportion to its
+words; columns besides id and text are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,38 +35,48 @@ from .common import whole_text, written
 from .simhash import _LOWER, PAIRED, components, fingerprint_of, max_difference, pivot_table, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-PARTS, SAMPLED = 16, 64
-RADIUS = 20
-#: Rounds that compare large groups with a centre before the exact remainder; texts of a block of that remainder.
-CENTRES, BLOCK = 2, 256
-#: Bits of the counters that order shingles by rarity. Shingles that share a counter change the order, not the result.
-COUNTER_BITS = 20
+PARTS, SAMPLED = 24, 72
+RADIUS = 24
+#: Rounds that compare the nodes of a large part with a centre before the rest meets in blocks.
+CENTRES = 2
+#: Nodes and shingles of one side of a block; columns of its matrices at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
+
+
+def _shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, hashes of the shingles in order, distinct hashes) of each text."""
+    for lo, hi, b in blocks(texts):
+        data = _LOWER[b.data]
+        for i in range(hi - lo):
+            w = slice(b.word_offs[i], b.word_offs[i + 1])
+            h = shingle_hashes(data, b.starts[w], b.ends[w], size)
+            yield lo + i, h, np.unique(h)
+
+
+def _sums(h: np.ndarray) -> tuple[int, int]:
+    """Two sums over distinct hashes: with their number they tell a set."""
+    return h.sum(dtype=np.uint64), mix(h).sum(dtype=np.uint64)
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         fp, count, total, both = (np.zeros(n, dtype=np.uint64) for _ in range(4))
-        parts: list[list[int]] = [[]] * n
-        for lo, hi, b in blocks(batch.column(1)):
-            data = _LOWER[b.data]
-            for i in range(hi - lo):
-                w = slice(b.word_offs[i], b.word_offs[i + 1])
-                h = shingle_hashes(data, b.starts[w], b.ends[w], size)
-                fp[lo + i] = fingerprint_of(h)
-                h = np.unique(h)
-                count[lo + i], total[lo + i], both[lo + i] = len(h), h.sum(dtype=np.uint64), mix(h).sum(dtype=np.uint64)
-                least = mix(h)
-                if len(h) > SAMPLED:
-                    least = least[np.argpartition(least, SAMPLED)[:SAMPLED]]
-                parts[lo + i] = part_fingerprints(least)
+        parts: list[list[int | None]] = [[]] * n
+        for i, every, h in _shingle_sets(batch.column(1), size):
+            fp[i], count[i] = fingerprint_of(every), len(h)
+            total[i], both[i] = _sums(h)
+            least = mix(h)
+            if len(h) > SAMPLED:
+                least = least[np.argpartition(least, SAMPLED)[:SAMPLED]]
+            parts[i] = part_fingerprints(least)
         cols = [pa.array(x.view(np.int64)) for x in (fp, count, total, both)]
         yield pa.record_batch([batch.column(0), *cols, pa.array(parts, type=pa.list_(pa.int64()))], names=["id", "fp", "n", "s1", "s2", "parts"])
 
 
 def part_fingerprints(sampled: np.ndarray) -> list[int | None]:
     """The fingerprint of each part of a sample of hashes: of its hashes' bits those that over half have. None where a part has no hash."""
-    of = (mix(sampled) >> np.uint64(60)).astype(np.int64)
+    of = (mix(sampled) % np.uint64(PARTS)).astype(np.int64)
     deal = np.zeros((PARTS, len(sampled)), dtype=np.float32)
     deal[of, np.arange(len(sampled))] = 1
     bits = np.unpackbits(mix(sampled + of.astype(np.uint64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
@@ -75,132 +85,134 @@ def part_fingerprints(sampled: np.ndarray) -> list[int | None]:
     return [x if n else None for x, n in zip(fp.tolist(), size.tolist())]
 
 
+def _node() -> Column:
+    return F.xxhash64("n", "s1", "s2").alias("node")
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """id, fp, n, s1, s2 (number and sums of the distinct shingles' hashes), parts (fingerprints of the parts)."""
-    d = docs.select(F.col(id_col).alias("id"), whole_text(docs, text_col).alias("t"))
+    """id, node (tells the set of shingles), fp, n (distinct shingles), parts (fingerprints of the parts)."""
+    d = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return d.mapInArrow(lambda it: _signature_batches(it, shingle), f"id {kind}, fp bigint, n bigint, s1 bigint, s2 bigint, parts array<bigint>")
+    s = d.mapInArrow(lambda it: _signature_batches(it, shingle), f"id {kind}, fp bigint, n bigint, s1 bigint, s2 bigint, parts array<bigint>")
+    return s.select("id", _node(), "fp", "n", "parts")
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat, offs = [np.zeros(0, dtype=np.uint64)], [0]
-        for lo, hi, b in blocks(batch.column(1)):
-            data = _LOWER[b.data]
-            for i in range(hi - lo):
-                w = slice(b.word_offs[i], b.word_offs[i + 1])
-                h = np.unique(shingle_hashes(data, b.starts[w], b.ends[w], size))
-                flat.append(h)
-                offs.append(offs[-1] + len(h))
-        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offs, type=pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))], names=["id", "set"])
-
-
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-
-
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-    for batch in batches:
-        counts += np.bincount(_counter(batch.column(0).flatten().to_numpy()), minlength=len(counts))
-    at = np.flatnonzero(counts)
-    for lo in range(0, len(at), 1 << 16):
-        k = at[lo : lo + (1 << 16)]
-        yield pa.record_batch([pa.array(k), pa.array(counts[k])], names=["k", "n"])
-
-
-def _rare_batches(batches: Iterator[pa.RecordBatch], shared, similarity: float) -> Iterator[pa.RecordBatch]:
-    counts = shared.value
-    for batch in batches:
-        rows, keys, sizes, commons = [], [], [], []
-        for i, h in enumerate(batch.column(1)):
-            h = h.values.to_numpy()
-            times = counts[_counter(h)]
-            # Two sets at the similarity have a shingle in common among so many first ones of one order of all shingles.
-            first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
-            order = np.lexsort((h, times))[:first]
-            order = order[times[order] > 1]
-            rows.append(np.full(len(order), i))
-            keys.append(h[order])
-            sizes.append(np.full(len(order), len(h)))
-            commons.append(np.full(len(order), np.count_nonzero(times > 1)))
-        cat = lambda x: pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64())
-        yield pa.record_batch([batch.column(0).take(cat(rows)), cat(sizes), cat(commons), cat(keys)], names=["node", "n", "common", "h"])
-
-
-def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, n, common, h, size: the rarest shingles of each set that others have among theirs too; common bounds its common shingles."""
-    spark = sets.sparkSession
-    counted = sets.select("set").mapInArrow(_count_batches, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-    counts[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
-    kind = sets.schema["id"].dataType.simpleString()
-    rare = written(sets.select("id", "set").mapInArrow(lambda it: _rare_batches(it, shared, similarity), f"node {kind}, n bigint, common bigint, h bigint"), "rare-shingles")
-    return written(rare.join(rare.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "h"), "shared-shingles")
-
-
-def _may_be_similar(similarity: float) -> Column:
-    """Whether sets of na and nb shingles, of which at most ma and mb are common, can have the similarity."""
-    most = F.least("ma", "mb")
-    return most >= similarity * (F.col("na") + F.col("nb") - most) - 1e-6
+        flat, offs, sums = [np.zeros(0, dtype=np.uint64)], [0], []
+        for _, _, h in _shingle_sets(batch.column(0), size):
+            flat.append(h)
+            offs.append(offs[-1] + len(h))
+            sums.append((len(h), *_sums(h)))
+        n, s1, s2 = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (zip(*sums) if sums else ((), (), ())))
+        sets = pa.ListArray.from_arrays(pa.array(offs, type=pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))
+        yield pa.record_batch([n, s1, s2, sets], names=["n", "s1", "s2", "set"])
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """node, n, set for the nodes of ``wanted`` (node, id of one of its documents)."""
+    ids = wanted.select("id").distinct()
+    texts = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("t")).alias("d").join(ids.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select("t")
+    sets = texts.mapInArrow(lambda it: _set_batches(it, shingle), "n bigint, s1 bigint, s2 bigint, set array<bigint>").select(_node(), "n", "set")
+    return sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the distinct-valued arrays xs shares with each of ys, as a matrix."""
+    flat = [np.concatenate([np.zeros(0, dtype=np.int64), *s]) for s in (xs, ys)]
+    row = [np.repeat(np.arange(len(s)), [len(a) for a in s]) for s in (xs, ys)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(xs), len(ys)), dtype=np.float32)
+    if not len(shared):
+        return out
+    places = []
+    for f, r in zip(flat, row):
+        at = np.minimum(np.searchsorted(shared, f), len(shared) - 1)
+        ok = shared[at] == f
+        at, r = at[ok], r[ok]
+        order = np.argsort(at, kind="stable")
+        places.append((at[order], r[order]))
+    for lo in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - lo)
+        sides = []
+        for (at, r), n in zip(places, out.shape):
+            a, b = np.searchsorted(at, [lo, lo + width])
+            m = np.zeros((n, width), dtype=np.float32)
+            m[r[a:b], at[a:b] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block_links(t: pa.Table, similarity: float) -> pa.Table:
+    """a, b: links that tie together what is similar between the two sides of a block and not in one component yet."""
+    outer = t.column("outer").to_numpy(zero_copy_only=False).astype(bool)
+    node, root, n = (t.column(c).to_numpy() for c in ("node", "root", "n"))
+    sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in t.column("set")]
+    x, y = np.flatnonzero(outer), np.flatnonzero(~outer)
+    a, b = [], []
+    if len(x) and len(y):
+        common = common_counts([sets[i] for i in x], [sets[i] for i in y]).astype(np.float64)
+        close = common * common >= similarity**2 * np.outer(n[x], n[y]) - 1e-6
+        label = root.copy()
+        for k in np.flatnonzero(close.any(axis=1)):
+            mine = y[close[k]]
+            for other, at in zip(*np.unique(label[mine], return_index=True)):
+                if other != label[x[k]]:
+                    a.append(node[x[k]])
+                    b.append(node[mine[at]])
+                    label[label == other] = label[x[k]]
+    return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
-    """id, group_id: the smallest id that each document is tied to by links of ``similarity`` or more."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """id, group_id: the smallest id that each row is tied to by links of ``similarity`` or more. A row for each row of docs."""
     sig = written(signatures(docs, id_col, text_col, shingle), "signatures")
-    same = ["n", "s1", "s2"]
-    nodes = sig.groupBy(*same).agg(F.min("id").alias("node"), F.min(F.struct("fp", "parts")).alias("x"))
-    nodes = written(nodes.select(*same, "node", F.col("x.fp").alias("fp"), F.col("x.parts").alias("parts")), "distinct-sets")
-    keyed = nodes.select("node", "fp", F.posexplode("parts").alias("p", "key")).filter("key IS NOT NULL")
+    nodes = written(sig.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("fp", "n", "parts")).alias("x")).select("node", "id", "x.*"), "distinct-sets")
+    keyed = nodes.select("node", "fp", "n", F.posexplode("parts").alias("p", "key")).filter("key IS NOT NULL")
     sizes = keyed.groupBy("p", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     keyed = written(pivot_table(keyed.join(sizes, ["p", "key"])), "part-keys")
-    wanted = keyed.select("node").distinct()
-    texts = docs.join(wanted, docs[id_col] == wanted["node"], "left_semi").select(F.col(id_col).alias("id"), whole_text(docs, text_col).alias("t")).dropDuplicates(["id"])
-    sets = written(texts.mapInArrow(lambda it: _set_batches(it, shingle), f"id {kind}, set array<bigint>"), "shingle-sets")
+    wanted = nodes.join(keyed.select("node").distinct(), "node", "left_semi").select("node", "id")
+    sets = written(shingle_sets(docs, wanted, id_col, text_col, shingle), "shingle-sets")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """a, b of the pairs whose exact similarity suffices."""
-        c = pairs.select("a", "b").distinct()
-        c = c.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return written(c.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), name)
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("set").alias(f"s{x}"))
+        c = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+        common = F.size(F.array_intersect("sa", "sb")).cast("double")
+        return written(c.filter(common * common >= similarity**2 * F.col("na") * F.col("nb") - 1e-6).select("a", "b"), name)
 
     few = keyed.filter(F.col("size") <= paired)
     side = lambda x: few.select("p", "key", F.col("node").alias(x), F.col("dist").alias(f"d{x}"), F.col("fp").alias(f"f{x}"))
     near = (max_difference(F.col("da"), F.col("db")) <= RADIUS) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
     edges = links(side("a").join(side("b"), ["p", "key"]).filter("a < b").filter(near), "similar-pairs")
 
-    # Parts that many share: the exact join on rare shingles.
-    many = keyed.filter(F.col("size") > paired).select(F.col("node").alias("id")).distinct()
-    rare = rare_shingles(written(sets.join(many, "id", "left_semi"), "shared-sets"), similarity)
-    of = lambda df, x: df.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"m{x}"))
-    low = rare.filter(F.col("size") <= paired)
-    edges = edges.unionByName(links(of(low, "a").join(of(low, "b"), "h").filter("a < b").filter(_may_be_similar(similarity)), "similar-rare"))
-    large = rare.filter(F.col("size") > paired)
-    large = written(large.join(large.groupBy("node").agg(F.sum("size").alias("share")), "node"), "large-groups")
-    # The centre of a group: the text whose groups are the largest together. Later rounds leave out who is tied to a centre.
+    # Parts that many share. The centre of a part: the node whose parts are the largest together.
+    large = keyed.filter(F.col("size") > paired).select("p", "key", "node", "n", "size")
+    large = written(large.join(large.groupBy("node").agg(F.sum("size").alias("share")), "node"), "large-parts")
     rest = large
     for i in range(CENTRES):
-        centre = rest.groupBy("h").agg(F.max_by(F.struct("node", "n", "common"), F.struct("share", "node")).alias("c"))
-        met = rest.join(centre, "h").select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.common").alias("ma"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("mb"))
-        linked = links(met.filter("a != b").filter(_may_be_similar(similarity)), "similar-to-centre")
+        centre = rest.groupBy("p", "key").agg(F.max(F.struct("share", "node")).alias("c")).select("p", "key", F.col("c.node").alias("a"))
+        linked = links(rest.join(centre, ["p", "key"]).filter("a != node").select("a", F.col("node").alias("b")), "similar-to-centre")
         edges = edges.unionByName(linked)
         if i + 1 < CENTRES:
             tied = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).distinct()
             rest = written(rest.join(tied, "node", "left_anti"), "not-linked")
     roots = components(edges)
 
-    # The remainder: who is outside the largest component of a group meets all of the group outside its own component.
-    large = written(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "group-components")
-    main = large.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_ = written(large.join(main, "h").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "open-groups")
-    x = open_.filter("root != main").select("h", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("common").alias("ma"), F.col("root").alias("ra"))
-    y = open_.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("mb"), F.col("root").alias("rb"), (F.col("root") != F.col("main")).alias("outer"))
-    # Two outside the largest component meet from both sides: one of them is enough.
-    rest = x.join(y, ["h", "part"]).filter("ra != rb AND (a < b OR NOT outer)").filter(_may_be_similar(similarity))
-    more = links(rest, "similar-remainder")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    of = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("group_id"))
-    return sig.join(of, same).select(F.col("id").alias(id_col), "group_id")
+    # Who is outside the largest component of a part meets all of the part, block by block.
+    large = written(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "part-components")
+    sums = large.groupBy("p", "key", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    main = sums.groupBy("p", "key").agg(F.max(F.struct("k", "s", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("k"), F.sum("s").alias("s")).filter("roots > 1")
+    blocks_of = lambda k, s: F.greatest(F.ceil(k / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    main = main.select("p", "key", F.col("m.root").alias("main"), blocks_of(F.col("k") - F.col("m.k"), F.col("s") - F.col("m.s")).alias("xs"), blocks_of(F.col("k"), F.col("s")).alias("ys"))
+    open_ = large.join(main, ["p", "key"])
+    at = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    x = open_.filter("root != main").select("p", "key", "node", "root", F.lit(True).alias("outer"), at(F.col("xs")).alias("xb"), every("ys").alias("yb"))
+    y = open_.select("p", "key", "node", "root", F.lit(False).alias("outer"), at(F.col("ys")).alias("yb"), every("xs").alias("xb"))
+    met = x.unionByName(y).join(sets, "node").groupBy("p", "key", "xb", "yb").applyInArrow(lambda t: _block_links(t, similarity), "a bigint, b bigint")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(written(met, "similar-blocks")))
+    of = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    of = of.join(of.groupBy("root").agg(F.min("id").alias("group_id")), "root").select("node", "group_id")
+    return sig.select("id", "node").join(of, "node").select(F.col("id").alias(id_col), "group_id")

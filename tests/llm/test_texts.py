@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as D
 from tessera.llm import licences, line_dedup, pii, pu_quality, similar, warc
@@ -178,80 +179,84 @@ def test_classifier_on_held_out_rows(spark):
     assert pu_quality.classify(d.limit(0), labels).count() == 0
 
 
-def test_similar_groups_match_brute_force(spark, sf):
-    base = prose(7, 150).split()
-    near = []
-    for i in range(60):
-        w = list(base)
-        for j in np.random.default_rng(i).integers(0, 150, i % 4):
-            w[j] = f"new{i}"
-        near.append(" ".join(w))
-    for df, paired in ((docs(spark, near + awkward()), 100), (table_docs(spark, sf), 32)):
-        shingles = {}
-        for r in df.collect():
-            w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or ""))
-            shingles[r.doc_id] = frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else [])
-        root = {i: i for i in shingles}
-
-        def find(i, root=root):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for i in sorted(shingles):
-            for j in sorted(shingles):
-                a, b = shingles[i], shingles[j]
-                if i < j and (a == b or len(a & b) >= 0.8 * len(a | b)):
-                    x, y = find(i), find(j)
-                    root[max(x, y)] = min(x, y)
-        got = {r.doc_id: r.group_id for r in similar.similar_groups(df, paired=paired).collect()}
-        assert got == {i: find(i) for i in shingles}
-    hot = {r.doc_id: r.group_id for r in similar.similar_groups(docs(spark, near), paired=8).collect()}
-    assert len(set(hot.values())) <= 3
-    assert similar.similar_groups(docs(spark, [])).count() == 0
+def shingle_set(text, chain=5):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(w[i : i + chain]) for i in range(len(w) - chain + 1)) or frozenset([" ".join(w)] if w else [])
+
 
+def alike(a, b):
+    """The cosine of two sets of shingles is 0.8 or more."""
+    return a == b or len(a & b) ** 2 >= 0.64 * len(a) * len(b) - 1e-6 and len(a & b) > 0
 
-def brute_groups(texts, chain=5):
+
+def brute_groups(texts):
     """The smallest number that each text is tied to by a similarity of 0.8, over all pairs."""
-    sets = []
-    for t in texts:
-        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append(frozenset(" ".join(w[i : i + chain]) for i in range(len(w) - chain + 1)) or frozenset([" ".join(w)] if w else []))
-    root = list(range(len(sets)))
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and alike(sets[i], sets[j]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in range(len(sets))}
+    return {i: find(i) for i in sets}
+
+
+def groups_of(df, **more):
+    return {r.doc_id: r.group_id for r in similar.similar_groups(df, **more).collect()}
 
 
-def test_similar_groups_in_large_parts_match_brute_force(spark):
-    passage = prose(1, 132, 4000)  # texts that share it have a similarity of 0.78; the pairs share three words more, 0.81
+def test_similar_groups_match_brute_force(spark, sf):
+    base = prose(7, 150).split()
+    near = []
+    for i in range(60):
+        w = list(base)
+        for j in np.random.default_rng(i).integers(0, 150, i % 4):
+            w[j] = f"new{i}"
+        near.append(" ".join(w))
+    for df, paired in ((docs(spark, near + awkward()), 100), (table_docs(spark, sf), 32)):
+        want = brute_groups({r.doc_id: r.text for r in df.collect()})
+        assert groups_of(df, paired=paired) == want
+    assert len(set(groups_of(docs(spark, near), paired=8).values())) <= 3
+    assert similar.similar_groups(docs(spark, [])).count() == 0
+
+
+def test_similar_groups_in_large_parts_match_brute_force(spark, monkeypatch):
+    passage = prose(1, 118, 4000)  # texts that share it have a similarity of 0.78; the pairs share three words more, 0.80
     texts = []
     for i in range(150):
-        more = prose(1000 + i, 33, 4000).split()
-        texts += [" ".join([passage, *more[:18]]), " ".join([passage, *more[:3], *more[18:]])]
-    want = brute_groups(texts)
+        more = prose(1000 + i, 61, 4000).split()
+        texts += [" ".join([passage, *more[:32]]), " ".join([passage, *more[:3], *more[32:]])]
+    want = brute_groups(dict(enumerate(texts)))
     assert len(set(want.values())) > 100
-    assert {r.doc_id: r.group_id for r in similar.similar_groups(docs(spark, texts)).collect()} == want
+    assert groups_of(docs(spark, texts)) == want
+    monkeypatch.setattr(similar, "BLOCK", 64)  # many blocks
+    assert groups_of(docs(spark, texts)) == want
     chains = []
     for c in range(4):  # texts that are tied to their neighbours only, and texts near to none
         w = prose(c, 150, 4000).split()
         for i in range(25):
             w = [*w[: 5 * i], *[f"new{c}x{i}x{j}" for j in range(5)], *w[5 * i + 5 :]]
             chains.append(" ".join(w))
-        chains += [" ".join([*prose(c, 150, 4000).split()[:120], *prose(50 + i, 30).split()]) for i in range(10)]
-    want = brute_groups(chains)
+        chains += [" ".join([*prose(c, 150, 4000).split()[:100], *prose(50 + i, 50).split()]) for i in range(10)]
+    want = brute_groups(dict(enumerate(chains)))
     assert len(set(want.values())) > 4
     for paired in (2, 8):
-        assert {r.doc_id: r.group_id for r in similar.similar_groups(docs(spark, chains), paired=paired).collect()} == want
+        assert groups_of(docs(spark, chains), paired=paired) == want
+
+
+def test_similar_groups_of_odd_rows(spark):
+    a, b = prose(3, 80), prose(4, 80)
+    rows = [(None, a, 1, 2), (5, a, 3, 4), (7, b, 5, 6), (7, a, 7, 8), (9, b + " more", 9, 10), (None, "alone here", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, node int, id int").withColumn("group_id", F.lit("x"))
+    got = sorted(((r.doc_id, r.group_id) for r in similar.similar_groups(df).collect()), key=repr)
+    # Rows that share an id count each for itself: 7 is in both groups.
+    assert got == sorted([(None, 5), (5, 5), (7, 7), (7, 5), (9, 7), (None, None)], key=repr)
 
 
 def test_sql_forms(spark, sf):
