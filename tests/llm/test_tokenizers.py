@@ -1,8 +1,11 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import sentencepiece_lattice as L
 from tessera.llm import token_counts as C
-from tessera.llm.pieces import UNITS, segments, vocabulary
+from tessera.llm.pieces import UNITS, vocabulary
 
 from .fixtures import awkward, docs, table_docs
 
@@ -41,37 +44,73 @@ def test_counts_match_the_library(spark, sf, library):
         assert {r.doc_id: r.n_tokens for r in C.token_counts(df).collect()} == want
 
 
-def test_lattice_matches_the_library(spark, v, library):
-    df = docs(spark, [t for t in awkward() if t is None or "\x00" not in t])
-    got = {r.seg: list(r.ids) for r in L.encode_segments(L.distinct_segments(df, v), v).collect()}
-    for t in texts_of(df).values():
-        if len(t) < 20000:
-            assert [i for s in segments(v)(t) for i in got[s]] == library.encode(t)
-
-
-def test_digest_matches_brute_force(spark, sf, v, library, monkeypatch):
-    import numpy as np
-
+def plain_viterbi(text, v):
+    """The best pieces of a text, by exact sums and the rule for ties, in plain Python."""
+    t = "▁" + text.replace(" ", "▁") if text else ""
+    piece = {p: (i, s) for p, i, s in v.pieces}
+    best = [(0, None, None)] + [None] * len(t)
+    for e in range(1, len(t) + 1):
+        for b in range(max(0, e - v.longest), e):
+            known = piece.get(t[b:e]) or ((None, v.unknown) if e - b == 1 else None)
+            if known and (best[e] is None or best[b][0] + known[1] > best[e][0]):
+                best[e] = best[b][0] + known[1], b, known[0]
+    out, e = [], len(t)
+    while e:
+        _, b, i = best[e]
+        out.append([i] if i is not None else [v.first_byte + x for x in t[b:e].encode()])
+        e = b
+    return [i for x in reversed(out) for i in x]
+
+
+def long_texts():
+    """Unbroken texts of one word: letters, digits and letters, another script; and a long text of words."""
+    r = random.Random(3)
+    return ["".join(r.choice("etaoinshrdlu") for _ in range(3000)), "".join(r.choice("abcdefXYZ0123456789+/") for _ in range(5000)), "漢字仮名交" * 300, "😀" * 700, awkward()[13]]
+
+
+@pytest.mark.parametrize("most", [0, 50, L.FREQUENT])
+def test_encoded_documents_match_plain_viterbi_and_the_library(spark, v, library, most):
+    texts = [*awkward(), *long_texts(), "a ▁ b"]
+    df = docs(spark, texts)
+    got = {r.doc_id: list(r.ids) for r in L.encode(df, most=most).collect()}
+    for i, t in texts_of(df).items():
+        assert got[i] == plain_viterbi(t, v), i
+        if len(t) < 20000 and "\x00" not in t:
+            assert got[i] == library.encode(t), i
+
+
+def test_tables_encode_as_the_library_does_and_decode(spark, sf, library):
     df = table_docs(spark, sf)
-    monkeypatch.setattr(L, "frequent", lambda t, v, f=L.frequent: f(t, v, 50))
-    got = {r.doc_id: r for r in L.encode_digest(df).collect()}
-    assert len(got) == df.count()
-    for i, t in list(texts_of(df).items())[:60]:
-        cut = segments(v)(t)
-        ids = [library.encode(s.replace("▁", " "))[0:] for s in cut]
-        assert got[i].n_segments == len(cut) and got[i].n_pieces == len(library.encode(t)) and got[i].round_trip
-        counter = C.Counter(v)
-        assert got[i].n_pieces == sum(counter[s] & ((1 << 40) - 1) for s in cut)
-        del ids
-    assert len({r.ids_sum for r in got.values()}) >= len({t for t in texts_of(df).values()})
-    assert np.all([r.n_pieces >= r.n_segments for r in got.values()])
-
-
-def test_decode_is_the_inverse(spark, v):
-    df = docs(spark, awkward()[:10])
-    enc = L.encode_segments(L.distinct_segments(df, v), v)
-    back = {r.seg: r.text for r in L.decode(enc, v).collect()}
-    assert all(("▁" + t).startswith("▁") and t == L.unescape(s) for s, t in back.items())
+    encoded = L.encode(df, most=500)
+    got = {r.doc_id: list(r.ids) for r in encoded.collect()}
+    want = texts_of(df)
+    assert {i: library.encode(t) for i, t in want.items()} == got
+    assert texts_of(L.decode(encoded)) == want
+    rows = L.encode_digest(df).collect()
+    assert len(rows) == df.count() and all(r.round_trip and r.n_pieces == len(got[r.doc_id]) >= r.n_segments for r in rows)
+    assert len({r.ids_hash for r in rows}) == len(set(want.values()))
+
+
+def test_round_trip_is_of_the_whole_text(spark):
+    texts = [t for t in awkward() if t is None or len(t) < 20000]
+    rows = {r.doc_id: r.round_trip for r in L.encode_digest(docs(spark, [*texts, "a ▁ b"])).collect()}
+    assert all(rows[i] for i in range(len(texts))) and not rows[len(texts)]
+
+
+def test_a_word_of_many_characters(spark, v):
+    r = random.Random(4)
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(200_000))
+    (row,) = L.encode_digest(docs(spark, [text])).collect()
+    assert row.round_trip and row.n_pieces == C.token_counts(docs(spark, [text])).first().n_tokens
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id int, text string")
+    df = df.select("*", *[F.lit("x").alias(c) for c in ("id", "h", "n", "key", "ids", "pieces", "rare", "seg")])
+    for most in (0, L.FREQUENT):
+        rows = L.checked(L.encode(df, most=most)).collect()
+        assert sorted([(r.doc_id or 0, len(r.ids), r.round_trip) for r in rows]) == sorted([(0, 1, True), (1, 2, True), (1, 2, True), (2, 0, True)])
+    assert {(r.doc_id, r.n_tokens) for r in C.token_counts(df.withColumn("s", F.lit(1))).collect()} == {(1, 2), (None, 1), (2, 0)}
 
 
 def test_empty_table(spark):
