@@ -86,15 +86,22 @@ def test_tables_encode_as_the_library_does_and_decode(spark, sf, library):
     want = texts_of(df)
     assert {i: library.encode(t) for i, t in want.items()} == got
     assert texts_of(L.decode(encoded)) == want
-    rows = L.encode_digest(df).collect()
-    assert len(rows) == df.count() and all(r.round_trip and r.n_pieces == len(got[r.doc_id]) >= r.n_segments for r in rows)
-    assert len({r.ids_hash for r in rows}) == len(set(want.values()))
+    assert all(r.round_trip and r.n_pieces == len(r.ids) for r in L.checked(encoded).collect())
+    sums = []
+    for most in (0, 500, L.FREQUENT):
+        rows = L.encode_digest(df, most=most).collect()
+        assert len(rows) == df.count() and all(r.round_trip and r.n_pieces == len(got[r.doc_id]) >= r.n_segments for r in rows)
+        assert len({r.ids_sum for r in rows}) == len(set(want.values()))
+        sums.append({(r.doc_id, r.n_segments, r.ids_sum) for r in rows})
+    assert sums[0] == sums[1] == sums[2]
 
 
 def test_round_trip_is_of_the_whole_text(spark):
     texts = [t for t in awkward() if t is None or len(t) < 20000]
-    rows = {r.doc_id: r.round_trip for r in L.encode_digest(docs(spark, [*texts, "a ▁ b"])).collect()}
-    assert all(rows[i] for i in range(len(texts))) and not rows[len(texts)]
+    df = docs(spark, [*texts, "a ▁ b"])
+    for out in (L.encode_digest(df), L.checked(L.encode(df))):
+        rows = {r.doc_id: r.round_trip for r in out.collect()}
+        assert all(rows[i] for i in range(len(texts))) and not rows[len(texts)]
 
 
 def test_a_word_of_many_characters(spark, v):
@@ -110,6 +117,8 @@ def test_odd_rows(spark):
     for most in (0, L.FREQUENT):
         rows = L.checked(L.encode(df, most=most)).collect()
         assert sorted([(r.doc_id or 0, len(r.ids), r.round_trip) for r in rows]) == sorted([(0, 1, True), (1, 2, True), (1, 2, True), (2, 0, True)])
+        rows = L.encode_digest(df, most=most).collect()
+        assert sorted([(r.doc_id or 0, r.n_pieces, r.round_trip) for r in rows]) == sorted([(0, 1, True), (1, 2, True), (1, 2, True), (2, 0, True)])
     assert {(r.doc_id, r.n_tokens) for r in C.token_counts(df.withColumn("s", F.lit(1))).collect()} == {(1, 2), (None, 1), (2, 0)}
 
 
