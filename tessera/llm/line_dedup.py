@@ -1,122 +1,157 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the shortest run of lines from a line on that has at least ``min_words``
-words. The ordering that picks a window's minimum puts a line that has ``min_words``
-words by itself first; then that line is the fingerprint. A window that has none is a
-fingerprint as a whole, under the hash of its line hashes. So every repeated run of
-whole lines with ``min_words`` words or more shares at least one fingerprint with its
-first occurrence (the guarantee of winnowing, counted in words instead of lines).
-
-The positions of each fingerprint are joined to its first one, by (id, line). From
-there the match is extended both ways over the short lines next to it, up to the
-next line that is a fingerprint by itself: that one is matched under its own hash.
-Every later run goes; the first occurrence of a line content always stays, because a
-line is only deleted for an earlier equal line.
-
-No texts are shuffled to find the runs: 64-bit line hashes and the short lines beside
-a fingerprint travel, and the first positions are found by an aggregate that
-combines before the shuffle. Pairs are (position, first position) only, so that a line
-which a third of all documents holds gives as many rows as it has positions; the
-optimiser's skew join splits its key.
-
-Defined cases: a null text is the empty text, which has one line without words;
-a text without line feed is one line; the order of documents is that of the id, a null
-id first (it never loses lines); rows that share an id share what they lose; of equal
-documents all but the one with the smallest id lose their lines of ``min_words`` words;
-columns besides the id and the text are kept by ``dedup_lines``; an empty table gives
-an empty result. Lines are split at \\n alone, and a line's other
-white space counts.
+Every line with a word has a 128-bit hash. A window is the shortest run of lines from a line on that has at least ``guarantee``
+words; of each window the line with the smallest hash is selected (the last one of equals). A run of whole lines with
+``guarantee`` words or more holds a window, so wherever it is repeated the same of its lines are selected: the guarantee of
+winnowing, counted in words.
+
+Positions that share a fingerprint are joined to the first of them, by (id, line). A match is extended both ways: a line
+beside a selected one is repeated if the whole run from the selected line up to it is found earlier. A run is told by a
+hash of its lines' hashes and reaches as far as one window; the next selected line takes over there, so a repeated run is
+followed to both its ends however long it is, and each line's run meets whichever earlier document has that run, not only
+the first one that has the selected line. Every later run goes; the first occurrence of a line content always stays,
+because a line only goes for an equal line that is earlier.
+
+No texts are shuffled to find the runs, hashes are. Positions are joined to first positions only, so a line that a third of all
+documents hold gives as many rows as it has positions. The keys of over a thousandth of all rows are at most a thousand,
+so their first positions are broadcast; the others are joined by key.
+
+Defined cases: a null text is the empty text, which has one line without words; a text without line feed is one line; the
+order of documents is that of the id, a null id first (it never loses lines), then of the text's hash; rows that are equal in id
+and text are one document; rows that share only the id are documents of their own; texts of fewer than ``guarantee`` words have no
+fingerprint and lose lines only beside none, so they stay; very long texts cost memory in proportion to their length;
+columns besides the id and the text are kept by ``dedup_lines``, whatever their names; an empty table gives an empty
+result. Lines are split at \\n alone, and a line's other white space counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from .common import WORD_RX, whole_text, written
-
-MIN_WORDS = 5
-
-
-def _common_prefix(a: Column, b: Column) -> Column:
-    """How many elements two arrays of lines share from the front, by hash."""
-    both = F.zip_with(a, b, lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
-    first_off = F.array_position(both, F.lit(False))
-    return F.when(first_off == 0, F.size(both)).otherwise(first_off - 1).cast("int")
-
-
-def _while_short(a: Column, min_words: int) -> Column:
-    """The lines of an array in front of the first one that has ``min_words`` words."""
-    stop = F.array_position(F.transform(a, lambda x: x["w"] >= min_words), F.lit(True))
-    return F.when(stop == 0, a).otherwise(F.slice(a, 1, (stop - 1).cast("int")))
-
-
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, pos, own, key, before, after: the fingerprints and the short lines beside them.
-
-    Lines are structs of hash, words and position. ``own`` are the lines of the window
-    (one for a line with enough words), ``before`` the short lines in front, nearest
-    first, ``after`` those behind. Each is of ``min_words`` lines at most: beyond that
-    the next window matches for itself.
-    """
-    t = min_words
-    line = lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD_RX)).alias("w"), i.alias("p"))
-    lines = F.filter(F.transform(F.split(whole_text(docs, text_col), "\n", -1), line), lambda x: x["w"] > 0)
-    d = docs.select(F.col(id_col).alias("id"), lines.alias("a"))
-    around = F.transform(
-        "a",
-        lambda x, i: F.struct(
-            F.slice(F.col("a"), F.greatest(i - t, F.lit(0)) + 1, F.least(i, F.lit(t))).alias("back"),
-            F.slice(F.col("a"), i + 1, F.lit(2 * t)).alias("fwd"),
-        ),
-    )
-    d = d.select("id", F.explode(around).alias("x")).select("id", "x.back", "x.fwd")
-    # Lines of the window from here on: 0 if a line with enough words comes in between, or too few follow.
-    end = F.aggregate(
-        "fwd",
-        F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"), F.lit(False).alias("lone")),
-        lambda s, x: F.when((s["w"] >= t) | s["lone"], s).otherwise(
-            F.struct((s["w"] + x["w"]).alias("w"), (s["n"] + 1).alias("n"), ((s["n"] > 0) & (x["w"] >= t)).alias("lone"))
-        ),
-        lambda s: F.when(s["lone"] | (s["w"] < t), 0).otherwise(s["n"]),
-    )
-    d = d.select("id", "back", "fwd", end.alias("n")).filter("n > 0")
-    own = F.slice("fwd", F.lit(1), F.col("n"))
-    return d.select(
-        "id",
-        F.get("fwd", F.lit(0))["p"].alias("pos"),
-        F.transform(own, lambda x: x["p"]).alias("own"),
-        F.when(F.col("n") == 1, F.get("fwd", F.lit(0))["h"]).otherwise(F.xxhash64(F.lit("window"), F.transform(own, lambda x: x["h"]))).alias("key"),
-        _while_short(F.reverse("back"), t).alias("before"),
-        _while_short(F.slice("fwd", F.col("n") + 1, F.lit(t)), t).alias("after"),
-    )
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """id, lines (positions of the run), first_id, first_pos: each later occurrence with the first one."""
-    fp = written(fingerprints(docs, id_col, text_col, min_words), "line-fingerprints")
-    first = fp.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("f"), F.min_by(F.struct("before", "after"), F.struct("id", "pos")).alias("beside"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").select("key", "f", F.col("beside.before").alias("fb"), F.col("beside.after").alias("fa"))
-    m = fp.join(first, "key").filter(F.struct("id", "pos") != F.col("f"))
-    at = lambda c, n: F.transform(F.slice(c, F.lit(1), n), lambda x: x["p"])
-    run = F.concat(at("before", _common_prefix(F.col("before"), F.col("fb"))), F.col("own"), at("after", _common_prefix(F.col("after"), F.col("fa"))))
-    return m.select(F.col("id").alias(id_col), F.array_sort(run).alias("lines"), F.col("f.id").alias("first_id"), F.col("f.pos").alias("first_pos"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later repeated runs, in the columns they had, with ``n_lines`` and ``n_removed``."""
-    runs = repeated_runs(docs, id_col, text_col, min_words)
-    gone = runs.groupBy(F.col(id_col).alias("_id")).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("_gone"))
-    d = docs.join(gone, docs[id_col] == gone["_id"], "left")
-    text = whole_text(docs, text_col)
-    lines = F.split(text, "\n", -1)
-    stay = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(stay, "\n"))
-    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return d.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns], n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import whole_text, written
+
+GUARANTEE = 25
+#: A key that has over 1 / HEAVY of all rows is heavy: there are at most HEAVY of them.
+HEAVY = 1000
+#: Rows of fingerprints that a task hands on together.
+ROWS = 1 << 15
+
+_hash = xxhash.xxh3_128_digest
+
+
+def selected(hashes: list[bytes], words: list[int], guarantee: int) -> list[int]:
+    """The lines that some window selects, in order."""
+    out: list[int] = []
+    end, inside = 0, 0
+    for i in range(len(hashes)):
+        while end < len(hashes) and inside < guarantee:
+            inside += words[end]
+            end += 1
+        if inside < guarantee:
+            break
+        if not (out and out[-1] >= i and all(hashes[k] > hashes[out[-1]] for k in range(out[-1] + 1, end))):
+            out.append(min(range(i, end), key=lambda k: (hashes[k], -k)))
+        inside -= words[i]
+    return out
+
+
+def runs(hashes: list[bytes], words: list[int], guarantee: int) -> Iterator[tuple[int, bytes]]:
+    """(line, key): each selected line under its own key, and lines beside it under that of the run between."""
+    for f in selected(hashes, words, guarantee):
+        yield f, _hash(b"=" + hashes[f])
+        for way, step in ((b">", 1), (b"<", -1)):
+            key, between, k = way + hashes[f], 0, f + step
+            while 0 <= k < len(hashes) and between < guarantee:
+                key = way + _hash(key + hashes[k])
+                if words[k] < guarantee:  # others are windows, and so selected, by themselves
+                    yield k, _hash(key)
+                between += words[k]
+                k += step
+
+
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], guarantee: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, sums, places, keys = [], [], [], []
+
+        def out(batch=batch, ids=ids, sums=sums, places=places, keys=keys) -> pa.RecordBatch:
+            b = pa.record_batch([batch.column(0).take(pa.array(ids, type=pa.int64())), pa.array(sums, type=pa.int64()), pa.array(places, type=pa.int32()), pa.array(keys, type=pa.binary())], names=["id", "sum", "pos", "key"])
+            for x in (ids, sums, places, keys):
+                x.clear()
+            return b
+
+        for i, t in enumerate(batch.column(1)):
+            raw = t.as_py().encode("utf-8", "surrogatepass")
+            own = xxhash.xxh64_intdigest(raw, 42)
+            own -= (own >> 63) << 64
+            lines = [(k, x, n) for k, x in enumerate(raw.split(b"\n")) if (n := len(x.split()))]
+            for k, key in runs([_hash(x) for _, x, _ in lines], [n for _, _, n in lines], guarantee):
+                ids.append(i)
+                sums.append(own)
+                places.append(lines[k][0])
+                keys.append(key)
+            if len(ids) > ROWS:
+                yield out()
+        yield out()
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, guarantee: int = GUARANTEE) -> DataFrame:
+    """id, sum (XXH64 of the text), pos, key: the selected lines and the lines that runs tie to them."""
+    d = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("t"))
+    return d.mapInArrow(lambda it: _fingerprint_batches(it, guarantee), f"id {docs.schema[id_col].dataType.simpleString()}, sum bigint, pos int, key binary")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", guarantee: int = GUARANTEE) -> DataFrame:
+    """id, sum, pos, first: the lines of later repeated runs with the place (id, sum, pos) of the first such run's line."""
+    fp = written(fingerprints(docs, id_col, text_col, guarantee), "line-fingerprints")
+    at = F.struct("id", "sum", "pos")
+    first = written(fp.groupBy("key").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-firsts")
+    heavy = first.filter(F.col("n") * HEAVY > F.lit(fp.count()))
+    light = first.join(heavy, "key", "left_anti")
+    joined = fp.join(F.broadcast(heavy), "key").unionByName(fp.join(F.broadcast(heavy.select("key")), "key", "left_anti").join(light, "key"))
+    return joined.filter(~at.eqNullSafe(F.col("first"))).select("id", "sum", "pos", "first")
+
+
+def _stripped_batches(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts, n_lines, n_removed = [], [], []
+        for t, gone in zip(b.column(text_at), b.column("gone")):
+            text, gone = t.as_py() or "", set(gone.as_py() or ())
+            lines = text.split("\n") if gone else []
+            texts.append("\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text)
+            n_lines.append(text.count("\n") + 1)
+            n_removed.append(len(gone))
+        cols = [b.column(c) for c in b.schema.names[:-1]]
+        cols[text_at] = pa.array(texts, type=pa.string())
+        yield pa.record_batch([*cols, pa.array(n_lines, type=pa.int64()), pa.array(n_removed, type=pa.int64())], names=[*b.schema.names[:-1], "lines", "removed"])
+
+
+def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", guarantee: int = GUARANTEE) -> tuple[DataFrame, list[str]]:
+    """The documents without later repeated runs, with ``lines`` and ``removed``; their own columns have the names that come with it."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    sums = F.xxhash64(whole_text(docs, text_col)).alias("sum")
+    gone = repeated_lines(docs, id_col, text_col, guarantee).groupBy("id", "sum").agg(F.collect_set("pos").alias("gone"))
+    plain = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], sums)
+    own = names[docs.columns.index(id_col)]
+    d = plain.join(gone, (plain[own] == gone["id"]) & (plain["sum"] == gone["sum"]), "left").select(*names, "gone")
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)]
+    schema = T.StructType([*fields, T.StructField("lines", T.LongType()), T.StructField("removed", T.LongType())])
+    text_at = docs.columns.index(text_col)
+    return d.mapInArrow(lambda it: _stripped_batches(it, text_at), schema), names
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", guarantee: int = GUARANTEE) -> DataFrame:
+    """The documents without later repeated runs, in the columns they had."""
+    out, names = stripped(docs, id_col, text_col, guarantee)
+    return out.select(*[out[n].alias(c) for n, c in zip(names, docs.columns)])
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, md5 of the text that stays."""
-    out = dedup_lines(docs)
-    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.md5("text").alias("kept_md5"))
+    out, names = stripped(docs.select("doc_id", "text"))
+    return out.select(out[names[0]].alias("doc_id"), out["lines"].alias("n_lines"), out["removed"].alias("n_removed"), F.md5(names[1]).alias("kept_md5"))

@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as D
@@ -15,53 +16,36 @@ from tessera.llm import licences, line_dedup, pii, pu_quality, similar, warc
 from .fixtures import WORD, awkward, docs, prose, table_docs
 
 
-def brute_lines(texts, t=line_dedup.MIN_WORDS):
-    """Kept text of each document by the rules of the module, in plain Python."""
-    lines = {i: [(p, x) for p, x in enumerate((s or "").split("\n")) if WORD.search(x)] for i, s in texts.items()}
-    n = lambda x: len(WORD.findall(x))
-    first, fps = {}, []
-    for i in sorted(lines):
+def brute_lines(texts, t=line_dedup.GUARANTEE):
+    """Kept text of each document by the rules of the module: windows, minima and runs as lists of lines, in plain Python."""
+    lines = {i: [(p, x, len(WORD.findall(x))) for p, x in enumerate((s or "").split("\n")) if WORD.search(x)] for i, s in texts.items()}
+    weight = lambda x: xxhash.xxh3_128_digest(x.encode())
+    occurrences = collections.defaultdict(list)
+    for i in lines:
         a = lines[i]
+        chosen = set()
         for k in range(len(a)):
-            m, w = 0, 0
-            while k + m < len(a) and w < t and not (m and n(a[k + m][1]) >= t):
-                w += n(a[k + m][1])
-                m += 1
-            if w < t:
-                continue
-            key = tuple(x for _, x in a[k : k + m])
-            before = []
-            for q in a[max(0, k - t) : k][::-1]:
-                if n(q[1]) >= t:
+            for m in range(k + 1, len(a) + 1):
+                if sum(n for _, _, n in a[k:m]) >= t:
+                    chosen.add(max(j for j in range(k, m) if weight(a[j][1]) == min(weight(x) for _, x, _ in a[k:m])))
                     break
-                before.append(q)
-            after = []
-            for q in a[k + m : k + m + t][: 2 * t - m]:
-                if n(q[1]) >= t:
-                    break
-                after.append(q)
-            fps.append((i, k, a[k : k + m], key, before, after))
-            first.setdefault(key, (i, k, before, after))
-    gone = collections.defaultdict(set)
-    for i, k, own, key, before, after in fps:
-        fi, fk, fb, fa = first[key]
-        if (fi, fk) == (i, k):
-            continue
-        gone[i] |= {p for p, _ in own}
-        for mine, theirs in ((before, fb), (after, fa)):
-            for (p, x), (_, y) in zip(mine, theirs):
-                if x != y:
-                    break
-                gone[i].add(p)
-    return {i: "\n".join(x for p, x in enumerate((s or "").split("\n")) if p not in gone[i]) for i, s in texts.items()}
+        for f in chosen:
+            for k in range(len(a)):
+                lo, hi = min(f, k), max(f, k)
+                if sum(n for _, _, n in a[lo + 1 : hi]) < t and (k == f or a[k][2] < t):
+                    occurrences[k > f, k < f, tuple(x for _, x, _ in a[lo : hi + 1])].append((i, a[k][0]))
+    gone = {x for places in occurrences.values() for x in places if x != min(places)}
+    return {i: "\n".join(x for p, x in enumerate((s or "").split("\n")) if (i, p) not in gone) for i, s in texts.items()}
 
 
 def lines_table(spark):
     head = "a header line that all of them share"
-    poem = "one two\nthree\nfour five\nsix\nseven"
+    poem = "one two\nthree\nfour five\nsix\nseven\n" * 6
+    passage = "\n".join(prose(70 + i, 9) for i in range(8))
     texts = [
         f"{head}\n{prose(1, 30)}\nshort\n{poem}", f"{prose(2, 30)}\n{head}\nshort", f"x\n{poem}\ny", f"{head}\n\n  \nthree\nfour five\nsix\nseven eight",
-        f"{head}\n{head}\n{head}", poem, "", None, "word", f"{prose(2, 30)}", "\n".join(["a b"] * 40), "\n".join(["a b"] * 7), *awkward()[:12],
+        f"{head}\n{head}\n{head}", poem, "", None, "word", f"{prose(2, 30)}", "\n".join(["a b"] * 40), "\n".join(["a b"] * 7),
+        f"{prose(5, 12)}\n{passage}\n{prose(6, 12)}", f"other\n{passage}", f"{prose(7, 40)}\nA b", f"{prose(7, 40)}\nC d", f"{prose(7, 40)}\nC d", *awkward(),
     ]
     return docs(spark, texts)
 
@@ -74,6 +58,27 @@ def test_line_dedup_matches_brute_force(spark, sf):
     assert line_dedup.line_digest(docs(spark, [])).count() == 0
 
 
+def test_repeated_passages_go_wherever_they_stand(spark):
+    passage = "\n".join(prose(70 + i, 9) for i in range(8))
+    texts = [f"{prose(1, 12)}\n{passage}\n{prose(2, 12)}", f"{prose(3, 40)}\n{passage}\n{prose(4, 7)}", passage]
+    # The run of the second and third text is not beside the first occurrence of its long line.
+    texts += [f"{prose(7, 40)}\nA b", f"{prose(7, 40)}\nC d", f"{prose(7, 40)}\nC d"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: f"{prose(3, 40)}\n{prose(4, 7)}", 2: "", 3: texts[3], 4: "C d", 5: ""}
+
+
+def test_line_dedup_of_odd_rows(spark):
+    a, b = prose(3, 40), prose(4, 40)
+    rows = [(None, a), (5, a), (7, b), (7, f"{a}\n{b}"), (7, b), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").select("*", *[F.lit("x").alias(c) for c in ("n_lines", "n_removed", "lines", "gone", "id", "sum", "key", "c0")])
+    out = line_dedup.dedup_lines(df)
+    assert out.dtypes == df.dtypes
+    first = min((xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 for t in (b, f"{a}\n{b}")) == (xxhash.xxh64_intdigest(b.encode(), 42) + 2**63) % 2**64
+    want = [(None, a), (5, ""), (7, b if first else ""), (7, b if first else ""), (7, "" if first else b), (9, "")]
+    assert sorted([(r.doc_id or 0, r.text) for r in out.collect()]) == sorted([(i or 0, t) for i, t in want])
+    assert [r.n_removed for r in line_dedup.line_digest(df).filter("doc_id = 9").collect()] == [1]
+
+
 def test_every_line_content_survives(spark, sf):
     df = table_docs(spark, sf)
     every = {x for r in df.collect() for x in r.text.split("\n")}
