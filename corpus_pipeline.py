@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD_RX, table, written
 from tessera.llm.decontaminate import decontaminate
-from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.line_dedup import stripped
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sentencepiece_lattice import checked
 from tessera.llm.sentencepiece_lattice import encode as encode_pieces
@@ -28,10 +28,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of lines go; a document that has lost all its words goes too."""
-    out = dedup_lines(docs)
-    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD_RX))
-    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out, names = stripped(docs)
+    text = names[docs.columns.index("text")]
+    out = out.filter((F.col("removed") == 0) | F.col(text).rlike(WORD_RX))
+    n_chars = lambda n: F.when(F.col("removed") == 0, F.col(n)).otherwise(F.length(text).cast("long"))
+    return out.select(*[(n_chars(n) if c == "n_chars" else out[n]).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
