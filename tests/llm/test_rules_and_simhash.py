@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import quality_rules as Q
 from tessera.llm import simhash as S
@@ -89,7 +90,38 @@ def test_distribution_sums_to_one(spark):
     assert 0.98 < np.exp(h.score("en", keys).astype(float)).sum() <= 1.01
 
 
-def test_bands_reject_other_text(spark):
+def test_unseen_n_grams_back_off_in_a_full_table(spark):
+    texts = [prose(i, 60) for i in range(4)]
+    h = Q.hashed(Q.kneser_ney(Q.count_grams(docs(spark, texts))))
+    want = brute_kneser_ney(texts, Q.ORDER)
+    letters = sorted(set("".join(texts)))
+    rng = np.random.default_rng(2)
+    unseen = [g for g in ("".join(rng.choice(letters, 4)) for _ in range(3000)) if g not in want][:400]
+    assert len(unseen) == 400 and h.whole
+
+    def p(g):
+        k = len(g)
+        if not g or g in want:
+            return want[g] if g else want["gamma", 1, ""] * 2.0**-16
+        return want.get(("gamma", k, g[:-1]), 1.0) * p(g[1:])
+
+    keys = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in unseen], dtype=np.uint64)
+    got = h.score("en", keys)
+    assert all(math.isclose(x, math.log(p(g)), rel_tol=1e-4) for x, g in zip(got, unseen))
+
+
+def test_what_is_not_broadcast_is_joined(spark, monkeypatch):
+    rows = [(None, prose(1, 60), "en"), (1, prose(2, 60), "de"), (1, prose(2, 60), "de"), (2, "😀 " + prose(3, 60), None), (3, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").select("*", *[F.lit(1).alias(c) for c in ("id", "key", "kept", "n", "g", "clean")])
+    want = sorted(((r.doc_id, r.kept, None if r.perplexity is None else round(r.perplexity, 4)) for r in Q.quality_rules(df).collect()), key=repr)
+    assert len(want) == 5 and sum(x[2] is None for x in want) == 1
+    monkeypatch.setattr(Q.hashed, "__defaults__", (Q.ORDER, 40))
+    assert not Q.hashed(Q.kneser_ney(Q.count_grams(df))).whole
+    got = sorted(((r.doc_id, r.kept, None if r.perplexity is None else round(r.perplexity, 4)) for r in Q.quality_rules(df).collect()), key=repr)
+    assert got == want
+
+
+def test_bands_reject_other_text(spark, sf):
     rng = np.random.default_rng(1)
     odd = " ".join("".join(chr(int(x)) for x in rng.integers(0x3A0, 0x4F0, 6)) for _ in range(80))
     rows = Q.quality_rules(docs(spark, [prose(i, 200) for i in range(60)] + [odd])).collect()
@@ -97,6 +129,13 @@ def test_bands_reject_other_text(spark):
     assert not kept[60] and all(kept[i] for i in range(60))
 
 
+def test_bands_part_the_labels(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = Q.quality_rules(d).filter("NOT base_failed").join(labels, "doc_id").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
+
+
 def test_empty_table(spark):
     df = docs(spark, [])
     assert Q.quality_rules(df).count() == 0
