@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import text_arrays
 from .common import whole_text, written
 
 GUARANTEE = 25
 #: A key that has over 1 / HEAVY of all rows is heavy: there are at most HEAVY of them.
 HEAVY = 1000
 #: Rows of fingerprints that a task hands on together.
-ROWS = 1 << 15
+ROWS = 1 << 13
 
 _hash = xxhash.xxh3_128_digest
 
@@ -85,8 +86,9 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], guarantee: int) -> I
                 x.clear()
             return b
 
-        for i, t in enumerate(batch.column(1)):
-            raw = t.as_py().encode("utf-8", "surrogatepass")
+        data, offs = text_arrays(batch.column(1))
+        for i, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+            raw = data[lo:hi].tobytes()
             own = xxhash.xxh64_intdigest(raw, 42)
             own -= (own >> 63) << 64
             lines = [(k, x, n) for k, x in enumerate(raw.split(b"\n")) if (n := len(x.split()))]
