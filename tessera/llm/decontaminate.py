@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import blocks
 from .common import whole_text
@@ -69,6 +70,7 @@ class Pieces:
     """The pieces of a block of benchmark items, and where each of their q-grams is."""
 
     def __init__(self, items: list[tuple[object, str]]):
+        self.numbers = not any(isinstance(i, str) for i, _ in items)
         self.item, self.at, self.text = [], [], []
         for item, text in items:
             t = fold((text or "").encode())
@@ -204,15 +206,20 @@ def _scan_batches(batches: Iterator[pa.RecordBatch], shared, names: list[str]) -
             continue
         keys = sorted(best)
         ids = batch.column(0).take(pa.array([r for r, _ in keys]))
-        cols = [pa.array([p.item[k] for _, k in keys], type=pa.int64()), pa.array([p.at[k] for _, k in keys], type=pa.int64())]
+        cols = [pa.array([p.item[k] for _, k in keys], type=pa.int64() if p.numbers else pa.string()), pa.array([p.at[k] for _, k in keys], type=pa.int64())]
         cols += [pa.array([best[x][i] for x in keys], type=pa.int64()) for i in (1, 2, 0, 3)]
         yield pa.record_batch([ids, *cols], names=names)
 
 
+def _item_kind(benchmark: DataFrame, item_col: str) -> str:
+    """Whole numbers stay numbers; any other id is a string."""
+    return "bigint" if isinstance(benchmark.schema[item_col].dataType, T.IntegralType) else "string"
+
+
 def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of bounded size; one block is on the driver at a time."""
     held, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
+    for r in benchmark.select(F.col(item_col).cast(_item_kind(benchmark, item_col)).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         n = len((r.t or "").encode())
         if held and size + n > BLOCK_CHARS:
             yield held
@@ -228,8 +235,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spark = docs.sparkSession
     names = [id_col, item_col, "piece_start", "start", "end", "edits", "piece_chars"]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"`{n}` bigint" for n in names[1:])
-    d = docs.select(F.col(id_col), whole_text(docs, text_col).alias("t"))
+    schema = f"`{id_col}` {kind}, `{item_col}` {_item_kind(benchmark, item_col)}, " + ", ".join(f"`{n}` bigint" for n in names[2:])
+    d = docs.select(docs[id_col], whole_text(docs, text_col).alias("t"))
     parts = []
     for items in _item_blocks(benchmark, item_col, item_text):
         pieces = Pieces(items)

@@ -29,8 +29,9 @@ SPELLINGS = {
     "http://": "https://",
 }
 
-#: A line of copyright: nothing but signs before the word.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line of copyright: nothing but signs before the word, and behind it a mark, a year, a place for either, or a name of one or
+#: two words and no more. Any other line that begins with the word belongs to the text, since a text may be wrapped anywhere.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:(?:copyright[ \t]*(?:\(c\)|©|:|[<\[{]|by |[12][0-9]{3})|\(c\)|©)[^\n]*|copyright[ \t]+[^ \t\n]+(?:[ \t]+[^ \t\n]+)?[ \t]*|all rights reserved[^a-z0-9\n]*)$"
 #: ASCII besides letters, digits and the line feed; typographic quotes and dashes.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F\x{2010}-\x{201F}]+"
 
@@ -66,6 +67,24 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 }
 
 
+# Canonical digests and lengths of the full texts as their publishers print them.
+DIGESTS = {
+    "Apache-2.0": ("a1299c9b9de23b00ccea4d3bf75e90110953f7e4ed1b84818f617ad01246122a", 9822),
+    "Artistic-1.0-Perl": ("e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2", 5833),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    "GFDL-1.2": ("5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71", 19584),
+    "GFDL-1.3": ("93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6", 22020),
+    "GPL-1.0": ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", 11765),
+    "GPL-2.0": ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", 17117),
+    "GPL-3.0": ("a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68", 33409),
+    "LGPL-2.0": ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", 24130),
+    "LGPL-2.1": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", 25217),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    "MPL-1.1": ("1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1", 22320),
+    "MPL-2.0": ("3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7", 14272),
+}
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; line feeds stay, so that lines can be told apart."""
     c = ascii_lower(text)
@@ -84,7 +103,9 @@ def known_digests(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> D
     """digest, licence: one row for each known text (the first licence by name where two share one)."""
     rows = [(name, t) for name, texts in known.items() for t in texts]
     df = spark.createDataFrame(rows, "licence string, t string").select("licence", entire(canonical(F.col("t"))).alias("t"))
-    return df.filter("t != ''").groupBy(F.sha2("t", 256).alias("digest"), F.length("t").alias("len")).agg(F.min("licence").alias("licence"))
+    df = df.filter("t != ''").select(F.sha2("t", 256).alias("digest"), F.length("t").alias("len"), "licence")
+    full = spark.createDataFrame([(d, n, name) for name, (d, n) in DIGESTS.items()], "digest string, len int, licence string")
+    return df.unionByName(full).groupBy("digest", "len").agg(F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +116,7 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     """
     known = known_digests(docs.sparkSession) if known is None else known
     key = F.monotonically_increasing_id()
-    c = docs.select(F.col(id_col).alias("id"), key.alias("row"), canonical(whole_text(docs, text_col)).alias("c"))
+    c = docs.select(docs[id_col].alias("id"), key.alias("row"), canonical(whole_text(docs, text_col)).alias("c"))
     c = c.select("id", "row", "c", F.sha2(entire(F.col("c")), 256).alias("digest"))
     # A line is looked up by its digest, so only lines as long as some known text need one.
     lengths = known.agg(F.collect_set("len")).first()[0] if known.take(1) else []
@@ -125,8 +146,10 @@ def licences_sql(known: dict[str, list[str]] = KNOWN) -> str:
 
     one = lambda e: f"trim(regexp_replace({e}, '[ \\n]+', ' ', 'g'))"
     values = ", ".join(f"({quote(n)}, {quote(t)})" for n, texts in known.items() for t in texts)
+    full = ", ".join(f"('{d}', {quote(n)})" for n, (d, _) in DIGESTS.items())
     return f"""
-    WITH k AS (SELECT sha256({one(canon("t"))}) AS d, min(n) AS licence FROM (VALUES {values}) v(n, t) WHERE {one(canon("t"))} != '' GROUP BY 1),
+    WITH f AS (SELECT sha256({one(canon("t"))}) AS d, n FROM (VALUES {values}) v(n, t) WHERE {one(canon("t"))} != '' UNION ALL SELECT * FROM (VALUES {full}) w(d, n)),
+    k AS (SELECT d, min(n) AS licence FROM f GROUP BY 1),
     c AS (SELECT row_number() OVER () AS r, doc_id, {canon("coalesce(text, '')")} AS c FROM documents),
     u AS (SELECT r, true AS whole, sha256({one("c")}) AS d FROM c
         UNION ALL SELECT r, false, sha256(trim(unnest(string_split(c, chr(10))))) FROM c),

@@ -18,6 +18,7 @@ each; columns besides id and text are ignored; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,6 +172,10 @@ def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(qu[best] / qp[best], 0.01, 0.99))
 
 
+#: Shares of all hashes by which a sample is drawn.
+SHARES = 1 << 30
+
+
 def learn(table: DataFrame, trusted: DataFrame) -> tuple[Network | None, float]:
     """(network, class prior). table: id, x of all documents; trusted: ids of the trusted positives."""
     t = table.filter(~is_held_out(F.col("id"))).join(trusted.select(F.col("id").alias("_p")).distinct(), F.col("id") == F.col("_p"), "left")
@@ -183,7 +188,11 @@ def learn(table: DataFrame, trusted: DataFrame) -> tuple[Network | None, float]:
 
     def sample(positive: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Features, and which of the rows belong to the half that the first classifier learns from."""
-        rows = t.filter(F.col("positive") == positive).orderBy(F.xxhash64("id"), "id").limit(most).select("x", half.alias("half")).collect()
+        rows = t.filter(F.col("positive") == positive)
+        n = rows.count()
+        # A threshold on the id's hash first, so that no partition hands on more than its share of the sample.
+        some = min(SHARES, math.ceil(SHARES * (2 * most + 100) / max(n, 1)))
+        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SHARES)) < some).orderBy(F.pmod(F.xxhash64("id"), F.lit(SHARES)), F.xxhash64("id"), "id").limit(most).select("x", half.alias("half")).collect()
         return np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.half for r in rows], dtype=bool)
 
     half = F.coalesce(F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0, F.lit(True))

@@ -14,8 +14,10 @@ archives under names that no other attempt uses, and only the index of the attem
 commits names them; a lost executor's archives are written again by the attempt that replaces it.
 
 Defined cases: a null payload is the empty one, which is a payload like any other; a null URL is the empty
-string; repeated page ids give a record each (the response of equal payloads is then one of the largest id's
-records); columns besides id, URL and payload are ignored; an empty table gives an empty index.
+string; a null page id counts as the smallest and comes back null, in ``refers_to`` too; repeated page ids give a record each
+(of equal payloads under the largest id one record is the response, that with the smallest URL, and the others revisit it); a
+very long payload is one record and is held whole; columns besides id, URL and payload are ignored, whatever their names; an
+empty table gives an empty index. Archives stay until the caller deletes their folder: the index names them.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, written
@@ -113,7 +115,7 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
                 name = f"{uuid.uuid4().hex}.warc.gz"
                 path, at = f"{folder}/{name}", 0
                 sink = store.open_output_stream(f"{base}/{name}", compression=None)  # the members are compressed already
-            revisit = r["refers_to"] is not None
+            revisit = r["revisit"]
             digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
             member = gzip.compress(record(r["page_id"], r["url"], b"", "revisit", digest, r["size"], r["refers_to"]), compresslevel=3, mtime=0) if revisit else r["member"]
             sink.write(member)
@@ -129,14 +131,19 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     """Writes a record for each page; returns the index as a written table."""
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
-    d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
+    d = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[payload_col].alias("html"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    # Digests that more than one page has; the largest page id is the one the others refer to.
-    sums = d.filter(F.length(payload) >= least_revisit).select("page_id", F.sha1(payload).alias("digest"))
-    groups = sums.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    # Digests that more than one page has: the largest page id, and how many records have it.
+    sums = d.filter(F.length(payload) >= least_revisit).groupBy(F.sha1(payload).alias("digest"), "page_id").agg(F.count(F.lit(1)).alias("m"))
+    groups = sums.groupBy("digest").agg(F.max(F.struct("page_id", "m")).alias("x"), F.sum("m").alias("n")).filter("n > 1").select("digest", F.col("x.page_id").alias("first"), F.col("x.m").alias("m"), F.lit(True).alias("shared"))
     packed = d.mapInArrow(_packed_batches, "page_id bigint, url string, digest string, size bigint, member binary")
-    marked = packed.join(groups, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
-    marked = marked.select("page_id", "url", "digest", "size", F.when(F.col("refers_to").isNull(), F.col("member")).alias("member"), "refers_to")
+    marked = packed.join(groups, "digest", "left").withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first")))
+    # Only records that repeat the largest id of their payload have to be told apart; the others are known as they are.
+    tied = F.col("shared").isNotNull() & F.col("is_first") & (F.col("m") > 1)
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
+    same = marked.filter(tied).withColumn("revisit", place > 1)
+    other = marked.filter(~F.coalesce(tied, F.lit(False))).withColumn("revisit", F.col("shared").isNotNull() & ~F.col("is_first"))
+    marked = other.unionByName(same).select("page_id", "url", "digest", "size", F.when(~F.col("revisit"), F.col("member")).alias("member"), "revisit", F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
     return written(marked.mapInArrow(lambda it: _write_batches(it, folder), INDEX), "warc-index")
 
 
@@ -162,8 +169,9 @@ def ranges(offsets: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _page_of(urn: str) -> int:
-    return int(urn.rsplit(":", 1)[1].rstrip(">"))
+def _page_of(urn: str) -> int | None:
+    page = urn.rsplit(":", 1)[1].rstrip(">")
+    return None if page == "None" else int(page)
 
 
 READ = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
@@ -233,6 +241,6 @@ def warc_sql() -> str:
     return f"""
     WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, {bits} AS b FROM pages),
     d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: '{alphabet}'[({value}) + 1]), 'string_agg', '') AS payload_digest FROM p),
-    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-        CASE WHEN page_id != first THEN first END AS refers_to FROM m"""
+    m AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS place, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN place > 1 THEN first END AS refers_to FROM m"""
