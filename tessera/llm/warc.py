@@ -136,14 +136,16 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     # Digests that more than one page has: the largest page id, and how many records have it.
     sums = d.filter(F.length(payload) >= least_revisit).groupBy(F.sha1(payload).alias("digest"), "page_id").agg(F.count(F.lit(1)).alias("m"))
     groups = sums.groupBy("digest").agg(F.max(F.struct("page_id", "m")).alias("x"), F.sum("m").alias("n")).filter("n > 1").select("digest", F.col("x.page_id").alias("first"), F.col("x.m").alias("m"), F.lit(True).alias("shared"))
+    groups = written(groups, "warc-shared")
     packed = d.mapInArrow(_packed_batches, "page_id bigint, url string, digest string, size bigint, member binary")
     marked = packed.join(groups, "digest", "left").withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first")))
     # Only records that repeat the largest id of their payload have to be told apart; the others are known as they are.
     tied = F.col("shared").isNotNull() & F.col("is_first") & (F.col("m") > 1)
     place = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
-    same = marked.filter(tied).withColumn("revisit", place > 1)
     other = marked.filter(~F.coalesce(tied, F.lit(False))).withColumn("revisit", F.col("shared").isNotNull() & ~F.col("is_first"))
-    marked = other.unionByName(same).select("page_id", "url", "digest", "size", F.when(~F.col("revisit"), F.col("member")).alias("member"), "revisit", F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
+    if not groups.filter("m > 1").isEmpty():
+        other = other.unionByName(marked.filter(tied).withColumn("revisit", place > 1))
+    marked = other.select("page_id", "url", "digest", "size", F.when(~F.col("revisit"), F.col("member")).alias("member"), "revisit", F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
     return written(marked.mapInArrow(lambda it: _write_batches(it, folder), INDEX), "warc-index")
 
 
