@@ -86,7 +86,7 @@ def test_tables_encode_as_the_library_does_and_decode(spark, sf, library):
     want = texts_of(df)
     assert {i: library.encode(t) for i, t in want.items()} == got
     assert texts_of(L.decode(encoded)) == want
-    assert all(r.round_trip and r.n_pieces == len(r.ids) for r in L.checked(encoded).collect())
+    assert all(r.round_trip and r.n_pieces == len(r.ids) for r in L.encode(df, check=True).collect())
     sums = []
     for most in (0, 500, L.FREQUENT):
         rows = L.encode_digest(df, most=most).collect()
@@ -99,7 +99,7 @@ def test_tables_encode_as_the_library_does_and_decode(spark, sf, library):
 def test_round_trip_is_of_the_whole_text(spark):
     texts = [t for t in awkward() if t is None or len(t) < 20000]
     df = docs(spark, [*texts, "a ▁ b"])
-    for out in (L.encode_digest(df), L.checked(L.encode(df))):
+    for out in (L.encode_digest(df), L.encode(df, check=True)):
         rows = {r.doc_id: r.round_trip for r in out.collect()}
         assert all(rows[i] for i in range(len(texts))) and not rows[len(texts)]
 
@@ -115,7 +115,7 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id int, text string")
     df = df.select("*", *[F.lit("x").alias(c) for c in ("id", "h", "n", "key", "ids", "pieces", "rare", "seg")])
     for most in (0, L.FREQUENT):
-        rows = L.checked(L.encode(df, most=most)).collect()
+        rows = L.encode(df, most=most, check=True).collect()
         assert sorted([(r.doc_id or 0, len(r.ids), r.round_trip) for r in rows]) == sorted([(0, 1, True), (1, 2, True), (1, 2, True), (2, 0, True)])
         rows = L.encode_digest(df, most=most).collect()
         assert sorted([(r.doc_id or 0, r.n_pieces, r.round_trip) for r in rows]) == sorted([(0, 1, True), (1, 2, True), (1, 2, True), (2, 0, True)])
