@@ -15,7 +15,6 @@ from tessera.llm.common import WORD_RX, table, written
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.line_dedup import stripped
 from tessera.llm.quality_rules import quality_rules
-from tessera.llm.sentencepiece_lattice import checked
 from tessera.llm.sentencepiece_lattice import encode as encode_pieces
 from tessera.llm.similar import similar_groups
 
@@ -49,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every document that is left, and whether they decode to its whole text."""
-    return checked(encode_pieces(docs))
+    return encode_pieces(docs, check=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
