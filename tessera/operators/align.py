@@ -24,13 +24,14 @@ def range_rules(df: DataFrame, value: str, rules: DataFrame, on: Sequence[str] =
     r = small(rules)
     for c in on:
         cond = cond & (df[c] == rules[c])
-    out = df.join(r, cond, "left" if first else "inner")
+    # Equal rows stay apart: the first rule is found for each row by a number of its own.
+    left = df.withColumn("_row", F.monotonically_increasing_id()) if first else df
+    out = left.join(r, cond, "left" if first else "inner")
     for c in on:
         out = out.drop(rules[c])
     if first is None:
         return out
-    keys = list(df.columns)
-    return out.withColumn("_r", F.row_number().over(ordered(keys, first))).filter("_r = 1").drop("_r")
+    return out.withColumn("_r", F.row_number().over(ordered(["_row"], first))).filter("_r = 1").drop("_r", "_row")
 
 
 def calibrate(df: DataFrame, value: str, points: list[tuple[float, float]], out: str) -> DataFrame:

@@ -37,12 +37,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, which is worked out once and not again for each element of an array."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def unit(px: str) -> Column:
     """An array about its mean, scaled to length one, so that inner products are correlations."""
     x = F.transform(px, lambda v: v.cast("double"))
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(px)
-    c = F.transform(x, lambda v: v - mean)
-    return F.transform(c, lambda v: F.try_divide(v, F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, w: s + w * w))))
+    centred = _let(mean, lambda m: F.transform(x, lambda v: v - m))
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, w: s + w * w))
+    return _let(centred, lambda c: _let(length(c), lambda n: F.transform(c, lambda v: F.try_divide(v, n))))
 
 
 def most_similar(df: DataFrame, keys: Sequence[str], id_: str, px: str, seed: DataFrame, n: int) -> DataFrame:
@@ -80,8 +86,9 @@ def initial_reference(df: DataFrame, keys: Sequence[str], id_: str, px: str, n_b
         x -= x.mean(axis=1, keepdims=True)
         norm = np.linalg.norm(x, axis=1)
         c = x @ x.T / np.maximum(np.outer(norm, norm), 1e-12)
-        n = max(2, min(n_best, len(x)))
-        seed = int(np.argmax(-np.sort(-c, axis=1)[:, 1:n].mean(axis=1))) if len(x) > 1 else 0
+        n = max(1, min(n_best, len(x)))
+        # The seed needs a neighbour to be near to, even where one frame alone is averaged.
+        seed = int(np.argmax(-np.sort(-c, axis=1)[:, 1 : max(2, n)].mean(axis=1))) if len(x) > 1 else 0
         best = np.argsort(-c[seed], kind="stable")[:n]
         head = {k: [pdf[k].iloc[0]] for k in keys}
         return type(pdf)(head | {px: [np.trunc(x[best].mean(axis=0)).astype(int)]})

@@ -38,8 +38,14 @@ def spans(df: DataFrame, keys: Sequence[str], order: str, valid: Column) -> Data
 
 
 def equalise(df: DataFrame, plane: str, segment: str, order: Sequence[str]) -> DataFrame:
-    """The first n frames of each segment in each plane, n the least number over the planes; renumbered over the segments."""
-    n = df.groupBy(plane, segment).agg(F.count(F.lit(1)).alias("_n")).groupBy(segment).agg(F.min("_n").alias("_n"))
+    """The first n frames of each segment in each plane, n the least number over all planes; renumbered over the segments.
+
+    A plane that lacks a segment has none of its frames, so the other planes lose theirs.
+    """
+    n = df.groupBy(plane, segment).agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each plane and segment: few, whatever the number of frames.
+    n = n.withColumn("_planes", F.size(F.collect_set(plane).over(Window.partitionBy(F.lit(0)))))
+    n = n.groupBy(segment).agg(F.when(F.count(F.lit(1)) == F.max("_planes"), F.min("_n")).otherwise(0).alias("_n"))
     d = df.withColumn("_at", F.row_number().over(ordered([plane, segment], *order))).join(n, segment)
     return number(d.filter("_at <= _n").drop("_at", "_n"), [plane], [segment, *order], "frame")
 
