@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian, hanning, savitzky_golay
-from ..operators import align, composite, depth, events, image, planes, profiles, sequence, smooth, trace
+from ..operators import align, composite, depth, events, image, planes, profiles, sequence, smooth, tables, trace
 from .bindings import PLANES, REFERENCE_SQL, TRACE_SQL, frames, planes_of_reference, read, reference_correlations, seconds, tidy
 from .bindings import trace as traces
 
@@ -686,3 +686,67 @@ def savitzky_golay_smooth(spark, sf):
 def piezo_cycle(spark, sf):
     e = read(spark, sf, "events").withColumn("t_s", seconds("ts"))
     return composite.piezo_cycle(e.select("t_s", F.col("value").alias("volts")), e.filter("event_type = 'signup'").select("t_s"), 4, 3, 5, 0.5)
+
+
+# Table plumbing
+
+
+@query(f"WITH {TRACE_SQL} SELECT roi, segment, frame, coalesce(f IS NULL, false) OR coalesce(fneu > 90, false) OR coalesce(z = 0, false) AS bad FROM tr")
+def bad_frame_union(spark, sf):
+    d = traces(spark, sf)
+    return d.select(*KEYS, "frame", tables.bad_frames(F.col("f").isNull(), F.col("fneu") > 90, F.col("z") == 0).alias("bad"))
+
+
+@query("SELECT event_id, round(value, 6) AS value FROM events WHERE epoch_us(ts) / 1e6 BETWEEN 1704412800 AND 1705017600")
+def time_window(spark, sf):
+    return tables.in_time(read(spark, sf, "events").withColumn("t_s", seconds("ts")), "t_s", 1704412800, 1705017600).select("event_id", "value")
+
+
+@query(f"""WITH {TRACE_SQL}, r AS (SELECT roi, segment, frame, row_number() OVER (PARTITION BY roi, segment ORDER BY frame) AS r, count(*) OVER (PARTITION BY roi, segment) AS n FROM tr WHERE NOT bad)
+    SELECT roi, segment, frame FROM r WHERE r > floor(n * 0.25) AND r <= n - floor(n * 0.25)""")
+def central_usable_frames(spark, sf):
+    return tables.central_frames(traces(spark, sf), KEYS, "frame", "bad", 0.5).select(*KEYS, "frame")
+
+
+@query(f"""WITH {TRACE_SQL}, m AS (SELECT min(n) AS n FROM (SELECT max(frame) + 1 AS n FROM tr GROUP BY roi, segment))
+    SELECT roi, segment, frame, {r6('value')} FROM tr WHERE frame < (SELECT n FROM m)""")
+def trimmed_to_shortest(spark, sf):
+    return tables.trim_to_shortest(traces(spark, sf), KEYS, "frame").select(*KEYS, "frame", "value")
+
+
+@query("SELECT o.o_orderkey AS k, round(o.o_totalprice, 6) AS price, round(l.s, 6) AS lines FROM orders o JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY ALL) l ON l.l_orderkey = o.o_orderkey")
+def paired_by_saved_id(spark, sf):
+    a = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    return tables.paired(a, read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("lines")), ["k"])
+
+
+@query("""SELECT coalesce(o.o_orderkey, l.l_orderkey) AS k, round(o.o_totalprice, 6) AS saved, round(l.s, 6) AS computed FROM orders o
+    FULL JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY ALL) l ON l.l_orderkey = o.o_orderkey
+    WHERE o.o_orderkey IS NULL OR l.l_orderkey IS NULL OR (o.o_totalprice IS NULL) <> (l.s IS NULL) OR abs(o.o_totalprice - l.s) > 1000""")
+def saved_against_recomputed(spark, sf):
+    a = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return tables.differences(a, read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("v")), ["k"], "v", 1000)
+
+
+@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY ALL")
+def median_and_iqr(spark, sf):
+    return tables.median_iqr(read(spark, sf, "events"), ["event_type"], "value")
+
+
+@query(f"WITH {TRACE_SQL} SELECT segment, frame, round(quantile_cont(value, 0.5), 6) AS value FROM tr GROUP BY ALL")
+def median_across_series(spark, sf):
+    return tables.median_across(traces(spark, sf), ["segment", "frame"], "value")
+
+
+@query(f"""WITH {TRACE_SQL}, b AS (SELECT roi, value AS v FROM tr UNION ALL SELECT roi, fneu FROM tr)
+    SELECT roi, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.99) - quantile_cont(v, 0.01), 6) AS span FROM b GROUP BY ALL""")
+def robust_range(spark, sf):
+    d = traces(spark, sf)
+    return tables.robust_range(d.select("roi", F.col("value").alias("v")), d.select("roi", F.col("fneu").alias("v")), ["roi"], "v")
+
+
+@query(f"""WITH {TRACE_SQL}, b AS (SELECT roi, value AS v FROM tr UNION ALL SELECT roi, fneu FROM tr)
+    SELECT roi, round((max(v) + min(v)) / 2, 6) AS centre, round(max(v) - min(v), 6) AS extent FROM b GROUP BY ALL""")
+def pair_centre(spark, sf):
+    d = traces(spark, sf)
+    return tables.pair_centre(d.select("roi", F.col("value").alias("v")), d.select("roi", F.col("fneu").alias("v")), ["roi"], "v")
