@@ -369,10 +369,10 @@ def shift_ranges(spark, sf):
     return planes.shift_ranges(d, ["l_suppkey"], "x", "y", 512, 512)
 
 
-@query("""WITH c AS (SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_linenumber - 4) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS s FROM lineitem WHERE l_suppkey < 20)
+@query("""WITH c AS (SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_linenumber - 4) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS s FROM lineitem)
     SELECT l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(s - quantile_cont(s, 0.5) OVER (PARTITION BY l_suppkey), 6) AS pos FROM c""")
 def accumulated_shifts(spark, sf):
-    d = read(spark, sf, "lineitem").filter("l_suppkey < 20").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_linenumber") - 4).alias("s"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+    d = read(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_linenumber") - 4).alias("s"), F.struct("l_orderkey", "l_linenumber").alias("at"))
     return planes.accumulate_shifts(d, ["l_suppkey"], "at", "s", "pos").select("l_suppkey", "l_orderkey", "l_linenumber", "pos")
 
 
@@ -649,10 +649,10 @@ def missing_bins_plan(spark, sf):
     return composite.missing_parts(expected, e.filter("value > 60").select("user_id", F.col("event_type").alias("kind")).distinct(), ["user_id", "kind"])
 
 
-@query("""WITH i AS (SELECT l_suppkey AS k, l_linenumber - 4 AS x, l_quantity::BIGINT - 25 AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_partkey) - 1 AS i FROM lineitem WHERE l_suppkey < 30),
+@query("""WITH i AS (SELECT l_suppkey AS k, l_linenumber - 4 AS x, l_quantity::BIGINT - 25 AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_partkey) - 1 AS i FROM lineitem),
     b AS (SELECT k, i // 4096 AS b, sha256(string_agg(x || ',' || y, ';' ORDER BY i)) AS h, max(greatest(abs(x), abs(y))) AS m FROM i GROUP BY ALL) SELECT k, max(m)::BIGINT AS largest, sha256(string_agg(h, ';' ORDER BY b)) AS checksum FROM b GROUP BY k""")
 def shift_checksum(spark, sf):
-    d = read(spark, sf, "lineitem").filter("l_suppkey < 30").select(F.col("l_suppkey").alias("k"), (F.col("l_linenumber") - 4).alias("x"), (F.col("l_quantity").cast("int") - 25).alias("y"), F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").alias("at"))
+    d = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_linenumber") - 4).alias("x"), (F.col("l_quantity").cast("int") - 25).alias("y"), F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").alias("at"))
     return composite.shift_checksum(d, ["k"], "at", "x", "y")
 
 
