@@ -6,14 +6,14 @@ weights; the long ones, whose width follows the frame rate, run as convolutions
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian, hanning
-from .sequence import ordered
+from .sequence import number, ordered
 
 
 def rolling_percentile(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int, p: float, out: str) -> DataFrame:
@@ -77,18 +77,24 @@ def gaussian_reflect(df: DataFrame, keys: Sequence[str], order: str, value: str,
     return d.join(total, [*keys, "_i"]).drop("_i", "_n")
 
 
+def hanning_skipping(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int, out: str) -> DataFrame:
+    """Hanning average of the values that are there. Even widths grow by one; a width under 3 changes nothing."""
+    if width < 3:
+        return df.withColumn(out, F.col(value))
+    return convolve(df, keys, order, value, hanning(width + 1 - width % 2), out, edge="missing", skip_missing=True)
+
+
 def _centred_percentile(x: np.ndarray, width: int, p: float) -> np.ndarray:
     import pandas as pd
 
     return pd.Series(x).rolling(width, center=True, min_periods=1).quantile(p).to_numpy()
 
 
-def baseline(df: DataFrame, keys: Sequence[str], order: str, value: str, rate: float, percentile: float, window_s: float, out: str = "f0") -> DataFrame:
-    """a rolling percentile over half the window, then a Gaussian whose deviation is the window, in each of keys.
+def baselines(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, str], rate: float, percentile: float, window_s: float, block: int = 1 << 16) -> DataFrame:
+    """Baselines of several columns (out -> value): a rolling percentile over half the window, then a Gaussian whose deviation is the window.
 
-    The window has rate * window_s frames, rounded half to even; the percentile half of that. The Gaussian is longer than
-    most windows of the optimiser's, so each series is convolved as a group; keys name a series' segment, and a
-    segment's rows are what a task holds.
+    The window has rate * window_s frames, rounded half to even; the percentile half of that. A series is worked out in
+    blocks of rows that overlap by the reach of both filters, so a task holds some blocks and never a whole series.
     """
     w = round(rate * window_s)
     h = round(w / 2)
@@ -96,13 +102,26 @@ def baseline(df: DataFrame, keys: Sequence[str], order: str, value: str, rate: f
         raise ValueError("the window has no frames")
     weights = np.array(gaussian(w))
     r = len(weights) // 2
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` double"
+    halo = r + h
+    block = max(block, 2 * halo)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", `{out}` double" for out in values)
+    columns = [*df.columns, *values]
 
     def run(pdf):
-        pdf = pdf.sort_values(order)
-        q = _centred_percentile(pdf[value].to_numpy(dtype=float), h, percentile / 100)
-        pdf[out] = np.convolve(np.concatenate((np.full(r, q[0]), q, np.full(r, q[-1]))), weights, mode="valid") if len(q) else []
-        return pdf
+        pdf = pdf.sort_values("_i")
+        for out, value in values.items():
+            q = _centred_percentile(pdf[value].to_numpy(dtype=float), h, percentile / 100)
+            # Rows beyond the group exist only inside the overlap, where nothing is kept, or not at all: the ends' values serve for both.
+            pdf[out] = np.convolve(np.concatenate((np.full(r, q[0]), q, np.full(r, q[-1]))), weights, mode="valid")
+        return pdf.loc[pdf["_i"] // block == pdf["_b"], columns]
 
-    done = df.groupBy(*keys).applyInPandas(run, schema)
-    return done.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    i = F.col("_i")
+    reached = F.sequence(F.greatest(F.lit(0), F.floor((i - halo) / block)).cast("long"), F.floor((i + halo) / block).cast("long"))
+    parts = number(df, keys, [order], "_i").withColumn("_b", F.explode(reached))
+    done = parts.groupBy(*keys, "_b").applyInPandas(run, schema)
+    return done.withColumns({out: F.when(~F.isnan(out), F.col(out)) for out in values})
+
+
+def baseline(df: DataFrame, keys: Sequence[str], order: str, value: str, rate: float, percentile: float, window_s: float, out: str = "f0") -> DataFrame:
+    """F0 of one column; see ``baselines``. keys name a series' segment."""
+    return baselines(df, keys, order, {out: value}, rate, percentile, window_s)

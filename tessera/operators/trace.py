@@ -30,8 +30,7 @@ def bin_regression(df: DataFrame, keys: Sequence[str], f: str, n: str, bins: int
     lim = df.groupBy(*keys).agg(F.percentile(n, F.array(F.lit(low), F.lit(high))).alias("_q"))
     lim = lim.select(*keys, F.get("_q", F.lit(0)).alias("_lo"), ((F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))) / bins).alias("_bs"))
     d = df.join(lim, list(keys)).filter(F.col("_bs") > 0)
-    # A value on a bin's edge belongs to the bin above, whatever the last digit of the limits.
-    b = F.floor(F.round(F.try_divide(F.col(n) - F.col("_lo"), F.col("_bs")), 9))
+    b = F.floor(F.try_divide(F.col(n) - F.col("_lo"), F.col("_bs")))
     d = d.withColumn("_b", b).filter(F.col("_b").between(0, bins - 1))
     y = d.groupBy(*keys, "_b", "_lo", "_bs").agg(F.percentile(f, f_percentile).alias("_y")).filter("_y IS NOT NULL")
     y = y.withColumn("_x", F.col("_lo") + F.col("_b") * F.col("_bs"))

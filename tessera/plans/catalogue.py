@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import gaussian, hanning, savitzky_golay
+from ..functions.kernels import savitzky_golay
 from ..operators import align, composite, depth, events, image, planes, profiles, sequence, smooth, tables, trace
 from .bindings import PLANES, REFERENCE_SQL, TRACE_SQL, frames, planes_of_reference, read, reference_correlations, seconds, tidy
 from .bindings import trace as traces
@@ -176,12 +176,22 @@ def f0_rolling_percentile(spark, sf):
     return smooth.rolling_percentile(traces(spark, sf), KEYS, "frame", "f", 21, 0.08, "f0").select(*KEYS, "frame", "f0")
 
 
-def _weights(w) -> str:
-    return "(VALUES " + ", ".join(f"({j - len(w) // 2}, {x!r}::DOUBLE)" for j, x in enumerate(w)) + ") k(j, w)"
+def _gauss(sigma: float) -> str:
+    """A normalised Gaussian out to four deviations, as DuckDB works it out."""
+    r = int(4 * sigma + 0.5)
+    return f"(SELECT j, e / sum(e) OVER () AS w FROM (SELECT j, exp(-0.5 * (j / {sigma}::DOUBLE) ** 2) AS e FROM range({-r}, {r + 1}) t(j))) k"
+
+
+def _hann(n: int) -> str:
+    return f"(SELECT i - {n // 2} AS j, e / sum(e) OVER () AS w FROM (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / {n - 1}) AS e FROM range({n}) t(i))) k"
+
+
+# The quadratic fit over seven points at its centre, in parts of 21.
+_SAVGOL = "(VALUES (-3, -2 / 21::DOUBLE), (-2, 3 / 21::DOUBLE), (-1, 6 / 21::DOUBLE), (0, 7 / 21::DOUBLE), (1, 6 / 21::DOUBLE), (2, 3 / 21::DOUBLE), (3, -2 / 21::DOUBLE)) k(j, w)"
 
 
 @query(f"""WITH {TRACE_SQL}, n AS (SELECT roi, segment, max(frame) AS m FROM tr GROUP BY ALL)
-    SELECT a.roi, a.segment, a.frame, round(sum(w * b.value), 6) AS smooth FROM tr a JOIN n USING (roi, segment) CROSS JOIN {_weights(gaussian(2.0))}
+    SELECT a.roi, a.segment, a.frame, round(sum(w * b.value), 6) AS smooth FROM tr a JOIN n USING (roi, segment) CROSS JOIN {_gauss(2.0)}
     JOIN tr b ON b.roi = a.roi AND b.segment = a.segment AND b.frame = greatest(0, least(m, a.frame + j)) GROUP BY ALL""")
 def f0_gaussian_nearest(spark, sf):
     return smooth.gaussian_nearest(traces(spark, sf), KEYS, "frame", "value", 2.0, "smooth").select(*KEYS, "frame", "smooth")
@@ -191,7 +201,7 @@ _RUNS_SQL = """v AS (SELECT *, NOT bad AS ok, CASE WHEN NOT bad AND coalesce(lag
     i AS (SELECT *, sum(st) OVER (PARTITION BY roi, segment ORDER BY frame) AS run FROM v), q AS (SELECT *, row_number() OVER (PARTITION BY roi, segment, run ORDER BY frame) - 1 AS p, count(*) OVER (PARTITION BY roi, segment, run) AS n FROM i WHERE ok)"""
 
 
-@query(f"""WITH {TRACE_SQL}, {_RUNS_SQL}, e AS (SELECT q.roi, q.segment, q.run, q.frame, w, (((q.p + j) % (2 * n)) + 2 * n) % (2 * n) AS m, n FROM q CROSS JOIN {_weights(gaussian(2.0))})
+@query(f"""WITH {TRACE_SQL}, {_RUNS_SQL}, e AS (SELECT q.roi, q.segment, q.run, q.frame, w, (((q.p + j) % (2 * n)) + 2 * n) % (2 * n) AS m, n FROM q CROSS JOIN {_gauss(2.0)})
     SELECT e.roi, e.segment, e.run::BIGINT AS run, e.frame, round(sum(w * q.value), 6) AS smooth FROM e JOIN q ON q.roi = e.roi AND q.segment = e.segment AND q.run = e.run AND q.p = (CASE WHEN m < e.n THEN m ELSE 2 * e.n - 1 - m END) GROUP BY ALL""")
 def gaussian_reflect_runs(spark, sf):
     d = sequence.islands(traces(spark, sf), KEYS, "frame", ~F.col("bad"))
@@ -203,29 +213,35 @@ def bad_frame_spans(spark, sf):
     return sequence.spans(traces(spark, sf), KEYS, "frame", ~F.col("bad"))
 
 
-@query(f"""WITH {TRACE_SQL} SELECT a.roi, a.segment, a.frame, round(sum(w * b.f) / nullif(sum(CASE WHEN b.f IS NOT NULL THEN w END), 0), 6) AS smooth FROM tr a CROSS JOIN {_weights(gaussian(1.5))}
+@query(f"""WITH {TRACE_SQL} SELECT a.roi, a.segment, a.frame, round(sum(w * b.f) / nullif(sum(CASE WHEN b.f IS NOT NULL THEN w END), 0), 6) AS smooth FROM tr a CROSS JOIN {_gauss(1.5)}
     LEFT JOIN tr b ON b.roi = a.roi AND b.segment = a.segment AND b.frame = a.frame + j GROUP BY ALL""")
 def nan_normalised_gaussian(spark, sf):
     return smooth.gaussian_skipping(traces(spark, sf), KEYS, "frame", "f", 1.5, "smooth").select(*KEYS, "frame", "smooth")
 
 
-@query(f"""WITH {TRACE_SQL} SELECT a.roi, a.segment, a.frame, round(sum(w * coalesce(b.value, 0)), 6) AS smooth FROM tr a CROSS JOIN {_weights(hanning(9))}
+@query(f"""WITH {TRACE_SQL} SELECT a.roi, a.segment, a.frame, round(sum(w * coalesce(b.value, 0)), 6) AS smooth FROM tr a CROSS JOIN {_hann(9)}
     LEFT JOIN tr b ON b.roi = a.roi AND b.segment = a.segment AND b.frame = a.frame + j GROUP BY ALL""")
 def hanning_lowpass(spark, sf):
     return smooth.hanning_low_pass(traces(spark, sf), KEYS, "frame", "value", 9, "smooth").select(*KEYS, "frame", "smooth")
 
 
-_BASE_SQL = f"""WITH {TRACE_SQL}, b AS (SELECT *, quantile_cont(f, 0.08) OVER w AS f0, quantile_cont(fneu, 0.08) OVER w AS n0 FROM tr
-    WINDOW w AS (PARTITION BY roi, segment ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
-    c AS (SELECT *, f - f0 AS cf, fneu - n0 AS cn FROM b),
+def _base_sql(source: str = "tr") -> str:
+    """Baselines of f and fneu over a window of 20 frames, the line between both about them, all from ``source``."""
+    return f"""q AS (SELECT *, quantile_cont(f, 0.08) OVER w AS qf, quantile_cont(fneu, 0.08) OVER w AS qn FROM {source} WINDOW w AS (PARTITION BY roi, segment ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
+    qm AS (SELECT roi, segment, max(frame) AS m FROM {source} GROUP BY ALL),
+    g0 AS (SELECT a.roi, a.segment, a.frame, CASE WHEN count(b.qf) = count(*) THEN sum(w * b.qf) END AS f0, CASE WHEN count(b.qn) = count(*) THEN sum(w * b.qn) END AS n0 FROM q a JOIN qm USING (roi, segment) CROSS JOIN {_gauss(20)}
+        JOIN q b ON b.roi = a.roi AND b.segment = a.segment AND b.frame = greatest(0, least(m, a.frame + j)) GROUP BY ALL),
+    c AS (SELECT *, f - f0 AS cf, fneu - n0 AS cn FROM {source} JOIN g0 USING (roi, segment, frame)),
     l AS (SELECT roi, quantile_cont(cn, 0.1) AS lo, (quantile_cont(cn, 0.9) - quantile_cont(cn, 0.1)) / 20 AS bs FROM c GROUP BY roi),
-    y AS (SELECT roi, lo, bs, floor(round((cn - lo) / nullif(bs, 0), 9)) AS k, quantile_cont(cf, 0.05) AS y FROM c JOIN l USING (roi) WHERE bs > 0 AND floor(round((cn - lo) / nullif(bs, 0), 9)) BETWEEN 0 AND 19 GROUP BY ALL HAVING quantile_cont(cf, 0.05) IS NOT NULL),
+    y AS (SELECT roi, lo, bs, floor((cn - lo) / nullif(bs, 0)) AS k, quantile_cont(cf, 0.05) AS y FROM c JOIN l USING (roi) WHERE bs > 0 AND floor((cn - lo) / nullif(bs, 0)) BETWEEN 0 AND 19 GROUP BY ALL HAVING quantile_cont(cf, 0.05) IS NOT NULL),
     r AS (SELECT roi, CASE WHEN count(*) > 1 THEN regr_intercept(y, lo + k * bs) END AS intercept, CASE WHEN count(*) > 1 THEN greatest(0, least(2, regr_slope(y, lo + k * bs))) END AS slope FROM y GROUP BY roi)"""
 
 
+_BASE_SQL = f"WITH {TRACE_SQL}, {_base_sql()}"
+
+
 def _baselines(spark, sf):
-    d = smooth.rolling_percentile(traces(spark, sf), KEYS, "frame", "f", 21, 0.08, "f0")
-    d = smooth.rolling_percentile(d, KEYS, "frame", "fneu", 21, 0.08, "n0")
+    d = smooth.baselines(traces(spark, sf), KEYS, "frame", {"f0": "f", "n0": "fneu"}, rate=2.0, percentile=8, window_s=10)
     return d.withColumn("cf", F.col("f") - F.col("f0")).withColumn("cn", F.col("fneu") - F.col("n0"))
 
 
@@ -249,7 +265,7 @@ def dff(spark, sf):
     return trace.dff(_corrected(spark, sf)).select(*KEYS, "frame", "dff")
 
 
-@query()
+@query(f"{_BASE_SQL} SELECT roi, segment, frame, round(f0, 6) AS f0 FROM c")
 def f0_long_window(spark, sf):
     d = trace.mask_bad(traces(spark, sf), "f", F.col("bad")).select(*KEYS, "frame", "f")
     return smooth.baseline(d, KEYS, "frame", "f", rate=2.0, percentile=8, window_s=10).select(*KEYS, "frame", "f0")
@@ -275,7 +291,7 @@ def zmotion_factor_lookup(spark, sf):
 @query(f"""WITH {TRACE_SQL}, {_PROFILE_SQL}, d AS (SELECT tr.*, factor FROM (SELECT * REPLACE (CASE WHEN NOT bad THEN z END AS z) FROM tr) tr LEFT JOIN fc USING (roi, z)),
     v AS (SELECT *, z IS NOT NULL AS ok, CASE WHEN z IS NOT NULL AND lag(z) OVER (PARTITION BY roi, segment ORDER BY frame) IS NULL THEN 1 ELSE 0 END AS st FROM d),
     i AS (SELECT *, sum(st) OVER (PARTITION BY roi, segment ORDER BY frame) AS run FROM v), q AS (SELECT *, row_number() OVER (PARTITION BY roi, segment, run ORDER BY frame) - 1 AS p, count(*) OVER (PARTITION BY roi, segment, run) AS n FROM i WHERE ok),
-    e AS (SELECT q.roi, q.segment, q.run, q.frame, w, (((q.p + j) % (2 * n)) + 2 * n) % (2 * n) AS m, n FROM q CROSS JOIN {_weights(gaussian(2.0))}),
+    e AS (SELECT q.roi, q.segment, q.run, q.frame, w, (((q.p + j) % (2 * n)) + 2 * n) % (2 * n) AS m, n FROM q CROSS JOIN {_gauss(2.0)}),
     s AS (SELECT e.roi, e.segment, e.frame, CASE WHEN count(q.factor) = count(*) THEN sum(w * q.factor) END AS g FROM e JOIN q ON q.roi = e.roi AND q.segment = e.segment AND q.run = e.run AND q.p = (CASE WHEN m < e.n THEN m ELSE 2 * e.n - 1 - m END) GROUP BY ALL)
     SELECT d.roi, d.segment, d.frame, round(d.value / nullif(g, 0), 6) AS value, round(d.fneu / nullif(g, 0), 6) AS fneu FROM d LEFT JOIN s ON s.roi = d.roi AND s.segment = d.segment AND s.frame = d.frame""")
 def zmotion_corrected(spark, sf):
@@ -676,7 +692,7 @@ def interpolated_trace(spark, sf):
 
 
 @query(f"""WITH {TRACE_SQL}, n AS (SELECT roi, segment, max(frame) AS m FROM tr GROUP BY ALL)
-    SELECT a.roi, a.segment, a.frame, round(sum(w * b.value), 6) AS smooth FROM tr a JOIN n USING (roi, segment) CROSS JOIN {_weights(savitzky_golay(7, 2))}
+    SELECT a.roi, a.segment, a.frame, round(sum(w * b.value), 6) AS smooth FROM tr a JOIN n USING (roi, segment) CROSS JOIN {_SAVGOL}
     JOIN tr b ON b.roi = a.roi AND b.segment = a.segment AND b.frame = greatest(0, least(m, a.frame + j)) GROUP BY ALL""")
 def savitzky_golay_smooth(spark, sf):
     return smooth.convolve(traces(spark, sf), KEYS, "frame", "value", savitzky_golay(7, 2), "smooth").select(*KEYS, "frame", "smooth")
