@@ -21,6 +21,18 @@ def dark_level(df: DataFrame, keys: Sequence[str], px: str, p: float) -> DataFra
     return pixels(df, px).groupBy(*keys).agg(F.percentile(F.col("v").cast("double"), p).alias("dark"))
 
 
+def first_frames(df: DataFrame, keys: Sequence[str], frame: str, n: int) -> DataFrame:
+    """The first n frames of each key, by number."""
+    w = Window.partitionBy(*keys).orderBy(frame)
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def dataset_dark_level(datasets: DataFrame, frames: DataFrame, dataset: str, plane: str, frame: str, px: str, p: float = 0.01, n: int = 200) -> DataFrame:
+    """The least dark level of a data set's planes, each from its first n frames; missing where there is no plane."""
+    per_plane = dark_level(first_frames(frames, [dataset, plane], frame, n), [dataset, plane], px, p)
+    return datasets.join(per_plane.groupBy(dataset).agg(F.min("dark").alias("dark")), dataset, "left")
+
+
 def mask_sum(px: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weighted sum of a frame's pixels over each mask (mask: roi, i, w)."""
     return px.join(mask, "i").groupBy(*keys, "roi").agg(F.sum(F.col("w") * F.col("v")).alias("f"))

@@ -75,3 +75,38 @@ def usable_planes(df: DataFrame, n: str, flyback: str, out: str = "plane") -> Da
     """One row for each plane that is not a flyback plane."""
     planes = F.array_except(F.sequence(F.lit(0), F.col(n) - 1), F.col(flyback))
     return df.withColumn(out, F.explode(planes))
+
+
+def shift_extremes(corr: DataFrame) -> DataFrame:
+    """frame, low, high: the least and the largest distance of a reference's best plane from the reference."""
+    s = F.col("plane") - F.col("ref")
+    return best_planes(corr).groupBy("frame").agg(F.min(s).alias("low"), F.max(s).alias("high"))
+
+
+def similarity_weights(corr: DataFrame, best: int) -> DataFrame:
+    """offset, weight: how much the best reference's neighbours resemble it, scaled to one; a missing neighbour weighs nothing."""
+    near = corr.filter(F.col("plane").between(best - 1, best + 1)).select((F.col("plane") - best).alias("offset"), "corr")
+    rows = corr.sparkSession.range(-1, 2).select(F.col("id").alias("offset"))
+    d = rows.join(F.broadcast(near), "offset", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
+    # Three rows: one window without keys is no burden.
+    return d.select("offset", F.try_divide("corr", F.sum("corr").over(Window.partitionBy())).alias("weight"))
+
+
+def combine_neighbours(best: DataFrame, results: DataFrame, reach: int = 1) -> DataFrame:
+    """frame, plane, bad, xoff, yoff of each frame's best plane and those beside it; bad or missing ones are not shifted."""
+    d = best.select("frame", F.explode(F.sequence(F.col("plane") - reach, F.col("plane") + reach)).alias("plane"))
+    d = d.join(results.select("frame", "plane", "bad", "xoff", "yoff"), ["frame", "plane"], "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    shift = lambda c: F.when(~F.col("bad"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c)
+    return d.select("frame", "plane", "bad", shift("xoff"), shift("yoff"))
+
+
+def ordered_planes(folders: DataFrame, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Folders named plane<n>, in the order of their numbers (10 after 9), with number and position; others are left out."""
+    d = folders.withColumn("plane", F.expr("try_cast(regexp_extract(`" + path + "`, 'plane([0-9]+)/?$', 1) AS int)")).filter("plane IS NOT NULL")
+    return d.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("plane")) - 1)
+
+
+def with_correlation_limit(df: DataFrame, corr: str, deviations: float = 4.0) -> DataFrame:
+    """The correlation below which frames are bad, beside each frame and whether it is."""
+    s = df.agg((F.avg(corr) - deviations * F.stddev_pop(corr)).alias("limit"))
+    return df.crossJoin(F.broadcast(s)).withColumn("low", F.col(corr) <= F.col("limit"))

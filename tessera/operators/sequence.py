@@ -106,3 +106,10 @@ def even_sample(df: DataFrame, order: str, k: int) -> DataFrame:
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     picks = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(k), F.greatest(F.col("_n"), F.lit(1))).cast("int") - 1), lambda i: F.floor((i + 0.5) * F.col("_n") / F.least(F.lit(k), F.col("_n"))))).alias("_at"))
     return number(df, [], [order], "_at").join(picks, "_at").drop("_at")
+
+
+def boundary_times(df: DataFrame, keys: Sequence[str], segment: str, order: str, t: str) -> DataFrame:
+    """keys, segment, at: halfway between the last frame of a segment and the first of the next."""
+    w = ordered(keys, segment, order)
+    d = df.select(*keys, segment, ((F.col(t) + F.lag(t).over(w)) / 2).alias("at"), (F.col(segment) != F.lag(segment).over(w)).alias("_new"))
+    return d.filter("_new").drop("_new")

@@ -70,3 +70,57 @@ def pair_centre(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) ->
     """Middle and extent of two traces' common range."""
     both = a.select(*keys, value).unionByName(b.select(*keys, value))
     return both.groupBy(*keys).agg(((F.max(value) + F.min(value)) / 2).alias("centre"), (F.max(value) - F.min(value)).alias("extent"))
+
+
+def subset(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of some ids, each of which must be there exactly once; otherwise the query fails with the id."""
+    found = ids.select(key).join(df.withColumn("_here", F.lit(True)), key, "left")
+    found = found.withColumn("_n", F.count("_here").over(Window.partitionBy(key)))
+    fault = F.concat(F.lit("not exactly one row with id "), F.col(key).cast("string"))
+    return found.withColumn("_ok", F.when(F.col("_n") == 1, True).otherwise(F.raise_error(fault).cast("boolean"))).filter("_ok").drop("_here", "_n", "_ok")
+
+
+def index_of(df: DataFrame, key: str, planes: DataFrame) -> DataFrame:
+    """Rows with what ``planes`` (at most some hundred rows) says of their plane; a plane that it lacks fails the query."""
+    d = df.join(F.broadcast(planes.withColumn("_here", F.lit(True))), key, "left")
+    fault = F.concat(F.lit("no plane "), F.coalesce(F.col(key).cast("string"), F.lit("given")))
+    return d.withColumn("_here", F.when(F.col("_here"), True).otherwise(F.raise_error(fault).cast("boolean"))).filter("_here").drop("_here")
+
+
+def displacement_errors(df: DataFrame, keys: Sequence[str], observed: str, expected: str, planes: DataFrame, displacement: str) -> DataFrame:
+    """Root mean squares of observed less expected over all complete pairs, and over those within the planes' range."""
+    limits = planes.agg(F.min(displacement).alias("_lo"), F.max(displacement).alias("_hi"))
+    # One row: the range of the planes.
+    d = df.crossJoin(F.broadcast(limits)).withColumn("_e", F.col(observed) - F.col(expected))
+    inside = F.when(F.col(expected).between(F.col("_lo"), F.col("_hi")), F.col("_e"))
+    rms = lambda e: F.sqrt(F.avg(e * e))
+    return d.groupBy(*keys).agg(rms(F.col("_e")).alias("rmse"), F.count("_e").alias("n"), rms(inside).alias("rmse_inside"), F.count(inside).alias("n_inside"))
+
+
+def union_of_ranges(df: DataFrame, keys: Sequence[str], first: str, last: str, out: str) -> DataFrame:
+    """Each number once that any range of a key covers, both ends included; a range whose end lies before its start is empty."""
+    return df.filter(F.col(first) <= F.col(last)).select(*keys, F.explode(F.sequence(first, last)).alias(out)).distinct()
+
+
+def named_slice(df: DataFrame, segments: DataFrame, keys: Sequence[str], name: str, frame: str) -> DataFrame:
+    """The frames of one named segment (segments: keys, name, start, stop) renumbered from 0; a second segment of that name fails the query."""
+    one = segments.filter(F.col("name") == name).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("start").alias("_a"), F.max("stop").alias("_b"))
+    one = one.withColumn("_n", F.when(F.col("_n") == 1, 1).otherwise(F.raise_error(F.lit(f"segment {name} occurs more than once")).cast("int"))).filter("_n = 1")
+    d = df.join(one, list(keys)).filter((F.col(frame) >= F.col("_a")) & (F.col(frame) < F.col("_b")))
+    return d.withColumn(frame, F.col(frame) - F.col("_a")).drop("_n", "_a", "_b")
+
+
+def reviewed(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row for each key whose values are all given, and whether its rows contradict each other."""
+    blank = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "" for c in (*keys, *values)]
+    d = df.filter(reduce(lambda a, b: a & b, blank))
+    return d.groupBy(*keys).agg(*[F.min(v).alias(v) for v in values], (F.count_distinct(F.struct(*values)) > 1).alias("conflict"))
+
+
+def relocated(recorded: Column, base: str) -> Column:
+    """A recorded path below its new base: what follows the base's last folder in the recorded path; missing if that folder is not in it."""
+    last = base.rstrip("/").rsplit("/", 1)[-1]
+    parts = F.split(recorded, "/")
+    at = F.array_position(parts, last)
+    rest = F.slice(parts, (at + 1).cast("int"), F.greatest(F.lit(0), F.size(parts) - at.cast("int")))
+    return F.when(at > 0, F.concat_ws("/", F.array(F.lit(base.rstrip("/"))), rest))

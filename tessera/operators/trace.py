@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import floor_one
 from .sequence import islands
-from .smooth import gaussian_reflect
+from .smooth import baselines, gaussian_reflect
 
 
 def mask_bad(df: DataFrame, value: str, bad: Column) -> DataFrame:
@@ -112,18 +112,16 @@ def _peaks(x: np.ndarray, distance: int, width: float, reach: int) -> list[int]:
 def fault_limits(x: np.ndarray, reference: int) -> tuple[int, int]:
     """The slices (first, last) of a profile that belong to the cell at the reference; others belong to a neighbour."""
     peaks = _peaks(x, distance=7, width=2, reach=15)
-    n, last = len(peaks), len(x) - 1
-    if not n:
+    last = len(x) - 1
+    if not peaks:
         return 0, last
-    low = lambda a, b: a + int(np.argmin(x[a : b + 1]))
+    # The lowest slice before, between and after the peaks: a cell lies between two of these that follow each other.
+    ends = [0, *peaks, last]
+    troughs = [a + int(np.argmin(x[a : b + 1])) for a, b in zip(ends, ends[1:])]
     k = sum(p <= reference for p in peaks)
-    trough = low(peaks[-1], last) if k == n else low(0, peaks[0]) if k == 0 else low(peaks[k - 1], peaks[k])
-    if trough < reference:
-        if k == n:
-            return trough, last
-        return trough, low(peaks[k], last) if k == n - 1 else low(peaks[k], peaks[k + 1])
-    upper = 0 if k == 0 else low(0, peaks[0]) if k == 1 else low(peaks[k - 2], peaks[k - 1])
-    return upper + 1, trough
+    if troughs[k] < reference:
+        return troughs[k], troughs[k + 1] if k < len(peaks) else last
+    return (troughs[k - 1] if k else 0) + 1, troughs[k]
 
 
 def mask_faults(profile: DataFrame, keys: Sequence[str], z: str, value: str, reference: int) -> DataFrame:
@@ -138,3 +136,20 @@ def mask_faults(profile: DataFrame, keys: Sequence[str], z: str, value: str, ref
 
     d = profile.groupBy(*keys).applyInPandas(run, schema)
     return d.withColumn(value, F.when(~F.isnan(value), F.col(value)))
+
+
+def correct_traces(df: DataFrame, profile: DataFrame, keys: Sequence[str], segment: str, order: str, z: str, depth: str, reference: int, rate: float, percentile: float, window_s: float, faults: bool = True) -> DataFrame:
+    """dF/F of f and fneu after the axial correction: the whole way from the depth of each frame to the corrected trace.
+
+    profile: keys, depth, value. With ``faults`` the slices of neighbouring cells and factors under 0.5 correct nothing.
+    Adds f0, n0, fc and dff; a frame without a depth or without a factor has no value.
+    """
+    factors = profile_factors(profile, keys, depth, "value", reference, least=None)
+    if faults:
+        factors = mask_faults(factors, keys, depth, "factor", reference)
+        factors = factors.withColumn("factor", F.when(F.col("factor") >= 0.5, F.col("factor")))
+    factors = factors.withColumnRenamed(depth, z) if depth != z else factors
+    d = correct_zmotion(df, factors, keys, segment, order, z, ["f", "fneu"])
+    d = baselines(d, [*keys, segment], order, {"f0": "f", "n0": "fneu"}, rate, percentile, window_s)
+    d = d.withColumn("cf", F.col("f") - F.col("f0")).withColumn("cn", F.col("fneu") - F.col("n0"))
+    return dff(subtract_background(d, bin_regression(d, keys, "cf", "cn"), keys)).drop("cf", "cn", "slope", "intercept")

@@ -766,3 +766,147 @@ def robust_range(spark, sf):
 def pair_centre(spark, sf):
     d = traces(spark, sf)
     return tables.pair_centre(d.select("roi", F.col("value").alias("v")), d.select("roi", F.col("fneu").alias("v")), ["roi"], "v")
+
+
+@query("SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_partkey IN (3, 17, 99)")
+def roi_subset(spark, sf):
+    ids = values(spark, "p_partkey long", (3,), (17,), (99,))
+    return tables.subset(read(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ids)
+
+
+@query(f"WITH {TRACE_SQL} SELECT roi, segment, frame, {r6('value')} FROM (SELECT *, row_number() OVER (PARTITION BY roi, segment ORDER BY frame) AS k FROM tr) WHERE k <= 50")
+def first_frames_of_each(spark, sf):
+    return image.first_frames(traces(spark, sf), KEYS, "frame", 50).select(*KEYS, "frame", "value")
+
+
+@query(f"""WITH {TRACE_SQL} SELECT a.roi, a.segment, a.frame, round(sum(w * b.f) / nullif(sum(CASE WHEN b.f IS NOT NULL THEN w END), 0), 6) AS smooth FROM tr a CROSS JOIN {_hann(9)}
+    LEFT JOIN tr b ON b.roi = a.roi AND b.segment = a.segment AND b.frame = a.frame + j GROUP BY ALL""")
+def nan_normalised_hanning(spark, sf):
+    return smooth.hanning_skipping(traces(spark, sf), KEYS, "frame", "f", 8, "smooth").select(*KEYS, "frame", "smooth")
+
+
+@query(f"""WITH {TRACE_SQL}, e AS (SELECT roi, segment, min(t_s) AS a, max(t_s) AS b FROM tr GROUP BY ALL)
+    SELECT roi, segment, round((a + was) / 2, 6) AS at FROM (SELECT *, lag(b) OVER (PARTITION BY roi ORDER BY segment) AS was FROM e) WHERE was IS NOT NULL""")
+def boundary_times(spark, sf):
+    return sequence.boundary_times(traces(spark, sf), ["roi"], "segment", "frame", "t_s")
+
+
+@query("""WITH f AS (SELECT label::BIGINT % 3 AS ds, label::BIGINT AS plane, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+    p AS (SELECT ds, plane, quantile_cont(v::DOUBLE, 0.01) AS dark FROM (SELECT ds, plane, unnest(embedding) AS v FROM f WHERE k <= 200) GROUP BY ALL)
+    SELECT d.ds, round(min(dark), 6) AS dark FROM (SELECT range AS ds FROM range(5)) d LEFT JOIN p USING (ds) GROUP BY d.ds""")
+def dataset_dark_level(spark, sf):
+    f = frames(spark, sf).withColumn("ds", F.col("plane") % 3)
+    return image.dataset_dark_level(spark.range(5).select(F.col("id").alias("ds")), f, "ds", "plane", "frame", "px")
+
+
+@query("SELECT n_regionkey AS ds, n_nationkey AS plane, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS position FROM nation")
+def plane_folders_in_order(spark, sf):
+    d = read(spark, sf, "nation").select(F.col("n_regionkey").alias("ds"), F.concat(F.lit("/data/"), F.col("n_name"), F.lit("/plane"), F.col("n_nationkey").cast("string")).alias("path"))
+    other = d.withColumn("path", F.lit("/data/combined"))
+    return planes.ordered_planes(d.unionByName(other), "path", ["ds"]).select("ds", "plane", "position")
+
+
+@query("SELECT DISTINCT n_regionkey AS ds, unnest(range(n_nationkey, n_nationkey + n_nationkey % 4 * 2))::BIGINT AS slice FROM nation")
+def evaluated_slices(spark, sf):
+    d = read(spark, sf, "nation").select(F.col("n_regionkey").alias("ds"), F.col("n_nationkey").alias("a"), (F.col("n_nationkey") + F.col("n_nationkey") % 4 * 2 - 1).alias("b"))
+    return tables.union_of_ranges(d, ["ds"], "a", "b", "slice")
+
+
+@query(f"WITH {REFERENCE_SQL} SELECT frame, min(plane - ref) AS low, max(plane - ref) AS high FROM bp GROUP BY frame")
+def shift_extremes(spark, sf):
+    return planes.shift_extremes(reference_correlations(spark, sf))
+
+
+@query(f"""WITH {REFERENCE_SQL}, s AS (SELECT plane, avg(corr) AS corr FROM rc WHERE ref = 0 GROUP BY plane), w AS (SELECT o AS "offset", coalesce(corr, 0) AS x FROM (VALUES (-1), (0), (1)) v(o) LEFT JOIN s ON s.plane = {PLANES - 1} + o)
+    SELECT "offset"::BIGINT AS "offset", round(x / sum(x) OVER (), 6) AS weight FROM w""")
+def reference_similarity_weights(spark, sf):
+    s = reference_correlations(spark, sf).filter("ref = 0").groupBy("plane").agg(F.avg("corr").alias("corr"))
+    return planes.similarity_weights(s, PLANES - 1)
+
+
+@query(f"""WITH {REFERENCE_SQL}, r AS (SELECT frame, plane, min(corr) < 5 AS bad, floor(max(corr))::BIGINT AS xoff, floor(min(corr))::BIGINT AS yoff FROM rc GROUP BY ALL), n AS (SELECT frame, plane + o AS plane FROM bp CROSS JOIN (VALUES (-1), (0), (1)) v(o) WHERE ref = 0)
+    SELECT n.frame, n.plane, coalesce(bad, false) AS bad, CASE WHEN NOT bad THEN xoff ELSE 0 END AS xoff, CASE WHEN NOT bad THEN yoff ELSE 0 END AS yoff FROM n LEFT JOIN r USING (frame, plane)""")
+def combined_shifts(spark, sf):
+    r = reference_correlations(spark, sf).groupBy("frame", "plane").agg((F.min("corr") < 5).alias("bad"), F.floor(F.max("corr")).alias("xoff"), F.floor(F.min("corr")).alias("yoff"))
+    return planes.combine_neighbours(planes_of_reference(spark, sf), r)
+
+
+@query(f"""WITH {REFERENCE_SQL}, b AS (SELECT frame, plane, corr FROM bp WHERE ref = 0), l AS (SELECT avg(corr) - 1.5 * stddev_pop(corr) AS x FROM b) SELECT frame, plane, {r6('corr')}, round(x, 6) AS "limit", corr <= x AS low FROM b, l""")
+def zposition_panel(spark, sf):
+    return planes.with_correlation_limit(planes_of_reference(spark, sf), "corr", 1.5).select("frame", "plane", "corr", "limit", "low")
+
+
+# Where each plane lies, in microns from the reference.
+_DEPTHS = ((0, -10.0), (1, -4.0), (2, 0.0), (3, 5.0), (4, 11.0))
+
+
+@query(f"""WITH {REFERENCE_SQL}, d AS (SELECT * FROM (VALUES {", ".join(f"({p}, {u}::DOUBLE)" for p, u in _DEPTHS)}) v(plane, um)), e AS (SELECT ref, um - (frame - 15) AS e, frame - 15 AS x FROM bp JOIN d USING (plane))
+    SELECT ref, round(sqrt(avg(e * e)), 6) AS rmse, count(e) AS n, round(sqrt(avg(e * e) FILTER (x BETWEEN -10 AND 11)), 6) AS rmse_inside, count(e) FILTER (x BETWEEN -10 AND 11) AS n_inside FROM e GROUP BY ref""")
+def displacement_rmse(spark, sf):
+    depths = values(spark, "plane long, um double", *_DEPTHS)
+    d = tables.index_of(planes.best_planes(reference_correlations(spark, sf)), "plane", depths).withColumn("measured", F.col("frame") - 15)
+    return tables.displacement_errors(d, ["ref"], "um", "measured", depths, "um")
+
+
+def _side(spark, sf, plane: int, out: str):
+    e = read(spark, sf, "events").filter((F.col("user_id") % PLANES == plane) & (F.col("event_type") != ("error" if plane else "view")))
+    return e.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias(out))
+
+
+@query(f"""WITH s AS (SELECT user_id % {PLANES} AS plane, date_trunc('hour', ts) AS h, event_type, value FROM events), a AS (SELECT h, avg(value) AS a FROM s WHERE plane = 0 AND event_type <> 'view' GROUP BY h), b AS (SELECT h, avg(value) AS b FROM s WHERE plane = 1 AND event_type <> 'error' GROUP BY h),
+    x AS (SELECT extract(hour FROM h)::BIGINT AS k, a, b FROM a FULL JOIN b USING (h))
+    SELECT k, round(quantile_cont(b - a, 0.05), 6) AS difference_low, round(quantile_cont(b - a, 0.95), 6) AS difference_high,
+    round(CASE WHEN count(a + b) >= 3 THEN covar_pop(a, b) / nullif(stddev_pop(a) FILTER (b IS NOT NULL) * stddev_pop(b) FILTER (a IS NOT NULL), 0) END, 6) AS correlation,
+    round(100.0 * count(*) FILTER (a IS NOT NULL AND b IS NULL) / nullif(count(a), 0), 6) AS removed FROM x GROUP BY k""")
+def registered_against_reference(spark, sf):
+    d = _side(spark, sf, 0, "a").join(_side(spark, sf, 1, "b"), "h", "full_outer").withColumn("k", F.hour("h"))
+    return composite.trace_differences(d, ["k"], "a", "b").drop("ratio_low", "ratio_high")
+
+
+@query(f"""WITH {TRACE_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY segment, frame) - 1 AS at FROM tr) SELECT roi, frame AS at, {r6('value')} FROM c WHERE segment = 1""")
+def named_segment(spark, sf):
+    d = sequence.number(traces(spark, sf), ["roi"], ["segment", "frame"], "at")
+    s = d.groupBy("roi", F.concat(F.lit("part"), F.col("segment").cast("string")).alias("name")).agg(F.min("at").alias("start"), (F.max("at") + 1).alias("stop"))
+    return tables.named_slice(d, s, ["roi"], "part1", "at").select("roi", "at", "value")
+
+
+@query("""SELECT o_custkey, min(o_orderpriority) AS o_orderpriority, min(o_orderstatus) AS o_orderstatus, count(DISTINCT (o_orderpriority, o_orderstatus)) > 1 AS conflict
+    FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey""")
+def reviewed_metadata(spark, sf):
+    o = read(spark, sf, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", F.lit("  ")).otherwise(F.col("o_orderstatus")))
+    return tables.reviewed(o, ["o_custkey"], ["o_orderpriority", "o_orderstatus"])
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey < 3 THEN '/mnt/raw/' || n_name || '/a.tif' END AS path FROM nation")
+def relocated_paths(spark, sf):
+    n = read(spark, sf, "nation")
+    return n.select("n_nationkey", tables.relocated(F.concat(F.when(F.col("n_regionkey") < 3, "D:/old/raw/").otherwise("D:/old/else/"), F.col("n_name"), F.lit("/a.tif")), "/mnt/raw/").alias("path"))
+
+
+# The whole way to a corrected trace
+
+
+_CORRECTED_SQL = f"""WITH {TRACE_SQL}, pr AS (SELECT roi, z, avg(value) AS p FROM tr GROUP BY ALL), fa AS (SELECT roi, z, p / nullif(max(CASE WHEN z = 10 THEN p END) OVER (PARTITION BY roi), 0) AS factor FROM pr),
+    d AS (SELECT tr.*, factor FROM (SELECT roi, segment, frame, f, fneu, CASE WHEN NOT bad THEN z END AS z FROM tr) tr LEFT JOIN fa USING (roi, z)),
+    v AS (SELECT *, CASE WHEN z IS NOT NULL AND lag(z) OVER (PARTITION BY roi, segment ORDER BY frame) IS NULL THEN 1 ELSE 0 END AS st FROM d),
+    i AS (SELECT *, sum(st) OVER (PARTITION BY roi, segment ORDER BY frame) AS run FROM v), rn AS (SELECT *, row_number() OVER (PARTITION BY roi, segment, run ORDER BY frame) - 1 AS p, count(*) OVER (PARTITION BY roi, segment, run) AS n FROM i WHERE z IS NOT NULL),
+    e AS (SELECT rn.roi, rn.segment, rn.run, rn.frame, w, (((rn.p + j) % (2 * n)) + 2 * n) % (2 * n) AS m, n FROM rn CROSS JOIN {_gauss(2.0)}),
+    s AS (SELECT e.roi, e.segment, e.frame, CASE WHEN count(rn.factor) = count(*) THEN sum(w * rn.factor) END AS g FROM e JOIN rn ON rn.roi = e.roi AND rn.segment = e.segment AND rn.run = e.run AND rn.p = (CASE WHEN m < e.n THEN m ELSE 2 * e.n - 1 - m END) GROUP BY ALL),
+    zc AS (SELECT d.roi, d.segment, d.frame, d.f / nullif(g, 0) AS f, d.fneu / nullif(g, 0) AS fneu FROM d LEFT JOIN s ON s.roi = d.roi AND s.segment = d.segment AND s.frame = d.frame), {_base_sql("zc")}"""
+
+
+def _depth_corrected(spark, sf, faults: bool):
+    d = traces(spark, sf)
+    p = d.groupBy("roi", "z").agg(F.avg("value").alias("value"))
+    d = d.select(*KEYS, "frame", "f", "fneu", F.when(~F.col("bad"), F.col("z")).alias("z"))
+    return trace.correct_traces(d, p, ["roi"], "segment", "frame", "z", "z", 10, rate=2.0, percentile=8, window_s=10, faults=faults)
+
+
+@query(f"{_CORRECTED_SQL} SELECT roi, segment, frame, {r6('f0', 'n0')}, round(f - (slope * (fneu - n0) + intercept), 6) AS fc, round((f - (slope * (fneu - n0) + intercept) - f0) / greatest(1, f0), 6) AS dff FROM c LEFT JOIN r USING (roi)")
+def corrected_dff(spark, sf):
+    return _depth_corrected(spark, sf, False).select(*KEYS, "frame", "f0", "n0", "fc", "dff")
+
+
+@query()
+def corrected_dff_without_faults(spark, sf):
+    return _depth_corrected(spark, sf, True).select(*KEYS, "frame", "f0", "n0", "fc", "dff")

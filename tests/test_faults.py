@@ -1,8 +1,10 @@
 """Faults that were found once: equal rows, missing segments, single frames, correlations of longer images."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import align, image, sequence
+from tessera.operators import align, image, planes, sequence, smooth, tables, trace
 
 
 def test_equal_rows_each_get_the_first_rule(spark):
@@ -36,3 +38,55 @@ def test_most_similar_frames_are_those_of_numpy(spark):
     want = np.corrcoef(x)[3]
     order = np.argsort(-want)[:4]
     assert [r.frame for r in got] == order.tolist() and np.allclose([r.corr for r in got], want[order])
+
+
+def test_blocks_of_a_baseline_change_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, i, float(v) if i % 7 else None, float(i)) for i, v in enumerate(rng.normal(50, 9, 700))]
+    d = spark.createDataFrame(rows, "roi int, frame int, f double, n double")
+    one = smooth.baselines(d, ["roi"], "frame", {"a": "f", "b": "n"}, 1, 8, 10).orderBy("frame").toPandas()
+    cut = smooth.baselines(d, ["roi"], "frame", {"a": "f", "b": "n"}, 1, 8, 10, block=1).orderBy("frame").toPandas()
+    assert len(cut) == 700 and np.allclose(one[["a", "b"]], cut[["a", "b"]]) and one.a.notna().all()
+
+
+def test_selected_ids_must_be_there_once(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id int, v string")
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "id int")
+    assert [r.v for r in tables.subset(d, "id", ids(1)).collect()] == ["a"]
+    for bad in (2, 3):
+        with pytest.raises(Exception, match=f"not exactly one row with id {bad}"):
+            tables.subset(d, "id", ids(1, bad)).collect()
+    with pytest.raises(Exception, match="no plane 2"):
+        tables.index_of(d, "id", spark.createDataFrame([(1, 0.0)], "id int, um double")).collect()
+
+
+def test_reviewed_rows_that_contradict_each_other(spark):
+    d = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1"), ("b", "2"), ("c", " "), (" ", "1"), ("d", None)], "name string, rate string")
+    assert {(r.name, r.conflict) for r in tables.reviewed(d, ["name"], ["rate"]).collect()} == {("a", False), ("b", True)}
+
+
+def test_planes_go_by_number_and_paths_move(spark):
+    d = spark.createDataFrame([(f"/x/plane{i}",) for i in (10, 9, 0)] + [("/x/combined",)], "path string")
+    assert [(r.plane, r.position) for r in planes.ordered_planes(d, "path").orderBy("position").collect()] == [(0, 0), (9, 1), (10, 2)]
+    p = spark.createDataFrame([("D:/a/raw/m/1.tif",), ("D:/a/m/1.tif",), ("D:/raw",)], "p string")
+    assert [r.q for r in p.select(tables.relocated(F.col("p"), "/mnt/raw").alias("q")).collect()] == ["/mnt/raw/m/1.tif", None, "/mnt/raw"]
+
+
+def test_a_cell_ends_at_the_troughs_around_it():
+    x = np.array([1, 2, 4, 6, 4, 2, 1, 2, 4, 8, 8.5, 8, 4, 2, 0.5, 2, 4, 6, 4, 2, 1.0])
+    assert trace.fault_limits(x, 9) == (6, 14) and trace.fault_limits(x, 3) == (1, 6) and trace.fault_limits(x, 17) == (15, 20)
+    assert trace.fault_limits(np.ones(5), 2) == (0, 4)
+
+
+def test_faulty_slices_correct_nothing(spark):
+    peak = [1, 2, 4, 6, 4, 2, 1, 2, 4, 8, 8.5, 8, 4, 2, 0.5, 2, 4, 6, 4, 2, 1.0]
+    profile = spark.createDataFrame([(0, z, float(v)) for z, v in enumerate(peak)], "roi int, z int, value double")
+    rng = np.random.default_rng(4)
+    rows = [(0, 0, i, 100 + float(rng.normal()), 50 + float(rng.normal()), 3 if i >= 300 else 10) for i in range(400)]
+    d = spark.createDataFrame(rows, "roi int, segment int, frame int, f double, fneu double, z int")
+    args = (d, profile, ["roi"], "segment", "frame", "z", "z", 10, 1.0, 8, 20)
+    whole = trace.correct_traces(*args, faults=False).orderBy("frame").toPandas()
+    masked = trace.correct_traces(*args).orderBy("frame").toPandas()
+    # Slice 3 belongs to another cell. The factor's filter spreads the gap by eight frames, that of F0 by eighty more.
+    assert whole.dff.notna().all() and masked.f[:292].notna().all() and masked.f[292:].isna().all() and masked.fc[:200].notna().all()
+    assert np.allclose(whole.f[:292], d.orderBy("frame").toPandas().f[:292]) and np.allclose(whole.f[310:], d.orderBy("frame").toPandas().f[310:] / (6 / 8.5))
