@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contaminated
+from .importance import importance_sql, resample_digest
 from .licences import licences_sql, scan_licences
 from .line_dedup import line_digest
 from .pii import pii_digest, pii_sql
@@ -59,9 +60,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op2_warc": op2_warc, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op6_quality_classifier": op6_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op2_warc": op2_warc, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op6_quality_classifier": op6_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup, "op11_importance": op11_importance}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc_sql(), "op4_pii": pii_sql(), "op8_licences": licences_sql()}
+    return {"op2_warc": warc_sql(), "op4_pii": pii_sql(), "op8_licences": licences_sql(), "op11_importance": importance_sql()}
