@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import chat_digest, chat_sql
 from .common import table
 from .decontaminate import contaminated
+from .divergence import divergence, divergence_sql
 from .importance import importance_sql, resample_digest
 from .licences import licences_sql, scan_licences
 from .line_dedup import line_digest
@@ -64,9 +66,17 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op2_warc": op2_warc, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op6_quality_classifier": op6_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup, "op11_importance": op11_importance}
+    return {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op2_warc": op2_warc, "op3_sentencepiece": op3_sentencepiece, "op10_token_counts": op10_token_counts, "op4_pii": op4_pii, "op6_quality_classifier": op6_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_licences": op8_licences, "op9_line_dedup": op9_line_dedup, "op11_importance": op11_importance, "op12_divergence": op12_divergence, "op13_chat": op13_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc_sql(), "op4_pii": pii_sql(), "op8_licences": licences_sql(), "op11_importance": importance_sql()}
+    return {"op2_warc": warc_sql(), "op4_pii": pii_sql(), "op8_licences": licences_sql(), "op11_importance": importance_sql(), "op12_divergence": divergence_sql(), "op13_chat": chat_sql()}
