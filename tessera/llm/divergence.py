@@ -15,7 +15,7 @@ texts of any length are taken whole; ids and other columns are not read.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,44 +27,55 @@ from pyspark.sql import functions as F
 from .common import written
 
 TERM_RX = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: The same by byte: letters in lower case, bytes beyond ASCII as they are, blanks for all else.
+TERM_BYTES = bytes(b if b >= 0x80 or chr(b).islower() else b + 32 if chr(b).isupper() else 0x20 for b in range(256))
 #: Up to so many sources of a language use a light term; its posting list makes at most LIGHT * (LIGHT - 1) / 2 rows.
 LIGHT = 8
 #: Terms of a slice and sources of a block: a tile holds two arrays of SLICE x BLOCK integers.
 SLICE, BLOCK = 256, 256
 #: Distinct terms that a task holds before it hands them on.
-HELD = 200_000
+HELD = 400_000
 SCALE = 1_000_000_000
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
 def _counts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Sums of occurrences and of documents by language, source and term; each group also has a row with a null term."""
-    find, held = re.compile(TERM_RX).findall, {}
-    seen: set[tuple[str, str]] = set()
+    """Sums of occurrences and of documents by language, source and term; each group also has a row with a null term.
 
-    def out():
-        rows = [(a, b, t, n, d) for (a, b), terms in held.items() for t, (n, d) in terms.items()]
+    Texts stay UTF-8: one byte table lowers letters and blanks what is no part of a term.
+    """
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    seen: set[tuple[str, str]] = set()
+    names = ["lang", "source", "term", "n", "docs"]
+
+    def rows(lang: str, source: str, terms: list, n: list, docs: list) -> pa.RecordBatch:
+        group = [pa.array([x]).take(pa.array(np.zeros(len(terms), dtype="int64"))) for x in (lang, source)]
+        return pa.RecordBatch.from_arrays([*group, pa.array(terms, type=pa.binary()).cast(pa.string()), pa.array(n, type=pa.int64()), pa.array(docs, type=pa.int64())], names=names)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for key, (n, docs) in held.items():
+            terms = list(n)
+            for k in range(0, len(terms), 50_000):
+                part = terms[k : k + 50_000]
+                yield rows(*key, part, [n[t] for t in part], [docs[t] for t in part])
         held.clear()
-        for k in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[k : k + 20_000]), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "source", "term", "n", "docs"])
 
     size = 0
     for batch in batches:
-        for text, lang, source in zip(*(batch.column(i) for i in range(3))):
-            key = (lang.as_py() or "", source.as_py() or "")
-            terms = held.setdefault(key, {})
+        texts = batch.column(0).cast(pa.binary())
+        for text, lang, source in zip(*(c.to_pylist() for c in (texts, batch.column(1), batch.column(2)))):
+            key = (lang or "", source or "")
             if key not in seen:
                 seen.add(key)
-                terms[None] = (0, 0)
-            own: dict[str, int] = {}
-            for w in find((text.as_py() or "").translate(LOWER)):
-                own[w] = own.get(w, 0) + 1
-            before = len(terms)
-            for w, n in own.items():
-                a, b = terms.get(w, (0, 0))
-                terms[w] = (a + n, b + 1)
-            size += len(terms) - before
+                yield rows(*key, [None], [0], [0])
+            terms = (text or b"").translate(TERM_BYTES).split()
+            if not terms:
+                continue
+            n, docs = held.setdefault(key, (Counter(), Counter()))
+            before = len(n)
+            n.update(terms)
+            docs.update(set(terms))
+            size += len(n) - before
             if size > most:
                 yield from out()
                 size = 0

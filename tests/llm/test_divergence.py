@@ -70,7 +70,7 @@ def many_sources(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize(("light", "block", "held"), [(8, 256, 200_000), (2, 4, 5), (0, 7, 50), (100, 5, 50)])
+@pytest.mark.parametrize(("light", "block", "held"), [(8, 256, 400_000), (2, 4, 5), (0, 7, 50), (100, 5, 50)])
 def test_heavy_and_light_terms_add_up(spark, light, block, held):
     d = many_sources(spark)
     want = brute(plain(d), least=5, top=3)
