@@ -38,3 +38,38 @@ def rollup(samples: DataFrame, width: str = "1 minute", watermark: str = "1 minu
     """ds, start, mean, n over tumbling windows; samples later than the watermark are left out."""
     g = samples.withWatermark("ts", watermark).groupBy("ds", F.window("ts", width).alias("w")).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
     return g.select("ds", F.col("w.start").alias("start"), "mean", "n")
+
+
+def samples_of_chunks(chunks: DataFrame, channels: list[str], rate: float) -> DataFrame:
+    """recording, sample, t_s, channel, volts from a recording's bytes as they arrive (chunks: recording, chunk, content; numbered from 0).
+
+    A chunk may end inside a sample: its last bytes are kept as state and go before the next chunk's. Chunks that arrive early wait for
+    those before them, repeated ones are dropped. What is left of a sample when a recording ends never comes out, as in a batch.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    if rate <= 0 or not channels:
+        raise ValueError("a recording has a positive rate and channels")
+    n, names = len(channels), np.array(channels, dtype=object)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        following, samples, tail, numbers, held = state.get if state.exists else (0, 0, b"", [], [])
+        waiting = dict(zip(numbers, held))
+        for pdf in batches:
+            waiting |= {int(c): bytes(b) for c, b in zip(pdf["chunk"], pdf["content"]) if c >= following}
+        parts = [bytes(tail)]
+        while following in waiting:
+            parts.append(bytes(waiting.pop(following)))
+            following += 1
+        raw = b"".join(parts)
+        m = len(raw) // (8 * n)
+        state.update((following, samples + m, raw[8 * n * m :], sorted(waiting), [waiting[k] for k in sorted(waiting)]))
+        if m:
+            at = np.repeat(np.arange(samples, samples + m), n)
+            yield pd.DataFrame({"recording": key[0], "sample": at, "t_s": at / rate, "channel": np.tile(names, m), "volts": np.frombuffer(raw, dtype="<f8", count=n * m)})
+
+    out = "recording string, sample bigint, t_s double, channel string, volts double"
+    kept = "following bigint, samples bigint, tail binary, numbers array<bigint>, held array<binary>"
+    return chunks.groupBy("recording").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout)
