@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
+Shape = tuple[int, int]
 #: Pixels of the frames that are transformed at once.
 AT_ONCE = 1 << 22
 
 
+def images(column: pa.Array, shape: Shape) -> np.ndarray:
+    """A batch's array column as (rows, height, width)."""
+    flat = column.flatten()
+    if column.null_count or flat.null_count or len(flat) != len(column) * shape[0] * shape[1]:
+        raise ValueError(f"every image must have {shape[0]} x {shape[1]} values")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), *shape)
+
+
 def conjugate_spectra(images: np.ndarray) -> np.ndarray:
     """What frames are correlated with; worked out once for each reference."""
     return np.conj(np.fft.fft2(np.asarray(images, dtype=float)))
@@ -83,7 +93,7 @@ def displacement(centres: list[int], across: list[int], dy: np.ndarray, dx: np.n
     """Row and column shifts of every pixel from those of the blocks at the given centres; beyond the outer centres they stay as there."""
     out = []
     for v in (dy, dx):
-        inner = stretched(np.asarray(v, dtype="float32").reshape(len(centres), len(across)), (max(1, max(centres) - min(centres)), max(1, max(across) - min(across))))
+        inner = stretched(np.asarray(v, dtype=float).reshape(len(centres), len(across)), (max(1, max(centres) - min(centres)), max(1, max(across) - min(across))))
         pads = [(max(0, min(c)), max(0, m - k - max(0, min(c)))) for c, m, k in zip((centres, across), shape, inner.shape)]
         out.append(np.pad(inner, pads, mode="edge")[: shape[0], : shape[1]])
     return out[0], out[1]
@@ -92,11 +102,11 @@ def displacement(centres: list[int], across: list[int], dy: np.ndarray, dx: np.n
 def warped(frame: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
     """The frame read at each pixel plus its displacement, by bilinear interpolation, edges repeated."""
     h, w = frame.shape
-    y = np.clip(np.arange(h, dtype="float32")[:, None] + dy, 0, h - 1)
-    x = np.clip(np.arange(w, dtype="float32")[None, :] + dx, 0, w - 1)
+    y = np.clip(np.arange(h, dtype=float)[:, None] + dy, 0, h - 1)
+    x = np.clip(np.arange(w, dtype=float)[None, :] + dx, 0, w - 1)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
     a, b = y - y0, x - x0
-    f = frame.astype("float32")
+    f = frame.astype(float)
     top, bottom = f[y0, x0] * (1 - b) + f[y0, x1] * b, f[y1, x0] * (1 - b) + f[y1, x1] * b
     return top * (1 - a) + bottom * a

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import phase
 from ..functions.missing import pearson
+from ..functions.phase import Shape
 
 
 def pixels(df: DataFrame, px: str, index: str = "i", value: str = "v") -> DataFrame:
@@ -49,7 +52,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _let(x: Column, f) -> Column:
+def let(x: Column, f) -> Column:
     """f of x, which is worked out once and not again for each element of an array."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
@@ -58,9 +61,9 @@ def unit(px: str) -> Column:
     """An array about its mean, scaled to length one, so that inner products are correlations."""
     x = F.transform(px, lambda v: v.cast("double"))
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(px)
-    centred = _let(mean, lambda m: F.transform(x, lambda v: v - m))
+    centred = let(mean, lambda m: F.transform(x, lambda v: v - m))
     length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, w: s + w * w))
-    return _let(centred, lambda c: _let(length(c), lambda n: F.transform(c, lambda v: F.try_divide(v, n))))
+    return let(centred, lambda c: let(length(c), lambda n: F.transform(c, lambda v: F.try_divide(v, n))))
 
 
 def most_similar(df: DataFrame, keys: Sequence[str], id_: str, px: str, seed: DataFrame, n: int) -> DataFrame:
@@ -86,61 +89,29 @@ def reslice(grid: DataFrame, offsets: DataFrame, depth: int, z: str = "z", y: st
     return want.join(have, ["_z", y]).drop("_z")
 
 
-def initial_reference(df: DataFrame, keys: Sequence[str], id_: str, px: str, n_best: int = 20) -> DataFrame:
-    """keys, px: mean of the centred frames nearest to the frame that correlates best with its nearest ones, cut to integers.
-
-    A group is one plane's sample of frames, whose Gram matrix one task holds.
-    """
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", `{px}` array<int>"
-
-    def run(pdf):
-        x = np.stack(pdf.sort_values(id_)[px].to_numpy()).astype(float)
-        x -= x.mean(axis=1, keepdims=True)
-        norm = np.linalg.norm(x, axis=1)
-        c = x @ x.T / np.maximum(np.outer(norm, norm), 1e-12)
-        n = max(1, min(n_best, len(x)))
-        # The seed needs a neighbour to be near to, even where one frame alone is averaged.
-        seed = int(np.argmax(-np.sort(-c, axis=1)[:, 1 : max(2, n)].mean(axis=1))) if len(x) > 1 else 0
-        best = np.argsort(-c[seed], kind="stable")[:n]
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return type(pdf)(head | {px: [np.trunc(x[best].mean(axis=0)).astype(int)]})
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
-def phase_shift(frame: np.ndarray, reference: np.ndarray) -> tuple[int, int, float]:
-    """(dy, dx, peak): the whole-pixel shift of a frame against a reference, by phase correlation."""
-    cross = np.fft.fft2(frame) * np.conj(np.fft.fft2(reference))
-    c = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
-    y, x = np.unravel_index(int(np.argmax(c)), c.shape)
-    half = lambda v, n: int(v - n) if v > n // 2 else int(v)
-    return half(y, c.shape[0]), half(x, c.shape[1]), float(c[y, x])
-
-
-def register(frames: DataFrame, references: DataFrame, shape: tuple[int, int], px: str = "px") -> DataFrame:
+def register(frames: DataFrame, references: DataFrame, shape: Shape, px: str = "px", limit: int | None = None) -> DataFrame:
     """frame columns, ref, dy, dx, peak: every frame against every reference image.
 
-    The references are one image for each slice or plane, as a stack; they meet the frames by a broadcast that is
-    bounded by REFERENCE_PIXELS.
+    The references are one image for each slice or plane, as a stack; their spectra are worked out once and meet the frames by a
+    broadcast that is bounded by REFERENCE_PIXELS. A batch of frames is transformed at once.
     """
-    refs = references.select("ref", px)
     n = references.count()
     if n * shape[0] * shape[1] > REFERENCE_PIXELS:
         raise ValueError("too many reference pixels to broadcast: register against a part of the stack at a time")
-    stack = {r["ref"]: np.array(r[px], dtype=float).reshape(shape) for r in refs.collect()}
-    shared = frames.sparkSession.sparkContext.broadcast(stack)
+    stack = {r["ref"]: np.array(r[px], dtype=float).reshape(shape) for r in references.collect()}
+    refs = pa.array(list(stack), type=pa.int32())
+    shared = frames.sparkSession.sparkContext.broadcast(phase.conjugate_spectra(np.stack(list(stack.values()))) if stack else np.zeros((0, *shape)))
     keep = [c for c in frames.columns if c != px]
-    schema = ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in keep) + ", ref int, dy int, dx int, peak double"
+    schema = "".join(f"`{c}` {frames.schema[c].dataType.simpleString()}, " for c in keep) + "ref int, dy int, dx int, peak double"
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                f = np.array(getattr(r, px), dtype=float).reshape(shape)
-                rows += [[*(getattr(r, c) for c in keep), k, *phase_shift(f, s)] for k, s in shared.value.items()]
-            yield type(pdf)(rows, columns=[*keep, "ref", "dy", "dx", "peak"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = phase.phase_shifts(phase.images(b.column(px), shape), shared.value, limit)
+            rows = b.take(pa.array(np.repeat(np.arange(b.num_rows), len(refs))))
+            every = refs.take(pa.array(np.tile(np.arange(len(refs)), b.num_rows)))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), every, *(pa.array(v.ravel()) for v in found)], names=[*keep, "ref", "dy", "dx", "peak"])
 
-    return frames.mapInPandas(run, schema)
+    return frames.mapInArrow(run, schema)
 
 
 #: Pixels of all reference images together that may be broadcast.

@@ -18,25 +18,15 @@ from pyspark.sql import functions as F
 
 from ..functions import phase
 from ..functions.kernels import savitzky_golay
+from ..functions.phase import Shape, images
 from ..sources.shared import written
-from .image import REFERENCE_PIXELS, most_similar, unit
+from .image import REFERENCE_PIXELS, let, most_similar, unit
 
 #: Rounds of the iterated reference; round i takes max(2, n (1 + i) / 16) of n frames.
 ROUNDS, SHARE = 8, 16
 #: Frames whose shifts may be broadcast to their images.
 SMALL = 1 << 18
 
-Shape = tuple[int, int]
-
-
-def images(column: pa.Array, shape: Shape) -> np.ndarray:
-    """A batch's array column as (rows, height, width)."""
-    flat = column.flatten()
-    if column.null_count or flat.null_count or len(flat) != len(column) * shape[0] * shape[1]:
-        raise ValueError(f"every image must have {shape[0]} x {shape[1]} values")
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), *shape)
-
-
 def _array(x: np.ndarray) -> pa.Array:
     x = x.reshape(len(x), -1)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="int32") * x.shape[1]), pa.array(x.ravel()))
@@ -371,14 +361,15 @@ def clipped(df: DataFrame, px: str, low: float = 0.01, high: float = 0.99) -> Da
     """Images cut to their own percentiles, which are cut to integers."""
     sorted_ = F.array_sort(F.transform(px, lambda v: v.cast("double")))
 
-    def at(p: float) -> Column:
-        k = (F.size(px) - 1) * F.lit(p)
+    def at(s: Column, p: float) -> Column:
+        k = (F.size(s) - 1) * F.lit(p)
         below = F.floor(k).cast("int")
-        a, b = F.get("_s", below), F.get("_s", F.least(below + 1, F.size(px) - 1))
-        return F.floor(F.abs(v := a + (b - a) * (k - below))) * F.signum(v)
+        a, b = F.get(s, below), F.get(s, F.least(below + 1, F.size(s) - 1))
+        v = a + (b - a) * (k - below)
+        return F.floor(F.abs(v)) * F.signum(v)
 
-    d = df.withColumn("_s", sorted_).withColumns({"_lo": at(low), "_hi": at(high)})
-    return d.withColumn(px, F.transform(px, lambda v: F.least(F.greatest(v.cast("double"), F.col("_lo")), F.col("_hi")))).drop("_s", "_lo", "_hi")
+    ends = let(sorted_, lambda s: F.struct(at(s, low).alias("lo"), at(s, high).alias("hi")))
+    return df.withColumn(px, let(ends, lambda e: F.transform(px, lambda v: F.least(F.greatest(v.cast("double"), e["lo"]), e["hi"]))))
 
 
 def aligned_references(references: DataFrame, keys: Sequence[str], z: str, shape: Shape, px: str = "px", limit: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -63,18 +63,23 @@ def hanning_low_pass(df: DataFrame, keys: Sequence[str], order: str, value: str,
 
 
 def gaussian_reflect(df: DataFrame, keys: Sequence[str], order: str, value: str, sigma: float, out: str) -> DataFrame:
-    """Gaussian with the series mirrored at its ends (the end value comes twice), however short it is."""
+    """Gaussian with the series mirrored at its ends (the end value comes twice), however short it is.
+
+    Mirrored places never lie further off than the kernel reaches, so each row's window of neighbours holds all it needs.
+    """
     weights = gaussian(sigma)
     r = len(weights) // 2
-    w = Window.partitionBy(*keys)
-    d = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    taps = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(k).alias("_w")) for j, k in zip(range(-r, r + 1), weights)]))
-    at = d.select(*keys, "_i", "_n", taps.alias("_t"))
-    m = F.pmod(F.col("_i") + F.col("_t._j"), 2 * F.col("_n"))
-    at = at.select(*keys, "_i", "_t._w", F.when(m < F.col("_n"), m).otherwise(2 * F.col("_n") - 1 - m).alias("_s"))
-    src = d.select(*keys, F.col("_i").alias("_s"), F.col(value).alias("_v"))
-    total = at.join(src, [*keys, "_s"]).groupBy(*keys, "_i").agg(F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("_w") * F.col("_v"))).alias(out))
-    return d.join(total, [*keys, "_i"]).drop("_i", "_n")
+    w = ordered(keys, order)
+    near = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(w.rowsBetween(-r, r))  # structs, for missing values stay
+    d = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"), "_near": near})
+
+    def tap(j: int, k: float) -> Column:
+        m = F.pmod(F.col("_i") + j, 2 * F.col("_n"))
+        at = F.when(m < F.col("_n"), m).otherwise(2 * F.col("_n") - 1 - m)
+        return F.get("_near", at - F.greatest(F.lit(0), F.col("_i") - r))["v"] * k
+
+    total = sum((tap(j, k) for j, k in zip(range(-r, r + 1), weights)), F.lit(0.0))
+    return d.withColumn(out, total).drop("_i", "_n", "_near")
 
 
 def hanning_skipping(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int, out: str) -> DataFrame:

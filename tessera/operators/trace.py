@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import floor_one
-from .sequence import islands
+from ..sources.shared import written
+from .sequence import ordered
 from .smooth import baselines, gaussian_reflect
 
 
@@ -25,19 +26,20 @@ def subtract_dark(df: DataFrame, dark: float, *values: str) -> DataFrame:
 def bin_regression(df: DataFrame, keys: Sequence[str], f: str, n: str, bins: int = 20, low: float = 0.1, high: float = 0.9, f_percentile: float = 0.05) -> DataFrame:
     """keys, intercept, slope: the line through a low percentile of f in equal bins of n, at the bins' left edges.
 
-    The slope is clipped to [0, 2] afterwards and the intercept kept; fewer than two bins give missing values.
+    The slope is clipped to [0, 2] afterwards and the intercept kept; fewer than two bins give missing values. The trace is read once and
+    dealt out by its keys once: limits, bins and lines are worked out where a key's rows are.
     """
-    lim = df.groupBy(*keys).agg(F.percentile(n, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    lim = lim.select(*keys, F.get("_q", F.lit(0)).alias("_lo"), ((F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))) / bins).alias("_bs"))
-    d = df.join(lim, list(keys)).filter(F.col("_bs") > 0)
-    b = F.floor(F.try_divide(F.col(n) - F.col("_lo"), F.col("_bs")))
-    d = d.withColumn("_b", b).filter(F.col("_b").between(0, bins - 1))
-    y = d.groupBy(*keys, "_b", "_lo", "_bs").agg(F.percentile(f, f_percentile).alias("_y")).filter("_y IS NOT NULL")
-    y = y.withColumn("_x", F.col("_lo") + F.col("_b") * F.col("_bs"))
-    fit = y.groupBy(*keys).agg(F.regr_intercept("_y", "_x").alias("intercept"), F.regr_slope("_y", "_x").alias("slope"), F.count(F.lit(1)).alias("_n"))
+    q = F.percentile(n, F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(*keys))
+    d = df.select(*keys, F.col(f).alias("_f"), F.col(n).alias("_n"), q.alias("_q"))
+    d = d.select(*keys, "_f", "_n", F.get("_q", F.lit(0)).alias("_lo"), ((F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))) / bins).alias("_bs"))
+    b = F.floor(F.try_divide(F.col("_n") - F.col("_lo"), F.col("_bs")))
+    d = d.withColumn("_b", F.when((F.col("_bs") > 0) & b.between(0, bins - 1), b))
+    y = d.groupBy(*keys, "_b", "_lo", "_bs").agg(F.percentile("_f", f_percentile).alias("_y"))
+    y = y.withColumn("_y", F.when(F.col("_b").isNotNull(), F.col("_y")))
+    x = F.when(F.col("_y").isNotNull(), F.col("_lo") + F.col("_b") * F.col("_bs"))
+    fit = y.withColumn("_x", x).groupBy(*keys).agg(F.regr_intercept("_y", "_x").alias("intercept"), F.regr_slope("_y", "_x").alias("slope"), F.count("_y").alias("_n"))
     slope = F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col("slope")))
-    fit = fit.select(*keys, F.when(F.col("_n") > 1, F.col("intercept")).alias("intercept"), F.when((F.col("_n") > 1) & F.col("slope").isNotNull(), slope).alias("slope"))
-    return df.select(*keys).distinct().join(fit, list(keys), "left")
+    return fit.select(*keys, F.when(F.col("_n") > 1, F.col("intercept")).alias("intercept"), F.when((F.col("_n") > 1) & F.col("slope").isNotNull(), slope).alias("slope"))
 
 
 def subtract_background(df: DataFrame, fit: DataFrame, keys: Sequence[str], f: str = "f", n: str = "fneu", f0: str = "f0", n0: str = "n0", out: str = "fc") -> DataFrame:
@@ -59,12 +61,19 @@ def profile_factors(profile: DataFrame, keys: Sequence[str], z: str, value: str,
 
 
 def correct_zmotion(df: DataFrame, factors: DataFrame, keys: Sequence[str], segment: str, order: str, z: str, values: Sequence[str], sigma: float = 2.0) -> DataFrame:
-    """Values over the factor at each frame's depth, smoothed within the runs of frames whose depth is known."""
-    d = df.join(factors.select(*keys, z, "factor"), [*keys, z], "left")
-    runs = islands(d.select(*keys, segment, order, z, "factor"), [*keys, segment], order, F.col(z).isNotNull())
-    smooth = gaussian_reflect(runs, [*keys, segment, "run"], order, "factor", sigma, "smoothed").select(*keys, segment, order, "smoothed")
-    d = d.join(smooth, [*keys, segment, order], "left")
-    return d.withColumns({v: F.try_divide(F.col(v), F.col("smoothed")) for v in values})
+    """Values over the factor at each frame's depth, smoothed within the runs of frames whose depth is known.
+
+    A cell's factors travel as one map (as many entries as slices), so traces are dealt out by the cell and stay there: runs and smoothing
+    are windows of that one partitioning, and no frame is joined to itself.
+    """
+    known = factors.filter(F.col(z).isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(z), "factor"))).alias("_factors"))
+    d = df.join(known, list(keys), "left").withColumn("factor", F.try_element_at("_factors", F.col(z))).drop("_factors")
+    w = ordered([*keys, segment], order)
+    there = F.col(z).isNotNull()
+    d = d.withColumn("_there", there).withColumn("_turn", (F.col("_there") != F.coalesce(F.lag("_there").over(w), F.lit(False))).cast("long"))
+    d = d.withColumn("_run", F.sum("_turn").over(w))
+    d = gaussian_reflect(d, [*keys, segment, "_run"], order, "factor", sigma, "smoothed").withColumn("smoothed", F.when(F.col("_there"), F.col("smoothed")))
+    return d.drop("_there", "_turn", "_run").withColumns({v: F.try_divide(F.col(v), F.col("smoothed")) for v in values})
 
 
 def _peaks(x: np.ndarray, distance: int, width: float, reach: int) -> list[int]:
@@ -151,5 +160,10 @@ def correct_traces(df: DataFrame, profile: DataFrame, keys: Sequence[str], segme
     factors = factors.withColumnRenamed(depth, z) if depth != z else factors
     d = correct_zmotion(df, factors, keys, segment, order, z, ["f", "fneu"])
     d = baselines(d, [*keys, segment], order, {"f0": "f", "n0": "fneu"}, rate, percentile, window_s)
-    d = d.withColumn("cf", F.col("f") - F.col("f0")).withColumn("cn", F.col("fneu") - F.col("n0"))
+    d = about_baselines(d)
     return dff(subtract_background(d, bin_regression(d, keys, "cf", "cn"), keys)).drop("cf", "cn", "slope", "intercept")
+
+
+def about_baselines(df: DataFrame) -> DataFrame:
+    """Rows with cf and cn, f and fneu about their baselines, written once: the line is fitted to them and then taken off them."""
+    return written(df.withColumns({"cf": F.col("f") - F.col("f0"), "cn": F.col("fneu") - F.col("n0")}), "baselines")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import savitzky_golay
-from ..operators import align, composite, depth, events, image, planes, profiles, sequence, smooth, tables, trace
+from ..operators import align, composite, depth, events, image, planes, profiles, registration, sequence, smooth, tables, trace
 from .bindings import PLANES, REFERENCE_SQL, TRACE_SQL, frames, planes_of_reference, read, reference_correlations, seconds, tidy
 from .bindings import trace as traces
 
@@ -242,7 +242,7 @@ _BASE_SQL = f"WITH {TRACE_SQL}, {_base_sql()}"
 
 def _baselines(spark, sf):
     d = smooth.baselines(traces(spark, sf), KEYS, "frame", {"f0": "f", "n0": "fneu"}, rate=2.0, percentile=8, window_s=10)
-    return d.withColumn("cf", F.col("f") - F.col("f0")).withColumn("cn", F.col("fneu") - F.col("n0"))
+    return trace.about_baselines(d)
 
 
 @query(f"{_BASE_SQL} SELECT roi, {r6('intercept', 'slope')} FROM (SELECT DISTINCT roi FROM tr) LEFT JOIN r USING (roi)")
@@ -448,7 +448,7 @@ def reslice_join(spark, sf):
 @query()
 def initial_reference(spark, sf):
     f = frames(spark, sf).withColumn("px", F.transform("px", lambda v: v * 1000))
-    return image.initial_reference(f, ["plane"], "frame", "px").select("plane", F.posexplode("px").alias("i", "v"))
+    return registration.initial_reference(f, ["plane"], "frame", "px", (8, 8)).select("plane", F.posexplode("px").alias("i", "v"))
 
 
 @query()
@@ -910,3 +910,7 @@ def corrected_dff(spark, sf):
 @query()
 def corrected_dff_without_faults(spark, sf):
     return _depth_corrected(spark, sf, True).select(*KEYS, "frame", "f0", "n0", "fc", "dff")
+
+
+# The queries over images and streams are registered as their module is read; it takes ``query`` from here.
+from . import imaging  # noqa: E402, F401

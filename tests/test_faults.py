@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import align, image, planes, sequence, smooth, tables, trace
+from tessera.operators import align, image, planes, registration, sequence, smooth, tables, trace
 
 
 def test_equal_rows_each_get_the_first_rule(spark):
@@ -25,7 +25,7 @@ def test_one_best_frame_is_that_frame(spark):
     base = rng.normal(0, 100, 30)
     frames = [(0, i, (base + rng.normal(0, 1 + 20 * (i != 2), 30)).tolist()) for i in range(5)]
     df = spark.createDataFrame(frames, "plane int, frame int, px array<double>")
-    (one,) = image.initial_reference(df, ["plane"], "frame", "px", n_best=1).collect()
+    (one,) = registration.initial_reference(df, ["plane"], "frame", "px", (5, 6), n_best=1).collect()
     centred = [np.trunc(np.array(x) - np.mean(x)).astype(int).tolist() for _, _, x in frames]
     assert list(one.px) in centred
 
