@@ -19,27 +19,32 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def range_rules(df: DataFrame, value: str, rules: DataFrame, on: Sequence[str] = (), low: str = "rate_lo", high: str = "rate_hi", first: str | None = None) -> DataFrame:
-    """Rows with each rule whose range (both ends included) holds their value; only the first by ``first`` if that is given."""
+    """Rows with each rule whose range (both ends included) holds their value; only the first by ``first`` if that is given, or none."""
+    if first is not None:
+        # The rules as one array in their order: rows find their first where they are.
+        columns = [first, *[c for c in rules.columns if c not in (*on, first)]]
+        listed = small(rules.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rules")))
+        d = df.join(listed, list(on), "left") if on else df.crossJoin(listed)  # one row
+        d = d.withColumn("_rule", F.get(F.filter("_rules", lambda r: F.col(value).between(r[low], r[high])), F.lit(0)))
+        return d.select(*df.columns, *[F.col("_rule")[c].alias(c) for c in rules.columns if c not in on])
     cond: Column = F.col(value).between(F.col(low), F.col(high))
-    r = small(rules)
     for c in on:
         cond = cond & (df[c] == rules[c])
-    # Equal rows stay apart: the first rule is found for each row by a number of its own.
-    left = df.withColumn("_row", F.monotonically_increasing_id()) if first else df
-    out = left.join(r, cond, "left" if first else "inner")
+    out = df.join(small(rules), cond)
     for c in on:
         out = out.drop(rules[c])
-    if first is None:
-        return out
-    return out.withColumn("_r", F.row_number().over(ordered(["_row"], first))).filter("_r = 1").drop("_r", "_row")
+    return out
 
 
-def calibrate(df: DataFrame, value: str, points: list[tuple[float, float]], out: str) -> DataFrame:
-    """Piecewise linear between calibration points; NULL outside their range."""
+def calibrate(df: DataFrame, value: str, points: list[tuple[float, float]], out: str, outside: str = "raise") -> DataFrame:
+    """Piecewise linear between calibration points. A value outside their range fails the query, or gives NULL (``outside="null"``)."""
     pts = sorted(points)
     e = F.when(F.col(value) == pts[0][0], F.lit(float(pts[0][1])))
     for (x0, y0), (x1, y1) in zip(pts, pts[1:]):
         e = e.when((F.col(value) > x0) & (F.col(value) <= x1), F.lit(float(y0)) + (F.col(value) - x0) * ((y1 - y0) / (x1 - x0)))
+    if outside == "raise":
+        fault = F.concat(F.lit(f"{value} is outside the calibration: "), F.col(value).cast("string"))
+        e = e.when(F.col(value).isNotNull(), F.raise_error(fault).cast("double"))
     return df.withColumn(out, e)
 
 
@@ -64,9 +69,19 @@ def next_sample(clock: DataFrame, clock_t: str, samples: DataFrame, t: str, pick
     return u.filter("_o = 0").select("_row.*", *[F.col("_s")[p].alias(p) for p in pick])
 
 
-def snippets(clock: DataFrame, clock_t: str, samples: DataFrame, t: str, index: str, value: str, n: int, keys: Sequence[str] = ()) -> DataFrame:
-    """The n samples from the first at or after each clock time on, with their offsets; incomplete snippets go."""
-    at = next_sample(clock, clock_t, samples, t, [index], keys).filter(F.col(index).isNotNull())
+def snippets(clock: DataFrame, clock_t: str, samples: DataFrame, t: str, index: str, value: str, n: int, keys: Sequence[str] = (), uncovered: str = "raise") -> DataFrame:
+    """The n samples from the first at or after each clock time on, with their offsets.
+
+    A clock time that the samples do not cover fails the query, or goes (``uncovered="drop"``).
+    """
+    at = next_sample(clock, clock_t, samples, t, [index], keys)
+    if uncovered == "raise":
+        ends = samples.groupBy(*keys).agg(F.max(index).alias("_end"))
+        at = at.join(ends, list(keys), "left") if keys else at.crossJoin(F.broadcast(ends))  # one row
+        fault = F.raise_error(F.concat(F.lit("samples do not cover the time "), F.col(clock_t).cast("string"))).cast("boolean")
+        at = at.filter(F.when(F.col(index) + n - 1 <= F.col("_end"), True).otherwise(fault)).drop("_end")
+    else:
+        at = at.filter(F.col(index).isNotNull())
     wide = at.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(index, F.col(index) + F.col("offset"))
     got = wide.join(samples.select(*keys, index, value), [*keys, index])
     full = got.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, clock_t)))

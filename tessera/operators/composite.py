@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import hanning
 from ..functions.missing import both, pearson
-from .align import median_interval, snippets
-from .sequence import number, ordered
-from .smooth import convolve
+from ..sources.shared import written
+from .align import median_interval
+from .sequence import number_all, ordered
 
 
 def trace_differences(df: DataFrame, keys: Sequence[str], raw: str, corrected: str, least: int = 3) -> DataFrame:
@@ -94,22 +95,42 @@ def missing_parts(expected: DataFrame, present: DataFrame, keys: Sequence[str])
     return expected.join(present.select(*keys), list(keys), "left_anti")
 
 
-def piezo_cycle(samples: DataFrame, clock: DataFrame, planes: int, samples_per_frame: int, smooth_width: int, volts_per_micron: float, t: str = "t_s", value: str = "volts") -> DataFrame:
+def piezo_cycle(samples: DataFrame, clock: DataFrame, planes: int, samples_per_frame: int, smooth_width: int, volts_per_micron: float, t: str = "t_s", value: str = "volts", block: int = 1 << 18) -> DataFrame:
     """plane, offset, depth_um: the scanner's mean path during each plane's frames, from its lowest point.
 
-    The first cycle and the last frame are left out; frames of long recordings are strided so that some 1000 cycles count.
+    The first cycle and the last frame are left out; frames of long recordings are strided so that some 1000 cycles count, which
+    bounds the frames. The samples are smoothed (zeros beyond the ends) and cut in blocks that overlap by what a frame and the kernel reach;
+    a frame whose samples the recording does not have fails the query.
     """
-    s = samples.withColumn("_k", F.lit(0))
-    s = convolve(s, ["_k"], t, value, hanning(smooth_width), "_v", edge="zero").withColumn("_v", F.col("_v") / volts_per_micron)
-    s = number(s, ["_k"], [t], "sample")
-    c = number(clock.withColumn("_k", F.lit(0)), ["_k"], [t], "frame")
+    weights = np.array(hanning(smooth_width))
+    half = len(weights) // 2
+    reach = len(weights) + samples_per_frame + 1
+    block = max(block, reach)
+    c = number_all(clock.select(F.col(t).alias("_c")), "_c", "frame")
     n = c.count()
     stride = max(1, round(n / planes / 1000))
-    plane = F.col("frame") % planes
-    c = c.filter((F.col("frame") >= planes) & (F.col("frame") < n - 1)).filter(F.floor(F.col("frame") / planes - 1) % stride == 0).select(F.col(t).alias("_c"), plane.alias("plane"))
-    got = snippets(c, "_c", s.select(t, "sample", "_v"), t, "sample", "_v", samples_per_frame)
-    m = got.groupBy("plane", "offset").agg(F.avg("_v").alias("depth_um"))
-    return m.withColumn("depth_um", F.col("depth_um") - F.min("depth_um").over(Window.partitionBy()))
+    c = c.filter((F.col("frame") >= planes) & (F.col("frame") < n - 1)).filter(F.expr(f"(frame div {planes} - 1) % {stride} = 0"))
+    s = written(number_all(samples.select(F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_v")), "_t", "_i"), "piezo")
+    # One row for each block: where it starts. A frame is looked for in the last block that starts before it.
+    starts = s.filter(F.col("_i") % block == 0).agg(F.array_sort(F.collect_list("_t")).alias("_starts"))
+    at = F.greatest(F.lit(0), F.size(F.filter("_starts", lambda x: x < F.col("_c"))) - 1)
+    frames = c.crossJoin(F.broadcast(starts)).select((F.col("frame") % planes).alias("plane"), "_c", at.cast("long").alias("_b"))
+    i = F.col("_i")
+    reached = F.sequence(F.greatest(F.lit(0), F.floor((i - reach) / block)), F.floor((i + half) / block))
+    parts = s.withColumn("_b", F.explode(reached))
+
+    def run(x, f):
+        x = x.sort_values("_i")
+        smooth = np.convolve(np.pad(x["_v"].to_numpy(), (half, len(weights) - 1 - half)), weights[::-1], mode="valid") / volts_per_micron if len(x) else np.zeros(0)
+        first = np.searchsorted(x["_t"].to_numpy(), f["_c"].to_numpy(), side="left")
+        if len(f) and (first + samples_per_frame > len(smooth)).any():
+            raise ValueError("samples do not cover a complete frame")
+        paths = smooth[first[:, None] + np.arange(samples_per_frame)[None, :]] if len(f) else np.zeros((0, samples_per_frame))
+        return type(x)({"plane": np.repeat(f["plane"].to_numpy(), samples_per_frame), "offset": np.tile(np.arange(samples_per_frame), len(f)), "_v": paths.ravel()})
+
+    got = parts.groupBy("_b").cogroup(frames.groupBy("_b")).applyInPandas(run, "plane long, offset long, _v double")
+    m = got.groupBy("plane", "offset").agg(F.avg(F.when(~F.isnan("_v"), F.col("_v"))).alias("depth_um"))
+    return m.withColumn("depth_um", F.col("depth_um") - F.min("depth_um").over(Window.partitionBy()))  # planes x offsets
 
 
 def frame_rate(clock: DataFrame, keys: Sequence[str], t: str = "t_s") -> DataFrame:

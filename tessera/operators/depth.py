@@ -23,8 +23,9 @@ def null_boundary(df: DataFrame, z: str, low: int, high: int) -> DataFrame:
 
 
 def reference_depth(df: DataFrame, z: str, keys: Sequence[str] = ()) -> DataFrame:
-    """The median of the known depths, cut to an integer."""
-    return df.groupBy(*keys).agg(F.percentile(z, 0.5).cast("int").alias("reference"))
+    """The median of the known depths, cut to an integer; keys none of whose depths is known fail the query."""
+    m = df.groupBy(*keys).agg(F.percentile(z, 0.5).cast("int").alias("reference"))
+    return m.withColumn("reference", F.coalesce("reference", F.raise_error(F.lit("no depth is known in the reference interval")).cast("int")))
 
 
 def search(correlate: Callable[[list[int]], DataFrame], n_slices: int, best: int, step: int, sigma: float, keep: Callable[[DataFrame, str], DataFrame], max_rounds: int = 100) -> tuple[DataFrame, int]:

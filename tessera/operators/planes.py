@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import small
 from .depth import argmax
 
 
@@ -87,7 +88,7 @@ def similarity_weights(corr: DataFrame, best: int) -> DataFrame:
     """offset, weight: how much the best reference's neighbours resemble it, scaled to one; a missing neighbour weighs nothing."""
     near = corr.filter(F.col("plane").between(best - 1, best + 1)).select((F.col("plane") - best).alias("offset"), "corr")
     rows = corr.sparkSession.range(-1, 2).select(F.col("id").alias("offset"))
-    d = rows.join(F.broadcast(near), "offset", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
+    d = rows.join(small(near), "offset", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
     # Three rows: one window without keys is no burden.
     return d.select("offset", F.try_divide("corr", F.sum("corr").over(Window.partitionBy())).alias("weight"))
 

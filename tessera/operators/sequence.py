@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def ordered(keys: Sequence[str], *order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -69,23 +72,51 @@ def local_peaks(df: DataFrame, keys: Sequence[str], order: str, value: str) -> D
     return d.filter((F.col(value) > F.col("_b")) & (F.col(value) > F.col("_a"))).drop("_a", "_b")
 
 
-def autocorrelation(df: DataFrame, order: str, value: str, lags: int) -> DataFrame:
+def number_all(df: DataFrame, order: str, out: str) -> DataFrame:
+    """The rows of a whole table numbered from 0 in order, no task holding them all: by ranges, each numbered from where those before it end.
+
+    Equal values of ``order`` fall into one range, so they should be few.
+    """
+    d = written(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    n = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each range.
+    start = n.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    d = d.join(F.broadcast(start), "_range").withColumn(out, F.row_number().over(ordered(["_range"], order)) - 1 + F.col("_start"))
+    return d.drop("_range", "_start")
+
+
+def autocorrelation(df: DataFrame, order: str, value: str, lags: int, block: int = 1 << 14) -> DataFrame:
     """lag, ac: sums of products of the centred series with itself, shifted by 0 .. lags - 1.
 
-    The shifted copies are window expressions of one sorted series, so it is read and sorted once.
+    The series is cut into blocks, each with the ``lags`` values after it; the blocks' sums are added up.
     """
-    c = df.withColumn("_x", F.col(value) - F.avg(value).over(Window.partitionBy()))
-    w = Window.orderBy(order)
-    c = c.select("_x", *[F.lead("_x", k).over(w).alias(f"_{k}") for k in range(lags)])
-    sums = c.agg(*[F.sum(F.col("_x") * F.col(f"_{k}")).alias(f"_{k}") for k in range(lags)])
-    return sums.select(F.posexplode(F.array(*[F.col(f"_{k}") for k in range(lags)])).alias("lag", "ac"))
+    block = max(block, lags)
+    mean = df.agg(F.avg(value).alias("_mean"))
+    d = number_all(df.select(order, F.col(value).cast("double").alias("_x")), order, "_i").crossJoin(F.broadcast(mean))  # one row
+    own = F.expr(f"_i div {block}")
+    blocks = F.when((F.col("_i") % block < lags) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    d = d.select("_i", (F.col("_x") - F.col("_mean")).alias("_x"), F.explode(blocks).alias("_b"))
+
+    def run(pdf):
+        pdf = pdf.sort_values("_i")
+        x, mine = pdf["_x"].to_numpy(dtype=float), int((pdf["_i"] // block == pdf["_b"]).sum())
+        # A missing value makes the sums missing that it is part of.
+        sums = [float(np.dot(x[: min(mine, len(x) - k)], x[k : k + mine])) if k < len(x) else 0.0 for k in range(lags)]
+        return type(pdf)({"lag": range(lags), "ac": sums})
+
+    parts = d.groupBy("_b").applyInPandas(run, "lag int, ac double")
+    return parts.groupBy("lag").agg(F.when(~F.isnan(F.sum("ac")), F.sum("ac")).alias("ac"))
 
 
 def plane_count(ac: DataFrame) -> DataFrame:
-    """The smallest lag of 2 or more at which the autocorrelation peaks."""
+    """The smallest lag of 2 or more at which the autocorrelation peaks; a peak of equal values lies at their middle, rounded down."""
+    # As many rows as there are lags.
     w = Window.orderBy("lag")
-    d = ac.filter("lag >= 1").withColumn("_b", F.lag("ac").over(w)).withColumn("_a", F.lead("ac").over(w))
-    return d.filter("ac > _b AND ac > _a").agg(F.min("lag").cast("long").alias("planes"))
+    d = ac.filter("lag >= 1").withColumn("_new", F.coalesce((F.col("ac") != F.lag("ac").over(w)).cast("int"), F.lit(1)))
+    flat = d.withColumn("_run", F.sum("_new").over(w)).groupBy("_run").agg(F.min("lag").alias("_first"), F.max("lag").alias("_last"), F.min("ac").alias("ac"))
+    w = Window.orderBy("_run")
+    d = flat.withColumn("_b", F.lag("ac").over(w)).withColumn("_a", F.lead("ac").over(w))
+    return d.filter("ac > _b AND ac > _a").agg(F.min(F.expr("(_first + _last) div 2")).cast("long").alias("planes"))
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], at: str, value: str, clamp: bool = True) -> DataFrame:
@@ -105,7 +136,7 @@ def even_sample(df: DataFrame, order: str, k: int) -> DataFrame:
     """k rows evenly spread over n: those at floor((i + 0.5) n / k)."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     picks = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(k), F.greatest(F.col("_n"), F.lit(1))).cast("int") - 1), lambda i: F.floor((i + 0.5) * F.col("_n") / F.least(F.lit(k), F.col("_n"))))).alias("_at"))
-    return number(df, [], [order], "_at").join(picks, "_at").drop("_at")
+    return number_all(df, order, "_at").join(F.broadcast(picks), "_at").drop("_at")  # k rows
 
 
 def boundary_times(df: DataFrame, keys: Sequence[str], segment: str, order: str, t: str) -> DataFrame:

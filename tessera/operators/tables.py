@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import small
+
 
 def bad_frames(*sources: Column) -> Column:
     """Whether any source calls a frame bad; a source that says nothing does not."""
@@ -19,12 +21,18 @@ def in_time(df: DataFrame, time: str, start: float, stop: float) -> DataFrame:
     return df.filter(F.col(time).between(start, stop))
 
 
-def central_frames(df: DataFrame, keys: Sequence[str], order: str, bad: str, share: float) -> DataFrame:
-    """The ``share`` of the usable frames that lie in the middle of each series."""
+def central_frames(df: DataFrame, keys: Sequence[str], order: str, bad: str, count: int) -> DataFrame:
+    """The usable frames about the middle of each series: of n, those from round(n/2) - round(count/2) up to round(n/2) + round(count/2).
+
+    Halves are rounded to even, so an odd count gives one frame more or less. A series with too few usable frames fails the query.
+    """
+    half = round(count / 2)
     w = Window.partitionBy(*keys)
-    d = df.filter(~F.coalesce(F.col(bad), F.lit(False))).withColumns({"_r": F.row_number().over(w.orderBy(order)), "_n": F.count(F.lit(1)).over(w)})
-    lost = F.floor(F.col("_n") * (1 - share) / 2)
-    return d.filter((F.col("_r") > lost) & (F.col("_r") <= F.col("_n") - lost)).drop("_r", "_n")
+    d = df.filter(~F.coalesce(F.col(bad), F.lit(False))).withColumns({"_r": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    middle = F.rint(F.col("_n") / 2)
+    fault = F.concat(F.lit(f"{count} frames about the middle are wanted of "), F.col("_n").cast("string"))
+    enough = F.when((middle - half >= 0) & (middle + half <= F.col("_n")), True).otherwise(F.raise_error(fault).cast("boolean"))
+    return d.filter(enough & (F.col("_r") >= middle - half) & (F.col("_r") < middle + half)).drop("_r", "_n")
 
 
 def trim_to_shortest(parts: DataFrame, part: Sequence[str], frame: str) -> DataFrame:
@@ -34,9 +42,14 @@ def trim_to_shortest(parts: DataFrame, part: Sequence[str], frame: str) -> DataF
     return parts.join(F.broadcast(shortest), F.col(frame) < F.col("_len"), "inner").drop("_len")
 
 
-def paired(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of both with one key, values side by side; keys that only one has are left out."""
-    return a.join(b, list(keys))
+def paired(a: DataFrame, b: DataFrame, keys: Sequence[str], unmatched: str = "raise") -> DataFrame:
+    """Rows of both with one key, values side by side. A key that only one side has fails the query, or is left out (``unmatched="drop"``)."""
+    if unmatched == "drop":
+        return a.join(b, list(keys))
+    d = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), list(keys), "full_outer")
+    name = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    fault = F.raise_error(F.concat(F.lit("only one table has the key "), name)).cast("boolean")
+    return d.filter(F.when(F.col("_a") & F.col("_b"), True).otherwise(fault)).drop("_a", "_b")
 
 
 def differences(saved: DataFrame, computed: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
@@ -81,8 +94,8 @@ def subset(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 
 def index_of(df: DataFrame, key: str, planes: DataFrame) -> DataFrame:
-    """Rows with what ``planes`` (at most some hundred rows) says of their plane; a plane that it lacks fails the query."""
-    d = df.join(F.broadcast(planes.withColumn("_here", F.lit(True))), key, "left")
+    """Rows with what ``planes`` says of their plane; a plane that it lacks fails the query."""
+    d = df.join(small(planes).withColumn("_here", F.lit(True)), key, "left")
     fault = F.concat(F.lit("no plane "), F.coalesce(F.col(key).cast("string"), F.lit("given")))
     return d.withColumn("_here", F.when(F.col("_here"), True).otherwise(F.raise_error(fault).cast("boolean"))).filter("_here").drop("_here")
 
@@ -111,10 +124,11 @@ def named_slice(df: DataFrame, segments: DataFrame, keys: Sequence[str], name: s
 
 
 def reviewed(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """One row for each key whose values are all given, and whether its rows contradict each other."""
+    """One row for each key whose values are all given (the least one that is there), and whether its rows contradict each other."""
     blank = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "" for c in (*keys, *values)]
     d = df.filter(reduce(lambda a, b: a & b, blank))
-    return d.groupBy(*keys).agg(*[F.min(v).alias(v) for v in values], (F.count_distinct(F.struct(*values)) > 1).alias("conflict"))
+    one = d.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_one"), (F.count_distinct(F.struct(*values)) > 1).alias("conflict"))
+    return one.select(*keys, "_one.*", "conflict")
 
 
 def relocated(recorded: Column, base: str) -> Column:

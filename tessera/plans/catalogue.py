@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import savitzky_golay
 from ..operators import align, composite, depth, events, image, planes, profiles, registration, sequence, smooth, tables, trace
+from . import manifest
 from .bindings import PLANES, REFERENCE_SQL, TRACE_SQL, frames, planes_of_reference, read, reference_correlations, seconds, tidy
 from .bindings import trace as traces
 
@@ -105,7 +106,7 @@ def first_matching_rule(spark, sf):
 @query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE WHEN l_quantity = 1 THEN 730 WHEN l_quantity > 1 AND l_quantity <= 4 THEN 730 + (l_quantity - 1) * (180.0 - 730) / 3
     WHEN l_quantity > 4 AND l_quantity <= 16 THEN 180 + (l_quantity - 4) * (50.0 - 180) / 12 END, 6) AS fov FROM lineitem""")
 def zoom_calibration_interp(spark, sf):
-    d = align.calibrate(read(spark, sf, "lineitem"), "l_quantity", [(1, 730), (4, 180), (16, 50)], "fov")
+    d = align.calibrate(read(spark, sf, "lineitem"), "l_quantity", [(1, 730), (4, 180), (16, 50)], "fov", outside="null")
     return d.select("l_orderkey", "l_linenumber", "fov")
 
 
@@ -136,7 +137,7 @@ def digitize_frames(spark, sf):
 def frame_snippets_forward_asof(spark, sf):
     clock, samples = _clock(spark, sf)
     s = sequence.number(samples, ["u"], ["t", "event_id"], "i")
-    d = align.snippets(clock, "c", s, "t", "i", "value", 4, ["u"])
+    d = align.snippets(clock, "c", s, "t", "i", "value", 4, ["u"], uncovered="drop")
     return d.groupBy("u", F.col("offset").alias("o")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value"))
 
 
@@ -583,12 +584,16 @@ def _manifests(spark, sf):
 
 @query(f"WITH {_MANIFEST_SQL} SELECT ds, state, sha256(config) AS config_sha256 FROM m")
 def manifest_digest(spark, sf):
-    return _manifests(spark, sf).select("ds", "state", F.sha2("config", 256).alias("config_sha256"))
+    return manifest.with_digest(_manifests(spark, sf)).select("ds", "state", "config_sha256")
 
 
-@query(f"WITH {_MANIFEST_SQL} SELECT state, count(*) AS n FROM m GROUP BY state")
+@query("""SELECT CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE 'running' END AS state, count(*) AS n
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE event_type WHEN 'purchase' THEN 3 WHEN 'error' THEN 2 ELSE 1 END DESC) AS r FROM events) WHERE r = 1 GROUP BY 1""")
 def run_summary(spark, sf):
-    return _manifests(spark, sf).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    """Events as states of a user's run: how many runs ended up in which."""
+    state = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "failed").otherwise("running")
+    m = read(spark, sf, "events").select(F.col("user_id").alias("ds"), F.lit("signals").alias("workflow"), state.alias("state"), F.col("ts").alias("updated_at"))
+    return manifest.summary_of(m)
 
 
 
@@ -718,10 +723,10 @@ def time_window(spark, sf):
     return tables.in_time(read(spark, sf, "events").withColumn("t_s", seconds("ts")), "t_s", 1704412800, 1705017600).select("event_id", "value")
 
 
-@query(f"""WITH {TRACE_SQL}, r AS (SELECT roi, segment, frame, row_number() OVER (PARTITION BY roi, segment ORDER BY frame) AS r, count(*) OVER (PARTITION BY roi, segment) AS n FROM tr WHERE NOT bad)
-    SELECT roi, segment, frame FROM r WHERE r > floor(n * 0.25) AND r <= n - floor(n * 0.25)""")
+@query(f"""WITH {TRACE_SQL}, r AS (SELECT roi, event_id, row_number() OVER (PARTITION BY roi ORDER BY event_id) AS r, count(*) OVER (PARTITION BY roi) AS n FROM tr WHERE NOT bad)
+    SELECT roi, event_id FROM r WHERE r > round_even(n / 2.0, 0) - 8 AND r <= round_even(n / 2.0, 0) + 8""")
 def central_usable_frames(spark, sf):
-    return tables.central_frames(traces(spark, sf), KEYS, "frame", "bad", 0.5).select(*KEYS, "frame")
+    return tables.central_frames(traces(spark, sf), ["roi"], "event_id", "bad", 15).select("roi", "event_id")
 
 
 @query(f"""WITH {TRACE_SQL}, m AS (SELECT min(n) AS n FROM (SELECT max(frame) + 1 AS n FROM tr GROUP BY roi, segment))
@@ -733,7 +738,7 @@ def trimmed_to_shortest(spark, sf):
 @query("SELECT o.o_orderkey AS k, round(o.o_totalprice, 6) AS price, round(l.s, 6) AS lines FROM orders o JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY ALL) l ON l.l_orderkey = o.o_orderkey")
 def paired_by_saved_id(spark, sf):
     a = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
-    return tables.paired(a, read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("lines")), ["k"])
+    return tables.paired(a, read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("lines")), ["k"], unmatched="drop")
 
 
 @query("""SELECT coalesce(o.o_orderkey, l.l_orderkey) AS k, round(o.o_totalprice, 6) AS saved, round(l.s, 6) AS computed FROM orders o
@@ -870,8 +875,8 @@ def named_segment(spark, sf):
     return tables.named_slice(d, s, ["roi"], "part1", "at").select("roi", "at", "value")
 
 
-@query("""SELECT o_custkey, min(o_orderpriority) AS o_orderpriority, min(o_orderstatus) AS o_orderstatus, count(DISTINCT (o_orderpriority, o_orderstatus)) > 1 AS conflict
-    FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey""")
+@query("""SELECT o_custkey, o_orderpriority, o_orderstatus, n > 1 AS conflict FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus) AS r FROM orders WHERE o_orderstatus <> 'P')
+    JOIN (SELECT o_custkey, count(DISTINCT (o_orderpriority, o_orderstatus)) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey) USING (o_custkey) WHERE r = 1""")
 def reviewed_metadata(spark, sf):
     o = read(spark, sf, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", F.lit("  ")).otherwise(F.col("o_orderstatus")))
     return tables.reviewed(o, ["o_custkey"], ["o_orderpriority", "o_orderstatus"])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 MANIFEST = "ds string, workflow string, state string, updated_at timestamp, config_sha256 string, config string, output string, error string, schema_version int"
 STATES = ("running", "complete", "failed")
+#: The states in the order in which a run can have them.
+ORDER = ("running", "failed", "complete")
 
 
 def canonical(config: dict) -> str:
@@ -31,9 +33,15 @@ def record(spark: SparkSession, path: str, ds: str, workflow: str, state: str, c
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The last state of each data set and workflow."""
-    m = spark.read.schema(MANIFEST).parquet(path)
-    return m.groupBy("ds", "workflow").agg(F.max_by(F.struct(*m.columns), "updated_at").alias("m")).select("m.*")
+    """The last state of each data set and workflow; of equal times, that which comes later in a run."""
+    return last_of(spark.read.schema(MANIFEST).parquet(path))
+
+
+def last_of(m: DataFrame) -> DataFrame:
+    """The last row of each data set and workflow of a table of manifests."""
+    step = F.array_position(F.array(*[F.lit(s) for s in ORDER]), F.col("state"))
+    last = m.groupBy("ds", "workflow").agg(F.max(F.struct("updated_at", step.alias("_step"), F.struct(*m.columns).alias("m"))).alias("last"))
+    return last.select("last.m.*")
 
 
 def may_run(last: dict | None, config: dict, workflow: str, overwrite: bool = False) -> str | None:
@@ -55,8 +63,18 @@ def may_run(last: dict | None, config: dict, workflow: str, overwrite: bool = Fa
     return None
 
 
+def with_digest(m: DataFrame, config: str = "config", out: str = "config_sha256") -> DataFrame:
+    """Manifests with the digest of their canonical configuration: what ``digest`` gives for it."""
+    return m.withColumn(out, F.sha2(config, 256))
+
+
+def summary_of(m: DataFrame) -> DataFrame:
+    """How many data sets and workflows are in each state."""
+    return last_of(m).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 def summary(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark, path).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return summary_of(spark.read.schema(MANIFEST).parquet(path))
 
 
 def run_id() -> str:
