@@ -95,44 +95,123 @@ def missing_parts(expected: DataFrame, present: DataFrame, keys: Sequence[str])
     return expected.join(present.select(*keys), list(keys), "left_anti")
 
 
-def piezo_cycle(samples: DataFrame, clock: DataFrame, planes: int, samples_per_frame: int, smooth_width: int, volts_per_micron: float, t: str = "t_s", value: str = "volts", block: int = 1 << 18) -> DataFrame:
-    """plane, offset, depth_um: the scanner's mean path during each plane's frames, from its lowest point.
+def scanner_paths(samples: DataFrame, frames: DataFrame, samples_per_frame: int, smooth_width: int, t: str = "t_s", value: str = "volts", block: int = 1 << 18, uncovered: str = "raise") -> DataFrame:
+    """frame columns, offset, v: the smoothed samples from the first at or after each frame's time ``_c`` on.
 
-    The first cycle and the last frame are left out; frames of long recordings are strided so that some 1000 cycles count, which
-    bounds the frames. The samples are smoothed (zeros beyond the ends) and cut in blocks that overlap by what a frame and the kernel reach;
-    a frame whose samples the recording does not have fails the query.
+    Samples are numbered and cut into blocks that overlap by what a frame and the kernel reach; beyond the ends of the recording there are zeros
+    for the kernel, and a frame whose samples it does not have fails the query, or goes (``uncovered="drop"``).
     """
     weights = np.array(hanning(smooth_width))
     half = len(weights) // 2
     reach = len(weights) + samples_per_frame + 1
     block = max(block, reach)
-    c = number_all(clock.select(F.col(t).alias("_c")), "_c", "frame")
-    n = c.count()
-    stride = max(1, round(n / planes / 1000))
-    c = c.filter((F.col("frame") >= planes) & (F.col("frame") < n - 1)).filter(F.expr(f"(frame div {planes} - 1) % {stride} = 0"))
+    names = frames.columns
     s = written(number_all(samples.select(F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_v")), "_t", "_i"), "piezo")
     # One row for each block: where it starts. A frame is looked for in the last block that starts before it.
     starts = s.filter(F.col("_i") % block == 0).agg(F.array_sort(F.collect_list("_t")).alias("_starts"))
     at = F.greatest(F.lit(0), F.size(F.filter("_starts", lambda x: x < F.col("_c"))) - 1)
-    frames = c.crossJoin(F.broadcast(starts)).select((F.col("frame") % planes).alias("plane"), "_c", at.cast("long").alias("_b"))
+    f = frames.crossJoin(F.broadcast(starts)).select(*names, at.cast("long").alias("_b"))
     i = F.col("_i")
     reached = F.sequence(F.greatest(F.lit(0), F.floor((i - reach) / block)), F.floor((i + half) / block))
     parts = s.withColumn("_b", F.explode(reached))
+    schema = "".join(f"`{c}` {frames.schema[c].dataType.simpleString()}, " for c in names) + "offset long, v double"
 
     def run(x, f):
         x = x.sort_values("_i")
-        smooth = np.convolve(np.pad(x["_v"].to_numpy(), (half, len(weights) - 1 - half)), weights[::-1], mode="valid") / volts_per_micron if len(x) else np.zeros(0)
+        smooth = np.convolve(np.pad(x["_v"].to_numpy(), (half, len(weights) - 1 - half)), weights[::-1], mode="valid") if len(x) else np.zeros(0)
         first = np.searchsorted(x["_t"].to_numpy(), f["_c"].to_numpy(), side="left")
-        if len(f) and (first + samples_per_frame > len(smooth)).any():
+        there = first + samples_per_frame <= len(smooth)
+        if not there.all() and uncovered == "raise":
             raise ValueError("samples do not cover a complete frame")
-        paths = smooth[first[:, None] + np.arange(samples_per_frame)[None, :]] if len(f) else np.zeros((0, samples_per_frame))
-        return type(x)({"plane": np.repeat(f["plane"].to_numpy(), samples_per_frame), "offset": np.tile(np.arange(samples_per_frame), len(f)), "_v": paths.ravel()})
+        f, first = f[there], first[there]
+        out = f[names].loc[f.index.repeat(samples_per_frame)].reset_index(drop=True)
+        out["offset"] = np.tile(np.arange(samples_per_frame), len(f))
+        out["v"] = smooth[(first[:, None] + np.arange(samples_per_frame)[None, :]).ravel()] if len(f) else np.zeros(0)
+        return out
+
+    return parts.groupBy("_b").cogroup(f.groupBy("_b")).applyInPandas(run, schema).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+
+
+def numbered_clock(clock: DataFrame, t: str = "t_s") -> DataFrame:
+    """_c, frame: the times of a frame clock with their numbers, written once."""
+    return written(number_all(clock.select(F.col(t).alias("_c")), "_c", "frame"), "clock")
+
+
+def counted_frames(clock: DataFrame, n: int, planes: int) -> DataFrame:
+    """_c, plane of the frames that a mean cycle is made of: not the first cycle nor the last frame, strided to some 1000 cycles of long recordings."""
+    stride = max(1, round(n / planes / 1000))
+    c = clock.filter((F.col("frame") >= planes) & (F.col("frame") < n - 1)).filter(F.expr(f"(frame div {planes} - 1) % {stride} = 0"))
+    return c.select("_c", (F.col("frame") % planes).alias("plane"))
+
 
-    got = parts.groupBy("_b").cogroup(frames.groupBy("_b")).applyInPandas(run, "plane long, offset long, _v double")
-    m = got.groupBy("plane", "offset").agg(F.avg(F.when(~F.isnan("_v"), F.col("_v"))).alias("depth_um"))
+def mean_cycle(paths: DataFrame, volts_per_micron: float) -> DataFrame:
+    """plane, offset, depth_um: the mean path of each plane, from the lowest point of all."""
+    m = paths.groupBy("plane", "offset").agg((F.avg("v") / volts_per_micron).alias("depth_um"))
     return m.withColumn("depth_um", F.col("depth_um") - F.min("depth_um").over(Window.partitionBy()))  # planes x offsets
 
 
+def piezo_cycle(samples: DataFrame, clock: DataFrame, planes: int, samples_per_frame: int, smooth_width: int, volts_per_micron: float, t: str = "t_s", value: str = "volts", block: int = 1 << 18) -> DataFrame:
+    """plane, offset, depth_um: the scanner's mean path during each plane's frames, from its lowest point."""
+    c = numbered_clock(clock, t)
+    return mean_cycle(scanner_paths(samples, counted_frames(c, c.count(), planes), samples_per_frame, smooth_width, t, value, block), volts_per_micron)
+
+
+def depth_errors(samples: DataFrame, clock: DataFrame, estimates: DataFrame, planes: int, samples_per_frame: int, smooth_width: int, volts_per_micron: float, spacing: float, end: float = 180.0, t: str = "t_s", value: str = "volts", block: int = 1 << 18) -> DataFrame:
+    """plane, rmse, n, shared_offset: estimated depths against where the scanner was, in micrometres, by plane and (plane missing) over all.
+
+    estimates: plane, cycle (from 0), z in slices, ``spacing`` micrometres apart. A cycle's drift is the median of what its frames' samples differ from
+    the mean cycle, about the median of all cycles; it lies at the middle of the cycle and runs on lines in between, and is not known before
+    the first or after the last. Up to ``end`` seconds, one offset that all planes share (the median of their median differences) is taken off the estimates.
+    A plane without a complete pair fails the query. The first cycle has no drift of its own; a cycle that the samples do not cover has none either.
+    """
+    c = numbered_clock(clock, t)
+    n = c.count()
+    template = written(mean_cycle(scanner_paths(samples, counted_frames(c, n, planes), samples_per_frame, smooth_width, t, value, block), volts_per_micron), "template")
+    last = (n - planes - 1) // planes  # cycles 1 .. last have all their frames and one after them
+    cycle = F.expr(f"frame div {planes}")
+    whole = c.filter(cycle.between(1, last)).select("_c", (F.col("frame") % planes).alias("plane"), cycle.alias("cycle"))
+    paths = scanner_paths(samples, whole, samples_per_frame, smooth_width, t, value, block, uncovered="drop")
+    # Planes x offsets rows.
+    apart = paths.join(F.broadcast(template), ["plane", "offset"]).withColumn("_r", F.col("v") / volts_per_micron - F.col("depth_um"))
+    drift = apart.groupBy("cycle").agg(F.percentile("_r", 0.5).alias("drift"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == planes * samples_per_frame).drop("_n")
+    starts = c.filter(F.col("frame") % planes == 0).select(cycle.alias("cycle"), F.col("_c").alias("at"))
+    following = starts.select((F.col("cycle") - 1).alias("cycle"), F.col("at").alias("_next"))
+    middle = drift.join(starts, "cycle").join(following, "cycle").select("cycle", ((F.col("at") + F.col("_next")) / 2).alias("x"), "drift")
+    middle = written(middle, "drift")
+    centre = middle.agg(F.percentile("drift", 0.5).alias("_m"))
+    # A cycle starts between the middles of the one before and its own.
+    knots = middle.crossJoin(F.broadcast(centre)).select("cycle", "x", (F.col("drift") - F.col("_m")).alias("y"))
+    series = knots.select("x", "y", F.lit(None).cast("long").alias("cycle")).unionByName(starts.select(F.col("at").alias("x"), F.lit(None).cast("double").alias("y"), "cycle"))
+    moved = between(series, "x", "y", block).filter("cycle IS NOT NULL").select("cycle", F.col("x").alias("at"), F.col("y").alias("drift"))
+    nominal = template.groupBy("plane").agg(F.percentile("depth_um", 0.5).alias("nominal"))
+    e = estimates.join(F.broadcast(nominal), "plane").join(moved, "cycle").filter(F.col("at").between(0, end))
+    e = written(e.select("plane", "z", ((F.col("nominal") + F.col("drift")) / spacing).alias("expected")), "depth-pairs")
+    per = e.groupBy("plane").agg(F.percentile(F.col("z") - F.col("expected"), 0.5).alias("_m"))
+    fault = F.raise_error(F.concat(F.lit("no complete pair of depths in plane "), F.col("plane").cast("string"))).cast("double")
+    shared = per.withColumn("_m", F.coalesce("_m", fault)).agg(F.percentile("_m", 0.5).alias("shared_offset"))
+    d = e.crossJoin(F.broadcast(shared)).withColumn("_e", (F.col("z") - F.col("expected") - F.col("shared_offset")) * spacing)
+    return d.rollup("plane").agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.count("_e").alias("n"), F.first("shared_offset").alias("shared_offset"))
+
+
+def between(df: DataFrame, x: str, y: str, block: int) -> DataFrame:
+    """df with missing y on the lines between the known ones; missing before the first and after the last.
+
+    The rows are numbered in order and cut into blocks; what a block does not know of its neighbours are the last known row before it and the
+    first after it, found among one row for each block.
+    """
+    d = number_all(df, x, "_i").withColumn("_b", F.expr(f"_i div {block}"))
+    known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
+    w = Window.partitionBy("_b").orderBy("_i")
+    d = d.withColumns({"_p": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_q": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    d = written(d, "between")
+    order = Window.orderBy("_b")
+    edges = d.groupBy("_b").agg(F.max(F.struct("_i", "_p"))["_p"].alias("_p"), F.min(F.struct("_i", "_q"))["_q"].alias("_q"))
+    edges = edges.select("_b", F.last("_p", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_q", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    d = d.join(F.broadcast(edges), "_b").withColumns({"_p": F.coalesce("_p", "_before"), "_q": F.coalesce("_q", "_after")})
+    line = F.col("_p.y") + (F.col("_q.y") - F.col("_p.y")) * F.try_divide(F.col(x) - F.col("_p.x"), F.col("_q.x") - F.col("_p.x"))
+    return d.withColumn(y, F.coalesce(y, line)).drop("_i", "_b", "_p", "_q", "_before", "_after")
+
+
 def frame_rate(clock: DataFrame, keys: Sequence[str], t: str = "t_s") -> DataFrame:
     """One over the median step of each clock."""
     return median_interval(clock, keys, t).withColumn("rate", F.try_divide(F.lit(1.0), F.col("dt")))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profiles, registration, sequence
+from ..operators import composite, depth, extraction, profiles, registration, sequence
 from ..sources.interleaved import read_recordings, write_recordings
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from ..streaming import ingest
-from .bindings import TRACE_SQL, frames, read
+from .bindings import TRACE_SQL, frames, read, seconds
 from .bindings import trace as traces
-from .catalogue import query
+from .catalogue import _base_sql, query
 
 SHAPE = (8, 8)
 
@@ -173,3 +173,86 @@ def streamed_samples(spark, sf):
     q = ingest.samples_of_chunks(stream, ["value"], 1000.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+# Traces from movies
+
+DARK = -500.0
+
+
+def movie(spark: SparkSession, sf: str) -> DataFrame:
+    """plane, segment, frame (numbered in its plane), bad, px, and the frame's own shift."""
+    d = sequence.number(whole_frames(spark, sf).withColumnRenamed("frame", "id"), ["plane"], ["id"], "frame")
+    return d.withColumns({"segment": F.lit(0).cast("long"), "bad": F.col("id") % 11 == 0, "dy": F.col("id") % 7 - 3, "dx": F.col("plane") % 5 - 2})
+
+
+def masks(spark: SparkSession) -> DataFrame:
+    """Four cells of five pixels whose weights fall, each with sixteen pixels of neuropil."""
+    cells = spark.range(20).selectExpr("id div 5 AS roi", "false AS neuropil", "id div 5 * 7 + id % 5 AS i", "1.0D / (id % 5 + 1) AS w")
+    return cells.unionByName(spark.range(64).selectExpr("id % 4 AS roi", "true AS neuropil", "id AS i", "1.0D AS w"))
+
+
+_MOVIE_SQL = """mv AS (SELECT label::BIGINT AS plane, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, vec_id % 11 = 0 AS bad, vec_id % 7 - 3 AS dy, label::BIGINT % 5 - 2 AS dx, embedding FROM embeddings),
+    px AS MATERIALIZED (SELECT plane, frame, bad, unnest(range(64)) AS i, unnest(list_transform(range(64), lambda i: round(embedding[((i // 8 + dy + 8) % 8 * 8 + (i % 8 + dx + 8) % 8 + 1)::INT]::DOUBLE * 1000))) AS v FROM mv),
+    ce AS (SELECT r AS roi, r * 7 + j AS i, 1.0::DOUBLE / (j + 1) AS w FROM range(4) a(r), range(5) b(j))"""
+
+
+@query(f"""WITH {_MOVIE_SQL},
+    sf AS (SELECT plane, frame, bad, roi, sum(w * v) AS f FROM px JOIN ce USING (i) WHERE roi <> 2 GROUP BY ALL), sn AS (SELECT plane, frame, i % 4 AS roi, avg(v) AS n FROM px GROUP BY ALL),
+    tr AS (SELECT sf.plane * 10 + sf.roi AS roi, 0::BIGINT AS segment, sf.frame, CASE WHEN NOT bad THEN f + 500 END AS f, CASE WHEN NOT bad THEN n + 500 END AS fneu FROM sf JOIN sn ON sn.plane = sf.plane AND sn.frame = sf.frame AND sn.roi = sf.roi),
+    {_base_sql("tr")} SELECT roi, frame, round(f, 6) AS f, round(f0, 6) AS f0, round(f - (slope * (fneu - n0) + intercept), 6) AS fc, round((f - (slope * (fneu - n0) + intercept) - f0) / greatest(1, f0), 6) AS dff FROM c LEFT JOIN r USING (roi)""")
+def control_traces(spark, sf):
+    """The frames read through their shifts, extracted under three of four masks, to dF/F."""
+    d = movie(spark, sf)
+    shifts = d.select("plane", "segment", "frame", "dy", "dx")
+    accepted = spark.createDataFrame([(0,), (1,), (3,)], "roi long")
+    t = extraction.control_traces(d.drop("dy", "dx", "id"), shifts, masks(spark), accepted, ["plane"], "segment", "frame", "bad", SHAPE, DARK, rate=2.0, percentile=8, window_s=10)
+    return t.select((F.col("plane") * 10 + F.col("roi")).alias("roi"), "frame", "f", "f0", "fc", "dff")
+
+
+@query("""WITH v AS (SELECT label::BIGINT AS plane, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS cycle, embedding AS e FROM embeddings),
+    m AS (SELECT cycle, plane, list_sum(list_transform(e, lambda x: round(x::DOUBLE * 1000))) AS s FROM v),
+    b AS (SELECT cycle, plane AS best_plane FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY s DESC, plane) AS r FROM m) WHERE r = 1),
+    f AS (SELECT plane, cycle, r AS roi, sum(round(e[(r * 7 + j + 1)::INT]::DOUBLE * 1000) / (j + 1)) AS f FROM v, range(4) a(r), range(5) b(j) GROUP BY ALL),
+    p AS (SELECT roi, plane - best_plane AS depth, quantile_cont(f, 0.5) AS value, count(*) AS n FROM f JOIN b USING (cycle) GROUP BY ALL HAVING count(*) >= 2),
+    z AS (SELECT roi, value AS base FROM p WHERE depth = 0)
+    SELECT roi, depth, round(value, 6) AS value, n, round(CASE WHEN base > 0 THEN value / base END, 6) AS relative FROM p LEFT JOIN z USING (roi)""")
+def plane_profiles(spark, sf):
+    """Profiles over planes about each cycle's brightest plane, from the pixels of all planes."""
+    d = movie(spark, sf).withColumnRenamed("frame", "cycle")
+    bright = d.select("cycle", "plane", F.aggregate("px", F.lit(0).cast("long"), lambda s, v: s + v).alias("s"))
+    best = depth.argmax(bright, ["cycle"], "plane", "s").select("cycle", F.col("plane").alias("best_plane"))
+    return extraction.plane_profiles(d, masks(spark), best, [], "cycle", "plane", SHAPE, least=2)
+
+
+@query(f"""WITH {TRACE_SQL}, p AS (SELECT roi, z, quantile_cont(f, 0.5) AS value, count(f) AS n FROM tr GROUP BY ALL HAVING count(f) >= 40), k AS (SELECT DISTINCT roi FROM p), d AS (SELECT DISTINCT z FROM tr)
+    SELECT k.roi, d.z, round(value, 6) AS value, coalesce(n, 0) AS n FROM k CROSS JOIN d LEFT JOIN p ON p.roi = k.roi AND p.z = d.z""")
+def profile_over_all_depths(spark, sf):
+    t = traces(spark, sf)
+    return extraction.complete_profile(profiles.depth_profile(t, ["roi"], "z", "f", 0.5, 40), ["roi"], "z", t.select("z"))
+
+
+@query()
+def plane_reference(spark, sf):
+    """Each plane's reference from sixteen usable frames about its middle, and its rows' offset."""
+    references, offsets = extraction.plane_reference(movie(spark, sf), ["plane"], "frame", "bad", SHAPE, 16, n_best=5)
+    return pixels(references, "plane").join(offsets, "plane")
+
+
+@query()
+def depth_ground_truth(spark, sf):
+    """Depths told by every fourth signup, against a scanner whose path is the events' values."""
+    e = read(spark, sf, "events").select("event_id", "event_type", seconds("ts").alias("t_s"), F.col("value").alias("volts"), (F.get_json_object("props", "$.k").cast("long") % 20).alias("z"))
+    clock = e.filter("event_type = 'signup'")
+    at = sequence.number_all(clock.select("t_s", "z"), "t_s", "frame")
+    estimates = at.select((F.col("frame") % 4).alias("plane"), F.expr("frame div 4").alias("cycle"), F.when(F.col("z") != 0, F.col("z").cast("double")).alias("z"))
+    return composite.depth_errors(e, clock, estimates, 4, 3, 5, 0.5, 2.0, end=1e12)
+
+
+@query()
+def depth_search(spark, sf):
+    """Each cell's best slice by day, from slices 8 to 12 on and as many more as best slices at an edge ask for."""
+    t = traces(spark, sf).select(F.col("roi").alias("segment"), F.day("ts").alias("frame"), "z", "value")
+    corr = written(t.groupBy("segment", "frame", "z").agg(F.avg("value").alias("corr")), "slices")
+    found, rounds = depth.search(lambda slices: corr.filter(F.col("z").isin(slices)), 20, 10, 2, 0.0, written)
+    return found.withColumn("rounds", F.lit(rounds))
