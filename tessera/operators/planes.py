@@ -52,6 +52,25 @@ def weighted_frame(near: DataFrame, pixels: DataFrame, keys: Sequence[str], plan
     return d.groupBy(*keys, index).agg(F.sum(F.col(weight) * F.col(value)).cast("float").alias(value))
 
 
+def weighted_images(near: DataFrame, images: DataFrame, keys: Sequence[str], plane: str = "plane", px: str = "px", weight: str = "weight", normalise: bool = False) -> DataFrame:
+    """keys, px: the weighted sum of whole images over a frame's planes, in single precision at the end; planes that are missing add nothing.
+
+    ``normalise`` divides by the sum of the weights that count, whatever it is. As many images meet as there are weights.
+    """
+    d = near.join(images.select(*keys, plane, px), [*keys, plane]).filter(F.col(weight) != 0)
+    g = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(plane, F.col(weight).cast("double").alias("w"), F.col(px).alias("x")))).alias("_all"), F.sum(weight).alias("_w"))
+    scale = F.col("_w") if normalise else F.lit(1.0)
+    start = F.transform(F.get("_all", F.lit(0))["x"], lambda v: F.lit(0.0))
+    total = F.aggregate("_all", start, lambda s, e: F.zip_with(s, e["x"], lambda a, b: a + b.cast("double") * e["w"]), lambda s: F.transform(s, lambda v: (v / scale).cast("float")))
+    return g.select(*keys, total.alias(px))
+
+
+def low_by_plane(df: DataFrame, keys: Sequence[str], corr: str, deviations: float = 4.0, out: str = "low") -> DataFrame:
+    """Frames whose correlation is at or below their plane's mean less so many deviations."""
+    s = df.groupBy(*keys).agg((F.avg(corr) - deviations * F.stddev_pop(corr)).alias("_limit"))
+    return df.join(small(s), list(keys)).withColumn(out, F.col(corr) <= F.col("_limit")).drop("_limit")
+
+
 def low_correlation(df: DataFrame, corr: str, deviations: float = 4.0, out: str = "low") -> DataFrame:
     """Frames whose best correlation is at or below the mean less so many deviations (all, if the deviation is zero)."""
     s = df.agg(F.avg(corr).alias("_m"), F.stddev_pop(corr).alias("_s"))

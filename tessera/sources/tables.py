@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import read_array  # noqa: F401
+from .interleaved import read_recordings
+
 DATASET = "name string, date string, process string, experiments string, planes int, channels int, frame_rate double, depth double, zstack_folder string, ignore_planes string"
 RULE = "planes int, rate_range string, flyback_planes string"
 
@@ -48,44 +48,11 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_interleaved(spark: SparkSession, path: str, channels: list[str], rate: float) -> DataFrame:
-    """path, sample, t_s, channel, volts of interleaved 64-bit recordings; a last sample that is not whole is dropped."""
+    """path, sample, t_s, channel, volts of recordings whose channels are known by name; see ``interleaved`` for the source itself."""
     if rate <= 0 or not channels:
         raise ValueError("a recording has a positive rate and channels")
-    n = len(channels)
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x = np.frombuffer(r.content, dtype="<f8")
-                m = len(x) // n
-                if m == 0:
-                    raise ValueError(f"{r.path} has fewer values than channels")
-                for lo in range(0, m, 1 << 18):
-                    part = x[lo * n : min(m, lo + (1 << 18)) * n].reshape(-1, n)
-                    at = np.repeat(np.arange(lo, lo + len(part)), n)
-                    yield pd.DataFrame({"path": r.path, "sample": at, "t_s": at / rate, "channel": np.tile(channels, len(part)), "volts": part.ravel()})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, sample bigint, t_s double, channel string, volts double")
-
-
-def read_array(spark: SparkSession, path: str) -> DataFrame:
-    """path, row, col, value of one- or two-dimensional numeric .npy files; NaN is missing. No pickled objects are read."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x = np.atleast_2d(np.load(io.BytesIO(r.content), allow_pickle=False))
-                for i, line in enumerate(x):
-                    yield pd.DataFrame({"path": r.path, "row": i, "col": np.arange(len(line)), "value": line.astype(float)})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    d = files.mapInPandas(run, "path string, row bigint, col bigint, value double")
-    return d.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    d = read_recordings(spark, path, channels=len(channels), rate=rate)
+    return d.withColumn("channel", F.get(F.array(*[F.lit(c) for c in channels]), F.col("channel").cast("int")))
 
 
 def zoom_of(header: str):

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessera.sources.arrays import read_array
 from tessera.sources.interleaved import read_labels, read_recordings, write_recordings
 
 
@@ -74,3 +75,32 @@ def test_what_is_written_is_read(spark, tmp_path):
     assert all(r.half == r.id / 2 and (np.isnan(r.gaps) if r.id % 7 == 0 else r.gaps == r.id) for r in back)
     with pytest.raises(Exception, match="numbers"):
         write_recordings(spark.createDataFrame([("x",)], "a string"), str(tmp_path / "no"))
+
+
+def cells(d):
+    return {(r.row, r.col): r.value for r in d.collect()}
+
+
+def test_arrays_are_read_by_ranges(spark, tmp_path):
+    x = np.arange(300_000, dtype="int32").reshape(3000, 100)
+    for name, y in (("c", x), ("f", np.asfortranarray(x.astype(float))), ("flat", np.arange(50_000, dtype=">f4")), ("bool", np.array([[True, False]])), ("none", np.zeros((0, 3)))):
+        np.save(tmp_path / f"{name}.npy", y)
+    for name in "cf":
+        d = read_array(spark, str(tmp_path / f"{name}.npy"), rank=2, rangebytes=100_000)
+        assert d.rdd.getNumPartitions() > 10
+        assert d.selectExpr("count(*) n", "max(abs(value - row * 100 - col)) off").first() == (300_000, 0)
+    flat = read_array(spark, str(tmp_path / "flat.npy"), rangebytes=50_000)
+    assert flat.rdd.getNumPartitions() == 4 and flat.selectExpr("count(*)", "max(abs(value - col))", "max(row)").first() == (50_000, 0, 0)
+    assert cells(read_array(spark, str(tmp_path / "bool.npy"))) == {(0, 0): 1, (0, 1): 0} and read_array(spark, str(tmp_path / "none.npy")).count() == 0
+
+
+def test_arrays_that_are_not_fit_fail(spark, tmp_path):
+    np.save(tmp_path / "three.npy", np.zeros((2, 2, 2)))
+    np.save(tmp_path / "nan.npy", np.array([[1.0, np.nan]]))
+    np.save(tmp_path / "objects.npy", np.array([{"a": 1}]), allow_pickle=True)
+    (tmp_path / "text.npy").write_text("no array")
+    (tmp_path / "cut.npy").write_bytes((tmp_path / "three.npy").read_bytes()[:-8].replace(b"(2, 2, 2)", b"(2, 4)   "))
+    assert cells(read_array(spark, str(tmp_path / "nan.npy"))) == {(0, 0): 1, (0, 1): None}
+    for name, options, message in (("three", {}, "3 dimensions"), ("nan", {"rank": 1}, "2 dimensions"), ("nan", {"finite": True}, "not finite"), ("objects", {}, "not numbers"), ("text", {}, "no array"), ("cut", {}, "cut off"), ("missing", {}, "no array matches")):
+        with pytest.raises(Exception, match=message):
+            read_array(spark, str(tmp_path / f"{name}.npy"), **options).collect()
