@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import composite, depth, extraction, profiles, registration, sequence
+from ..operators import composite, depth, extraction, image, planes, profiles, registration, sequence, tables
 from ..sources.interleaved import read_recordings, write_recordings
 from ..sources.shared import shared_path, written
 from ..streaming import ingest
@@ -256,3 +256,21 @@ def depth_search(spark, sf):
     corr = written(t.groupBy("segment", "frame", "z").agg(F.avg("value").alias("corr")), "slices")
     found, rounds = depth.search(lambda slices: corr.filter(F.col("z").isin(slices)), 20, 10, 2, 0.0, written)
     return found.withColumn("rounds", F.lit(rounds))
+
+
+@query()
+def z_registered_movie(spark, sf):
+    """The planes' frames as cycles of a scanner, registered into one movie."""
+    from .jobs import register_planes
+
+    d = tables.trim_to_shortest(movie(spark, sf), ["plane"], "frame").select("plane", "frame", "bad", "px")
+    return pixels(register_planes(d, SHAPE, 16, n_best=5)["movie"], "frame", "plane")
+
+
+@query()
+def reference_weights(spark, sf):
+    """How much the neighbours of plane 4 resemble it: the peaks of their mean images' phase correlation, scaled to one."""
+    means = written(registration.mean_image(whole_frames(spark, sf), ["plane"], SHAPE), "means")
+    best = means.filter("plane = 4").select(F.lit(4).alias("ref"), "px")
+    corr = image.register(means, best, SHAPE).select("plane", F.col("peak").alias("corr"))
+    return planes.similarity_weights(corr, 4)

@@ -53,8 +53,12 @@ def run_all(spark: SparkSession, datasets: Iterable[Mapping], workflow: str, job
     Every state goes to the manifest table; an output that may not be replaced is refused before its job begins.
     """
     last = {}
-    if exists(spark, manifests):
-        last = {r.output: r.asDict() for r in manifest.latest(spark, manifests).orderBy("updated_at").collect()}
+    try:
+        if exists(spark, manifests):
+            last = {r.output: r.asDict() for r in manifest.latest(spark, manifests).orderBy("updated_at").collect()}
+    except Exception:  # What ran before is not known: nothing may be replaced, and nothing can be recorded.
+        LOG.exception("the manifests at %s cannot be read", manifests)
+        return {str(d["ds"]): "refused" for d in datasets}
     out = {}
     for d in datasets:
         ds, target = str(d["ds"]), str(d["output"])
@@ -88,10 +92,17 @@ def query_job(spark: SparkSession, d: Mapping, target: str) -> None:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """``run CONFIG --manifests PATH [--overwrite] [--check]``; CONFIG is a JSON list of data sets (ds, query, tables, output)."""
+    """``run CONFIG --manifests PATH [--overwrite] [--check]``; CONFIG is a JSON list of data sets.
+
+    Each has ds, tables and output, and a job: "query" (if none is named) with a query, "register" with shape and count, or "correct" with
+    planes, f0_percentile and f0_window.
+    """
     from .catalogue import queries
+    from .jobs import correct_job, register_job
     from .validate import require
 
+    jobs = {"query": (query_job, ("query",)), "register": (register_job, ("shape", "count")), "correct": (correct_job, ("planes", "f0_percentile", "f0_window"))}
+
     parser = argparse.ArgumentParser(prog="tessera", description="Runs queries for each data set of a configuration.")
     parser.add_argument("config")
     parser.add_argument("--manifests", required=True)
@@ -102,8 +113,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         with open(a.config, encoding="utf-8") as f:
             datasets = json.load(f)
         for d in datasets:
-            require(d, ("ds", "query", "tables", "output"))
-            if d["query"] not in queries():
+            if d.get("job", "query") not in jobs:
+                raise ValueError(f"there is no job {d['job']}")
+            require(d, ("ds", "tables", "output", *jobs[d.get("job", "query")][1]))
+            if "query" in d and d["query"] not in queries():
                 raise ValueError(f"there is no query {d['query']}")
         names = [d["output"] for d in datasets]
         if len(names) != len(set(names)):
@@ -113,7 +126,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return USAGE
     if a.check:
         return DONE
-    states = run_all(spark or SparkSession.builder.getOrCreate(), datasets, "query", query_job, a.manifests, a.overwrite)
+    states = {}
+    for name, (job, _) in jobs.items():
+        own = [d for d in datasets if d.get("job", "query") == name]
+        if own:
+            states |= run_all(spark or SparkSession.builder.getOrCreate(), own, name, job, a.manifests, a.overwrite)
     for ds, state in states.items():
         print(f"{ds}\t{state}")
     return exit_code(states)

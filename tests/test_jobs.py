@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import planes
-from tessera.plans import catalogue, jobs, run
+from tessera.plans import catalogue, imaging, jobs, run
 
 from .test_registration import loop_reference, one_shift, scene
 
@@ -34,6 +34,15 @@ def table(spark, frames, planes=None, bad=()):
     return spark.createDataFrame(rows, "plane int, frame int, bad boolean, px array<int>")
 
 
+def rows_right(x, k):
+    x, rows = x.copy(), x[1::2].copy()
+    if k > 0:
+        x[1::2, :-k] = rows[:, k:]
+    if k < 0:
+        x[1::2, -k:] = rows[:, :k]
+    return x
+
+
 def loop_movie(frames, n, count, n_best, weights=(0.2, 0.6, 0.2), deviations=4.0, bad=()):
     cycles = sorted({c for _, c in frames})
     references = []
@@ -132,3 +141,60 @@ def test_correct_job_chooses_its_rate_and_its_way(spark, sf, tmp_path):
     assert changed
     with pytest.raises(ValueError, match="neither"):
         jobs.frame_rate(spark, {"tables": "/nowhere"})
+
+
+def test_registered_movie_of_the_images(spark, sf):
+    every, bad = {}, set()
+    for r in imaging.movie(spark, sf).collect():
+        every[r.plane, r.frame] = np.array(r.px, dtype=float).reshape(8, 8)
+        bad |= {(r.plane, r.frame)} if r.bad else set()
+    shortest = min(sum(p == q for q, _ in every) for p in range(10))
+    frames = {k: x for k, x in every.items() if k[1] < shortest}
+    bad &= set(frames)
+    for p in range(10):  # rows are set right by the offset of the frames about the middle
+        usable = [frames[p, c] for c in range(shortest) if (p, c) not in bad]
+        total = np.zeros(8)
+        for x in usable[round(len(usable) / 2) - 8 : round(len(usable) / 2) + 8]:
+            a, b = np.fft.fft(x[1::2], axis=1), np.fft.fft(x[::2], axis=1)
+            total += np.fft.ifft(a / (np.abs(a) + 1e-5) * np.conj(b / (np.abs(b) + 1e-5)), axis=1).real.mean(axis=0)
+        k = min(range(-3, 4), key=lambda k: (-total[k % 8], abs(k), k))  # noqa: B023
+        frames |= {(p, c): rows_right(frames[p, c], k) for c in range(shortest)}
+    _, want, _ = loop_movie(frames, 10, 16, 5, bad=bad)
+    got, centre = {}, {}
+    for r in sorted(catalogue.queries()["z_registered_movie"](spark, sf).collect(), key=lambda r: r.i):
+        got.setdefault(r.frame, []).append(r.v)
+        centre[r.frame] = r.plane
+    assert set(got) == set(want)
+    same = [c for c in want if centre[c] == want[c][0] and np.allclose(np.array(got[c]).reshape(8, 8), want[c][1], rtol=1e-4, atol=0.05)]
+    assert len(same) == len(want)
+
+
+def test_weights_of_references(spark, sf):
+    sums = {}
+    for r in imaging.whole_frames(spark, sf).collect():
+        sums.setdefault(r.plane, []).append(np.array(r.px, dtype=float).reshape(8, 8))
+    means = {p: np.mean(x, axis=0) for p, x in sums.items()}
+    peaks = np.array([one_shift(means[p], means[4])[2] for p in (3, 4, 5)])
+    got = {r.offset: r.weight for r in catalogue.queries()["reference_weights"](spark, sf).collect()}
+    assert [got[o] for o in (-1, 0, 1)] == pytest.approx((peaks / peaks.sum()).tolist(), abs=1e-5)
+
+
+def test_command_runs_jobs(spark, tmp_path):
+    table(spark, drifting(cycles=8, n=2)).write.parquet(str(tmp_path / "in" / "frames"))
+    one = {"ds": "a", "job": "register", "output": str(tmp_path / "out"), "tables": str(tmp_path / "in"), "shape": list(SHAPE), "count": 4, "n_best": 2}
+    config, m = tmp_path / "c.json", str(tmp_path / "m")
+    config.write_text(json.dumps([one]))
+    assert run.main([str(config), "--manifests", m], spark) == run.DONE and spark.read.parquet(f"{one['output']}/movie").count() == 8
+    for bad in (one | {"job": "none"}, {k: v for k, v in one.items() if k != "shape"}):
+        config.write_text(json.dumps([bad]))
+        assert run.main([str(config), "--manifests", m, "--check"]) == run.USAGE
+
+
+def test_unreadable_manifests_stand(spark, tmp_path):
+    m = tmp_path / "m"
+    m.mkdir()
+    (m / "_SUCCESS").write_text("")
+    (m / "part-0.parquet").write_text("not a table")
+    ran = []
+    sets = [{"ds": "a", "output": "/out/a"}]
+    assert run.run_all(spark, sets, "w", lambda *_: ran.append(1), str(m)) == {"a": "refused"} and not ran
