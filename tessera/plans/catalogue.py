@@ -436,14 +436,21 @@ def topn_similar_frames(spark, sf):
     return image.most_similar(f, ["plane"], "frame", "px", f.join(first, ["plane", "frame"]), 5)
 
 
-_OFFSETS = image.reslice_offsets([0.0, 2.0, 4.0], 7, 2.0)
+# A scanner's path within a frame.
+_PATH = (0.0, 1.0, 2.5, 4.0, 6.0)
 
 
-@query(f"""WITH g AS (SELECT z, y, z * 100 + y AS v FROM range(6) a(z), range(7) b(y)), o AS (SELECT * FROM (VALUES {", ".join(f"({y}, {o!r}::DOUBLE)" for y, o in enumerate(_OFFSETS))}) t(y, off))
-    SELECT w.z, w.y, g.v FROM (SELECT z, y, ceil(greatest(0, least(5, z + off)) - 0.5)::BIGINT AS s FROM g JOIN o USING (y)) w JOIN g ON g.z = s AND g.y = w.y""")
+@query(f"""WITH p AS (SELECT {list(_PATH)}::DOUBLE[] AS p), r AS (SELECT y, p, y * {len(_PATH) - 1} / 7.0 AS x FROM range(8) t(y), p),
+    i AS (SELECT y, (p[floor(x)::INT + 1] + coalesce(p[floor(x)::INT + 2] - p[floor(x)::INT + 1], 0) * (x - floor(x)) - list_min(p)) / 0.75 AS o FROM r), o AS (SELECT y, o - (SELECT o FROM i WHERE y = 4) AS off FROM i),
+    g AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS z, embedding AS e, count(*) OVER () AS n FROM embeddings),
+    w AS (SELECT z, y, ceil(greatest(0, least(n - 1, z + off)) - 0.5)::BIGINT AS s FROM g, o)
+    SELECT w.z, w.y, round(list_sum(list_transform(e[(w.y * 8 + 1)::INT : (w.y * 8 + 8)::INT], lambda q: q::DOUBLE)), 6) AS v FROM w JOIN g ON g.z = s""")
 def reslice_join(spark, sf):
-    g = spark.range(6).select(F.col("id").alias("z")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("v", F.col("z") * 100 + F.col("y"))
-    return image.reslice(g, values(spark, "y int, off double", *enumerate(_OFFSETS)), 6)
+    """All images as one stack, each row taken from the slice that a slanted scan saw; v is the row's sum."""
+    d = sequence.number_all(frames(spark, sf).select("frame", "px"), "frame", "z")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.struct(y.alias("y"), F.aggregate(F.slice("px", y * 8 + 1, F.lit(8)), F.lit(0.0), lambda s, v: s + v.cast("double")).alias("v")))
+    g = d.select("z", F.explode(rows).alias("r")).select("z", "r.y", "r.v")
+    return image.reslice(g, values(spark, "y int, off double", *enumerate(image.reslice_offsets(_PATH, 8, 0.75))), d.count())
 
 
 @query()
