@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 from .blocks import text_arrays
 from .common import whole_text, written
 
-GUARANTEE = 25
+#: Words of a window. Every line of so many words is a window, and so selected, by itself.
+GUARANTEE = 5
 #: A key that has over 1 / HEAVY of all rows is heavy: there are at most HEAVY of them.
 HEAVY = 1000
 #: Rows of fingerprints that a task hands on together.

@@ -67,6 +67,16 @@ def test_repeated_passages_go_wherever_they_stand(spark):
     assert got == {0: texts[0], 1: f"{prose(3, 40)}\n{prose(4, 7)}", 2: "", 3: texts[3], 4: "C d", 5: ""}
 
 
+def test_footers_and_short_copies_go(spark):
+    """One footer of fifteen words between lines of 40 or 12 words, and copies of a text of ten words: the first one stays alone."""
+    footer = prose(60, 15)
+    for words in (40, 12):
+        texts = [f"{prose(1000 + 2 * i, words)}\n{footer}\n{prose(1001 + 2 * i, words)}" for i in range(200)]
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+        assert got == {i: t if i == 0 else t.replace(f"{footer}\n", "") for i, t in enumerate(texts)}
+    assert sorted(r.text for r in line_dedup.dedup_lines(docs(spark, [prose(61, 10)] * 50)).collect()) == [""] * 49 + [prose(61, 10)]
+
+
 def test_line_dedup_of_odd_rows(spark):
     a, b = prose(3, 40), prose(4, 40)
     rows = [(None, a), (5, a), (7, b), (7, f"{a}\n{b}"), (7, b), (9, b)]
