@@ -100,14 +100,14 @@ def block_centres(length: int, size: int) -> list[int]:
 # Shifts against references
 
 
-def reference_images(references: DataFrame, keys: Sequence[str], shape: Shape, px: str = "px") -> dict[tuple, np.ndarray]:
-    """The image of each key, for a broadcast that is bounded by REFERENCE_PIXELS."""
-    n = references.count()
+def reference_images(references: DataFrame, keys: Sequence[str], shape: Shape, px: str = "px", n: int | None = None) -> dict[tuple, np.ndarray]:
+    """The image of each key, for a broadcast that is bounded by REFERENCE_PIXELS. They are counted first, unless ``n`` says how many there are."""
+    n = references.count() if n is None else n
     if n * shape[0] * shape[1] > REFERENCE_PIXELS:
         raise ValueError("too many reference pixels to broadcast: register fewer planes at a time")
     out = {tuple(r[k] for k in keys): np.array(r[px], dtype=float).reshape(shape) for r in references.select(*keys, px).collect()}
-    if len(out) < n:
-        raise ValueError("a key has more than one reference")
+    if len(out) != n:
+        raise ValueError("a key has more than one reference, or none")
     return out
 
 
@@ -238,7 +238,7 @@ def iterated_reference(df: DataFrame, keys: Sequence[str], id_: str, shape: Shap
     """
     spark = df.sparkSession
     frames = df.select(*keys, id_, px)
-    references = reference_images(initial_reference(frames, keys, id_, px, shape, n_best), keys, shape, px)
+    references = reference_images(written(initial_reference(frames, keys, id_, px, shape, n_best), "initial-reference"), keys, shape, px)
     total = frames.count()
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     moved = None
@@ -254,7 +254,7 @@ def iterated_reference(df: DataFrame, keys: Sequence[str], id_: str, shape: Shap
         moved = written(found.withColumn("_in", F.row_number().over(best) <= take), f"reference-{round_}")
         chosen = moved.filter("_in")
         mean = mean_image(frames.join(_small(chosen.select(*keys, id_, "_sy", "_sx"), total), [*keys, id_]), keys, shape, px, ("_sy", "_sx"))
-        means = reference_images(mean, keys, shape, px)
+        means = reference_images(mean, keys, shape, px, len(references))
         centre = {tuple(r[k] for k in keys): (round(r.dy), round(r.dx)) for r in chosen.groupBy(*keys).agg(F.avg("dy").alias("dy"), F.avg("dx").alias("dx")).collect()}
         references = {k: np.trunc(np.roll(v, centre[k], axis=(0, 1))) for k, v in means.items()}
     rows = [(*k, v.astype(int).ravel().tolist()) for k, v in references.items()]
