@@ -5,7 +5,7 @@ shorter is a prefix of the longer, the rest is the span of turn k; where it is n
 counted in ``rewritten``. Inside its span a turn's text is found by rendering two letters in its place: what both outputs begin and
 end with is the template's. Spans of the roles that are learnt from are the loss mask.
 
-Conversations are cut into pieces of up to 64 turn numbers and 1 MB of text, which are dealt out by themselves, so a
+Conversations are cut into pieces of up to 64 turns and some 1 MB of text, by turn number, which are dealt out by themselves, so a
 conversation of any length is no task of its own. That needs a template that renders a turn alike wherever it stands; every turn is also
 rendered alone and compared, and counted in ``dependent`` if it differs. Templates that look back take ``whole=True``: then a
 conversation is rendered in one piece.
@@ -33,7 +33,7 @@ from .common import written
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: A piece holds turns whose numbers share all but the last so many bits, and at most so many characters before it is cut.
+#: A piece holds turns whose numbers share all but the last so many bits, up to so many as these bits count, and is cut after so many characters.
 TURN_BITS, PIECE_CHARS = 6, 1 << 20
 LEARNT = ("assistant",)
 #: Bytes of formatted text that a task hands on at once.
@@ -105,7 +105,7 @@ def locate(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int,
 SPAN = "struct<role:string,begin:int,end:int,text_begin:int,text_end:int,loss:boolean>"
 
 
-def _format_pieces(batches: Iterable[pa.RecordBatch], template: Template, schema: pa.Schema, learnt: tuple[str, ...], most_chars: float) -> Iterator[pa.RecordBatch]:
+def _format_pieces(batches: Iterable[pa.RecordBatch], template: Template, schema: pa.Schema, learnt: tuple[str, ...], most_chars: float, most_turns: float) -> Iterator[pa.RecordBatch]:
     """One row for each piece of the sorted turns of a task."""
     key, piece, turns, chars, rows, size = None, 0, [], 0, [], 0
 
@@ -129,7 +129,7 @@ def _format_pieces(batches: Iterable[pa.RecordBatch], template: Template, schema
             if (conv, stretch) != key:
                 close()
                 key, piece = (conv, stretch), 0
-            elif chars >= most_chars:
+            elif chars >= most_chars or len(turns) >= most_turns:
                 close()
                 piece += 1
             turns.append((role or "", text or ""))
@@ -148,7 +148,8 @@ def format_conversations(conversations: DataFrame, template: Template = marked,
     d = d.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "turn", "role", "text").select("conv_id", "stretch", "role", "text")
     out = T.StructType.fromDDL(f"conv_id {d.schema['conv_id'].dataType.simpleString()}, stretch long, piece int, formatted string, n_turns int, spans array<{SPAN}>, rewritten int, dependent int")
     arrow = to_arrow_schema(out)
-    return d.mapInArrow(lambda it: _format_pieces(it, template, arrow, learnt, float("inf") if whole else piece_chars), out)
+    most = (float("inf"), float("inf")) if whole else (piece_chars, 1 << turn_bits)
+    return d.mapInArrow(lambda it: _format_pieces(it, template, arrow, learnt, *most), out)
 
 
 def _digests(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -102,6 +102,10 @@ def test_long_conversations_are_cut_and_come_together(spark):
     for conv, w in whole.items():
         assert "".join(p.formatted for p in pieces if p.conv_id == conv) == w.formatted
         assert sum(p.n_turns for p in pieces if p.conv_id == conv) == w.n_turns == len(w.spans)
+    many = spark.createDataFrame([(8, 0, "user", "")] * 1000 + [(8, 0, "assistant", "x")] * 500, SCHEMA)
+    parts = C.format_conversations(many).collect()
+    assert len(parts) == 24 and sum(p.n_turns for p in parts) == 1500 and max(p.n_turns for p in parts) == 64
+    assert run(many) == brute([tuple(r) for r in many.collect()] + TRAPPED)
     small = C.format_conversations(d, piece_chars=1).filter("conv_id = 3").orderBy("stretch", "piece").collect()
     assert len(small) == 4 and "".join(p.formatted for p in small) == whole[3].formatted
 
