@@ -201,12 +201,13 @@ def between(df: DataFrame, x: str, y: str, block: int) -> DataFrame:
     """
     d = number_all(df, x, "_i").withColumn("_b", F.expr(f"_i div {block}"))
     known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    w = Window.partitionBy("_b").orderBy("_i")
-    d = d.withColumns({"_p": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_q": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # Spark works a frame that ends at the last row out anew for each row: what follows is what comes before in the reversed order.
+    upto = lambda order: Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"_p": F.last(known, True).over(upto(F.asc("_i"))), "_q": F.last(known, True).over(upto(F.desc("_i")))})
     d = written(d, "between")
-    order = Window.orderBy("_b")
+    beyond = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     edges = d.groupBy("_b").agg(F.max(F.struct("_i", "_p"))["_p"].alias("_p"), F.min(F.struct("_i", "_q"))["_q"].alias("_q"))
-    edges = edges.select("_b", F.last("_p", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_q", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    edges = edges.select("_b", F.last("_p", True).over(beyond(F.asc("_b"))).alias("_before"), F.last("_q", True).over(beyond(F.desc("_b"))).alias("_after"))
     d = d.join(F.broadcast(edges), "_b").withColumns({"_p": F.coalesce("_p", "_before"), "_q": F.coalesce("_q", "_after")})
     line = F.col("_p.y") + (F.col("_q.y") - F.col("_p.y")) * F.try_divide(F.col(x) - F.col("_p.x"), F.col("_q.x") - F.col("_p.x"))
     return d.withColumn(y, F.coalesce(y, line)).drop("_i", "_b", "_p", "_q", "_before", "_after")
