@@ -64,8 +64,9 @@ def next_sample(clock: DataFrame, clock_t: str, samples: DataFrame, t: str, pick
     """Each clock row with the columns ``pick`` of the first sample at or after it (NULL if there is none)."""
     c = clock.select(*keys, F.col(clock_t).alias("_t"), F.lit(0).alias("_o"), F.struct(*clock.columns).alias("_row"), F.lit(None).cast(samples.select(F.struct(*pick).alias("x")).schema["x"].dataType).alias("_s"))
     s = samples.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(c.schema["_row"].dataType).alias("_row"), F.struct(*pick).alias("_s"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_o").rowsBetween(0, Window.unboundedFollowing)
-    u = c.unionByName(s).withColumn("_s", F.first("_s", True).over(w))
+    # The last sample in the reversed order: Spark works a frame up to the last row out anew for each row.
+    w = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    u = c.unionByName(s).withColumn("_s", F.last("_s", True).over(w))
     return u.filter("_o = 0").select("_row.*", *[F.col("_s")[p].alias(p) for p in pick])
 
 

@@ -121,10 +121,10 @@ def plane_count(ac: DataFrame) -> DataFrame:
 
 def interpolate(df: DataFrame, keys: Sequence[str], at: str, value: str, clamp: bool = True) -> DataFrame:
     """Missing values by the line between their neighbours; before the first and after the last by them, or NULL."""
-    w = ordered(keys, at)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # What follows is what comes before in the reversed order: Spark works a frame up to the last row out anew for each row.
+    back, ahead = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(at), F.desc(at)))
     has = F.when(F.col(value).isNotNull(), F.col(at))
-    d = df.withColumns({"_x0": F.last(has, True).over(back), "_y0": F.last(value, True).over(back), "_x1": F.first(has, True).over(ahead), "_y1": F.first(value, True).over(ahead)})
+    d = df.withColumns({"_x0": F.last(has, True).over(back), "_y0": F.last(value, True).over(back), "_x1": F.last(has, True).over(ahead), "_y1": F.last(value, True).over(ahead)})
     line = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * F.try_divide(F.col(at) - F.col("_x0"), F.col("_x1") - F.col("_x0"))
     filled = F.coalesce(F.col(value), line)
     if clamp:

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from tessera.operators import composite
+from tessera.operators import align, composite, sequence
 
 
 def linear(df):
@@ -27,3 +27,13 @@ def test_lines_between_known_values_of_blocks(spark, monkeypatch):
         np.testing.assert_allclose([np.nan if got[a] is None else got[a] for a in x.tolist()], want)
     monkeypatch.setattr(composite, "written", lambda df, name: df)
     assert linear(composite.between(d, "x", "y", 7))
+
+
+def test_interpolation_and_next_sample(spark):
+    d = spark.range(20).selectExpr("id % 2 AS k", "id AS x", "IF(id % 5 = 0, NULL, id * 1.0D) AS y")
+    filled = sequence.interpolate(d, ["k"], "x", "y")
+    assert linear(filled)
+    assert [r.y for r in filled.filter("k = 1").orderBy("x").collect()] == [1, 3, 5, 7, 9, 11, 13, 15, 17, 19]
+    at = align.next_sample(spark.createDataFrame([(0.5,), (3.0,), (19.5,)], "c double"), "c", d, "x", ["x"])
+    assert linear(at)
+    assert [r.x for r in at.orderBy("c").collect()] == [1, 3, None]
