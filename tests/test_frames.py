@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from tessera.operators import align, composite, sequence
+from tessera.operators import align, composite, events, sequence
 
 
 def linear(df):
@@ -37,3 +37,24 @@ def test_interpolation_and_next_sample(spark):
     at = align.next_sample(spark.createDataFrame([(0.5,), (3.0,), (19.5,)], "c double"), "c", d, "x", ["x"])
     assert linear(at)
     assert [r.x for r in at.orderBy("c").collect()] == [1, 3, None]
+
+
+def test_onsets_and_what_is_around_them(spark):
+    rng = np.random.default_rng(5)
+    # Times repeat and stretches end exactly at their limits.
+    rows = [(int(k), float(t), float(v)) for k, t, v in zip(rng.integers(0, 2, 400), np.sort(rng.integers(0, 600, 400)), np.repeat(rng.random(80) > 0.5, 5))]
+    d = spark.createDataFrame(rows, "k long, t double, v double").dropDuplicates(["k", "t"]).cache()
+    found = events.running_onsets(d, ["k"], "t", "v", 0.5, 4.0, 4.0)
+    assert linear(found)
+    want = []
+    for k in (0, 1):
+        s = sorted((r.t, r.v > 0.5) for r in d.filter(f"k = {k}").collect())
+        for i, (t, run) in enumerate(s):
+            rest, ran = [r for x, r in s if t - 4 <= x < t], [r for x, r in s if t <= x < t + 4]
+            if i and run and not s[i - 1][1] and t - s[0][0] >= 4 and s[-1][0] - t >= 4 and rest and not any(rest) and all(ran):
+                want.append((k, t))
+    assert want and sorted((r.k, r.onset) for r in found.collect()) == want
+    signal = spark.createDataFrame([(0, 1.0, 10.0), (0, 3.0, 30.0), (0, 3.5, None), (0, 5.0, 20.0)], "k long, t double, x double")
+    at = events.around_events(spark.createDataFrame([(0, 3.0)], "k long, onset double"), "onset", signal, "t", "x", ["k"], [-3, -1, 0, 1, 3])
+    assert linear(at)
+    assert [r.value for r in at.orderBy("rel").collect()] == [None, 20.0, 30.0, 25.0, None]
