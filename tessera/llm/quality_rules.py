@@ -10,7 +10,7 @@ A model for scoring is stored in sorted hash arrays: for each language and order
 them the log probabilities and the back-off weights; no two n-grams share a place. At most MOST n-grams an order are
 broadcast, those with the highest counts (the threshold comes from a histogram). Where a model has more, n-grams of a document
 that the arrays lack are joined to the table of the whole model by key, so what is scored does not depend on
-the bound; only an n-gram that the whole model lacks backs off.
+the bound; only an n-gram that the whole model lacks backs off, by joins too where the arrays lack n-grams of a lower order.
 
 A document is rejected if it fails the base rules, or if its perplexity lies outside the
 band of its language: the median of log perplexity over all clean documents, plus and
@@ -192,10 +192,11 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 @dataclass
 class HashedModel:
-    """By language and order: sorted keys, log probabilities and log back-off weights. ``whole``: no n-gram is left out."""
+    """By language and order: sorted keys, log probabilities and log back-off weights. ``whole``: no n-gram is left out; ``lower``: none below the highest order."""
 
     order: int
     whole: bool
+    lower: bool
     arrays: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
     _places: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
@@ -273,7 +274,23 @@ def hashed(model: DataFrame, order: int = ORDER, most: int = MOST) -> HashedMode
             at = np.flatnonzero((lang == i) & (k == j))
             at = at[np.argsort(g[at])]
             arrays[name, j] = g[at], logp[at], back[at]
-    return HashedModel(order, all(n <= most for n in have.values()), arrays)
+    return HashedModel(order, all(n <= most for n in have.values()), all(n <= most for k, n in have.items() if k < order), arrays)
+
+
+def backed_off(grams: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, g, back: log probabilities of n-grams (lang, g) that the highest order lacks, from the table of the whole model."""
+    low = lambda c, k: c.bitwiseAND(F.lit((1 << (16 * k)) - 1))
+    at = F.array(*[F.struct(F.lit(k).alias("k"), low(F.col("g"), k).alias("at"), low(F.shiftrightunsigned("g", 16), k).alias("ctx")) for k in range(order)])
+    d = grams.select("lang", "g", F.explode(at).alias("x")).select("lang", "g", "x.*")
+    m = model.filter(F.col("k") < order).select("lang", "k", "g", F.log("p").alias("logp"), F.log("back").alias("weight"))
+    d = d.join(m.select("lang", "k", F.col("g").alias("at"), "logp"), ["lang", "k", "at"], "left")
+    d = d.join(m.select("lang", "k", F.col("g").alias("ctx"), "weight"), ["lang", "k", "ctx"], "left")
+    # The longest end of the n-gram that the model has, with the weights of the contexts from there up.
+    orders = F.reverse(F.array_sort(F.collect_list(F.struct("k", "logp", F.when(F.col("k") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0).alias("weight")))))
+    d = d.groupBy("lang", "g").agg(orders.alias("_o"))
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("v"))
+    step = lambda s, o: F.when(s["v"].isNotNull(), s).otherwise(F.struct((s["w"] + o["weight"]).alias("w"), (s["w"] + o["weight"] + o["logp"]).alias("v")))
+    return d.select("lang", "g", F.coalesce(F.aggregate("_o", start, step)["v"], F.lit(LOG_UNIFORM)).alias("back"))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -350,7 +367,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
                     for i in np.flatnonzero(wanted):
                         open_ = keys[offs[i] : offs[i + 1]][np.isnan(scores[offs[i] : offs[i + 1]])]
                         g, times = np.unique(open_, return_counts=True)
-                        rare[at[i]] = [{"g": x, "n": y, "back": z} for x, y, z in zip(g.view(np.int64).tolist(), times.tolist(), m.backed_off(name, g).tolist())]
+                        rare[at[i]] = [{"g": x, "n": y, "back": z} for x, y, z in zip(g.view(np.int64).tolist(), times.tolist(), m.backed_off(name, g).tolist() if m.lower else [None] * len(g))]
         row = [f"{k}".encode() for k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
         keys = pa.array([xxhash.xxh3_128_digest(x) for x in row], type=pa.binary())
         yield pa.record_batch([batch.column(0), batch.column(1), keys, *[pa.array(v) for v in out.values()], pa.array(trains), pa.array(total, mask=np.isnan(total)), pa.array(rare, type=rare_type)], names=["id", "lang", "key", *out, "clean", "total", "rare"])
@@ -371,6 +388,10 @@ def score(docs: DataFrame, model: HashedModel, whole: DataFrame | None = None, i
         top = whole.filter(F.col("k") == model.order).select("lang", "g", F.log("p").alias("logp"))
         # Rows that are equal have one key, and one sum.
         rare = s.select("key", "lang", F.explode("rare").alias("x")).select("key", "lang", "x.*").distinct().join(top, ["lang", "g"], "left")
+        if not model.lower:
+            rare = written(rare, "quality-rare")
+            unseen = rare.filter(F.col("logp").isNull()).select("lang", "g").distinct()
+            rare = rare.drop("back").join(backed_off(unseen, whole, model.order), ["lang", "g"], "left")
         rare = rare.groupBy("key").agg(F.sum(F.col("n") * F.coalesce("logp", "back")).alias("more"))
         s, more = s.join(rare, "key", "left"), F.coalesce("more", F.lit(0.0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

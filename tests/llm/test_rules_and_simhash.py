@@ -191,3 +191,17 @@ def test_links_in_large_groups_match_brute_force(spark):
         want = brute_components(dict(zip(fps, fps)))
         groups = lambda of: {frozenset(x for x in fps if of(x) == r) for r in {of(x) for x in fps}}
         assert groups(lambda x: roots.get(x, x)) == groups(lambda x: want[x])
+
+
+def test_lower_orders_that_are_not_broadcast_are_joined(spark, monkeypatch):
+    # Documents with many capitals or symbols train no model, so most of their n-grams back off, some to no order at all.
+    loud = [prose(9, 60).upper(), prose(8, 60) + " #$ % & | <> *" * 20, " ".join("\u4e00\u4e01 Q" for _ in range(40)), prose(7, 50) + " zqx jqz" * 5]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate([prose(i, 60) for i in range(6)] + loud + [prose(20, 40).upper()])], "doc_id bigint, text string, lang string")
+    whole = Q.kneser_ney(Q.count_grams(df))
+    want = {r.id: r.log_ppl for r in Q.score(df, Q.hashed(whole), whole).collect()}
+    for most in (0, 15, 400):
+        part = Q.hashed(whole, most=most)
+        assert not part.lower
+        got = {r.id: r.log_ppl for r in Q.score(df, part, whole).collect()}
+        assert {i for i, x in got.items() if x is None} == {i for i, x in want.items() if x is None} and any(x is not None for x in want.values())
+        assert all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items() if x is not None), most
