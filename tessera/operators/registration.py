@@ -26,6 +26,8 @@ from .image import REFERENCE_PIXELS, let, most_similar, unit
 ROUNDS, SHARE = 8, 16
 #: Frames whose shifts may be broadcast to their images.
 SMALL = 1 << 18
+#: Pixels of a key whose frames one group compares with each other, the groups of such a key, pixels of a block of a larger key, and correlations held at once.
+WHOLE_PIXELS, PARTS, BLOCK_PIXELS, CHUNK = 1 << 22, 4, 1 << 20, 1 << 21
 
 def _array(x: np.ndarray) -> pa.Array:
     x = x.reshape(len(x), -1)
@@ -174,29 +176,46 @@ def mean_image(frames: DataFrame, keys: Sequence[str], shape: Shape, px: str = "
 # References
 
 
-def correlation_seeds(df: DataFrame, keys: Sequence[str], id_: str, px: str, n_best: int = 20, block: int = 512) -> DataFrame:
+def correlation_seeds(df: DataFrame, keys: Sequence[str], id_: str, px: str, n_best: int = 20, block: int | None = None) -> DataFrame:
     """keys, id, score: the frame of each key whose ``n_best`` - 1 best correlations with other frames are highest on average.
 
-    Frames are compared in pairs of blocks of some ``block`` frames, one pair to a group, and each hands on its best correlations of a
-    block: no task holds all frames of a key. A constant frame correlates with nothing and is never taken.
+    A key of up to WHOLE_PIXELS is compared in at most PARTS groups, each with its share of the frames against all, and hands on one number a
+    frame. Larger keys are compared in pairs of blocks of some ``block`` frames (512, or BLOCK_PIXELS), one pair to a group, and each frame hands on its
+    best correlations of a block: no task holds all frames of such a key. A constant frame correlates with nothing and is never taken.
+    With ``block``, all keys are compared in pairs of such blocks.
     """
     most = max(2, n_best) - 1
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = df.select(*keys, id_, F.transform(px, lambda v: v.cast("double")).alias("_x"))
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.size(px)).cast("long").alias("_size"))
+    d = df.select(*keys, id_, F.col(px).alias("_x"))
     d = d.join(F.broadcast(n), list(keys))  # one row for each key
-    blocks = F.ceil(F.col("_n") / block).cast("int")
+    whole = F.lit(block is None) & (F.col("_n") * F.col("_size") <= WHOLE_PIXELS)
+    frames = F.lit(block) if block else F.greatest(F.lit(512), F.expr(f"{BLOCK_PIXELS} div greatest(_size, 1)"))
+    blocks = F.when(whole, F.least(F.lit(PARTS), F.ceil(F.col("_n") / 1024))).otherwise(F.ceil(F.col("_n") / frames)).cast("int")
     d = d.withColumn("_b", F.pmod(F.xxhash64(id_), blocks).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least("_b", b).alias("bi"), F.greatest("_b", b).alias("bj")))
+    pair = lambda b: F.struct(F.when(whole, b).otherwise(F.least("_b", b)).alias("bi"), F.when(whole, -1).otherwise(F.greatest("_b", b)).alias("bj"))
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), pair)
     d = d.select(*keys, id_, "_x", "_b", F.explode(pairs).alias("_p")).select(*keys, id_, "_x", "_b", F.col("_p.bi").alias("_bi"), F.col("_p.bj").alias("_bj"))
 
     def best(pdf):
-        x = np.stack(pdf["_x"].to_numpy())
+        x = np.stack(pdf["_x"].to_numpy()).astype(float)
         x = x - x.mean(axis=1, keepdims=True)
         norm = np.linalg.norm(x, axis=1)
         x, some = x / np.where(norm > 0, norm, 1)[:, None], norm > 0
         own = pdf["_b"].to_numpy()
         bi, bj = pdf["_bi"].iloc[0], pdf["_bj"].iloc[0]
         out = [None] * len(pdf)
+        if bj < 0:
+            mine, others = np.flatnonzero(own == bi), np.flatnonzero(some)
+            k, step = min(most, len(others) - 1), max(1, CHUNK // max(1, len(others)))
+            for rows in (mine[lo : lo + step] for lo in range(0, len(mine), step)):
+                c = x[rows] @ x[others].T
+                c[rows[:, None] == others[None, :]] = -np.inf
+                top = -np.sort(np.partition(-c, k - 1, axis=1)[:, :k], axis=1) if k > 0 else c[:, :0]
+                for i, t in zip(rows, np.cumsum(top, axis=1)):
+                    out[i] = [float(t[-1]) / k] if some[i] and k > 0 else []
+            result = pdf.loc[own == bi, [*keys, id_]].copy()
+            result["_some"], result["_top"] = some[mine], [out[i] for i in mine]
+            return result
         sides = [(own == bi, own == bj)] if bi == bj else [(own == bi, own == bj), (own == bj, own == bi)]
         for a, b in sides:
             rows, others = np.flatnonzero(a), np.flatnonzero(b & some)

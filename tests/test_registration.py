@@ -275,3 +275,22 @@ def test_images_of_a_wrong_size_are_told(spark):
     d = spark.createDataFrame([(0, 0, [1, 2, 3])], "plane int, frame int, px array<int>")
     with pytest.raises(Exception, match="12 x 16"):
         R.mean_image(d, ["plane"], SHAPE).collect()
+
+
+def test_seeds_of_whole_keys_hand_on_one_number_a_frame(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 16)) + np.outer(rng.normal(size=60), rng.normal(size=16))
+    x[5] = 3.0
+    d = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)], "plane long, frame long, px array<double>")
+    monkeypatch.setattr(R, "CHUNK", 100)
+    for n in (2, 9, 25, 80):
+        want = {r.plane: (r.frame, round(r.score, 9)) for r in R.correlation_seeds(d, ["plane"], "frame", "px", n, 7).collect()}
+        got = {r.plane: (r.frame, round(r.score, 9)) for r in R.correlation_seeds(d, ["plane"], "frame", "px", n).collect()}
+        assert got == want and len(got) == 2
+        for p in (0, 1):
+            c = np.corrcoef(np.array([v for i, v in enumerate(x) if i % 2 == p and i != 5]))
+            np.fill_diagonal(c, -2)
+            assert np.isclose(got[p][1], np.max(-np.sort(-c, axis=1)[:, : min(n - 1, len(c) - 1)].mean(axis=1)), atol=1e-8)
+    # A key's frames travel in a bounded number of copies, whatever their number.
+    plan = R.correlation_seeds(d, ["plane"], "frame", "px", 25)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"least({R.PARTS}" in plan
