@@ -142,8 +142,7 @@ def recorded_round_trip(spark, sf):
     names = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
     path = shared_path(spark, "recordings")
     write_recordings(read(spark, sf, "lineitem").select(names), path)
-    d = read_recordings(spark, f"{path}/*.bin", labels="channels.csv", rangebytes=1 << 20)
-    wide = d.groupBy("path", "sample").agg(*[F.max(F.when(F.col("channel") == c, F.col("volts"))).alias(c) for c in names])
+    wide = read_recordings(spark, f"{path}/*.bin", labels="channels.csv", rangebytes=1 << 20, wide=True)
     return wide.select(*[F.col(c).cast("long").alias(c) for c in names[:2]], *names[2:])
 
 

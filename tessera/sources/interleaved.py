@@ -5,7 +5,8 @@
 
 Options: ``labels``, a comma-separated file of channel names beside the recordings (or a full path), or ``channels``, their number, which
 wins and names them 0, 1, ...; ``rate`` in samples a second (1000); ``rangebytes``, the size of a partition (64 MB); ``first``, true to read the
-first matching file alone. Filters on ``channel`` reach the reader, so that only the wanted columns of a range are copied.
+first matching file alone; ``wide``, true for rows of a sample with its channels side by side (path, sample, t_s and a column a channel), which lie
+side by side in the file too, so nothing is shuffled. Filters on ``channel`` reach the reader, so that only the wanted columns of a range are copied.
 
 A recording that broke off ends with a part of a sample, which is dropped. One with fewer values than channels is an error.
 """
@@ -65,6 +66,10 @@ def read_labels(path: str) -> list[str]:
     return names
 
 
+def is_wide(options) -> bool:
+    return str(options.get("wide", "false")).lower() == "true"
+
+
 @dataclass
 class Stretch(InputPartition):
     path: str
@@ -97,11 +102,14 @@ class Ranges(DataSourceReader):
         self.wanted = list(range(len(self.names)))
         self.range_bytes = int(options.get("rangebytes", 64 << 20))
         self.first = str(options.get("first", "false")).lower() == "true"
+        self.wide = is_wide(options)
+        if self.wide and len({x.lower() for x in ("path", "sample", "t_s", *self.names)}) < 3 + len(self.names):
+            raise ValueError(f"channels side by side need names of their own, not {self.names}")
 
     def pushFilters(self, filters) -> Iterator:
         """Takes what picks channels; all else stays with Spark."""
         for f in filters:
-            values = (f.value,) if isinstance(f, EqualTo) and f.attribute == ("channel",) else f.value if isinstance(f, In) and f.attribute == ("channel",) else None
+            values = None if self.wide else (f.value,) if isinstance(f, EqualTo) and f.attribute == ("channel",) else f.value if isinstance(f, In) and f.attribute == ("channel",) else None
             if values is None:
                 yield f
             else:
@@ -136,6 +144,11 @@ class Ranges(DataSourceReader):
             for lo in range(partition.first, partition.first + partition.samples, per):
                 m = min(per, partition.first + partition.samples - lo)
                 x = np.frombuffer(f.read(m * n * VALUE), dtype="<f8").reshape(m, n)
+                if self.wide:
+                    at = np.arange(lo, lo + m)
+                    columns = [pa.array([partition.path]).take(pa.array(np.zeros(m, dtype="int64"))), pa.array(at), pa.array(at / self.rate), *(pa.array(np.ascontiguousarray(v)) for v in x.T)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "sample", "t_s", *self.names])
+                    continue
                 at = np.repeat(np.arange(lo, lo + m), len(wanted))
                 columns = [pa.array([partition.path]).take(pa.array(np.zeros(len(at), dtype="int64"))), pa.array(at), pa.array(at / self.rate), names.take(pa.array(np.tile(np.arange(len(wanted)), m))), pa.array(x[:, wanted].ravel())]
                 yield pa.RecordBatch.from_arrays(columns, names=["path", "sample", "t_s", "channel", "volts"])
@@ -193,7 +206,9 @@ class Interleaved(DataSource):
         return "interleaved"
 
     def schema(self) -> str:
-        return SCHEMA
+        if not is_wide(self.options):
+            return SCHEMA
+        return ", ".join(["path string, sample bigint, t_s double", *(f"`{x.replace('`', '``')}` double" for x in Ranges(self.options).names)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return Ranges(self.options)
@@ -203,7 +218,7 @@ class Interleaved(DataSource):
 
 
 def read_recordings(spark: SparkSession, path: str, **options) -> DataFrame:
-    """path, sample, t_s, channel, volts of all recordings that a path, folder or glob matches; see the module's options."""
+    """path, sample, t_s, channel, volts (``wide``: path, sample, t_s and the channels) of all recordings that a path, folder or glob matches; see the module's options."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Interleaved)
     return spark.read.format("interleaved").options(**{k: str(v) for k, v in options.items()}).load(path)

@@ -104,3 +104,17 @@ def test_arrays_that_are_not_fit_fail(spark, tmp_path):
     for name, options, message in (("three", {}, "3 dimensions"), ("nan", {"rank": 1}, "2 dimensions"), ("nan", {"finite": True}, "not finite"), ("objects", {}, "not numbers"), ("text", {}, "no array"), ("cut", {}, "cut off"), ("missing", {}, "no array matches")):
         with pytest.raises(Exception, match=message):
             read_array(spark, str(tmp_path / f"{name}.npy"), **options).collect()
+
+
+def test_channels_side_by_side_are_not_shuffled(spark, tmp_path):
+    from tessera.sources.interleaved import read_recordings, write_recordings
+
+    d = spark.range(1000).selectExpr("id AS a", "IF(id % 7 = 0, NULL, id / 3.0D) AS `b c`", "-id AS d").repartition(3)
+    write_recordings(d, str(tmp_path / "r"))
+    long = read_recordings(spark, f"{tmp_path}/r/*.bin", labels="channels.csv", rangebytes=1000)
+    wide = read_recordings(spark, f"{tmp_path}/r/*.bin", labels="channels.csv", rangebytes=1000, wide=True)
+    assert wide.columns == ["path", "sample", "t_s", "a", "b c", "d"]
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    got = {(r.path, r.sample, r.t_s, c): str(r[c]) for r in wide.collect() for c in ("a", "b c", "d")}
+    assert got == {(r.path, r.sample, r.t_s, r.channel): str(r.volts) for r in long.collect()} and len(got) == 3000
+    assert sorted(r.a for r in wide.filter("a >= 990").collect()) == list(range(990, 1000))
