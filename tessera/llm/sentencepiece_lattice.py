@@ -308,12 +308,6 @@ class Frequent:
         self.lens = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(ids) else np.zeros(0, dtype=np.int64)
         self.offs = np.concatenate(([0], np.cumsum(self.lens)))
 
-    def checks(self, names: list[bytes]) -> None:
-        """A hash of each word's pieces, and whether they decode to the word."""
-        lists = [self.flat[a:b] for a, b in zip(self.offs[:-1], self.offs[1:])]
-        self.hash = np.array([ids_hash(x) for x in lists], dtype=np.int64).view(np.uint64)
-        self.good = np.array([_decodes(x, h, names) for x, h in zip(lists, self.h.tolist())], dtype=bool)
-
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each hash, or -1."""
         if not len(self.h):
@@ -554,98 +548,7 @@ def decode(encoded: DataFrame, model_file: str = DEFAULT_MODEL, ids_col: str = "
     return encoded.select(*keep, ids_col).mapInArrow(run, schema)
 
 
-def ids_hash(ids: np.ndarray) -> int:
-    """A 64-bit hash of pieces in their order."""
-    return int(np.uint64(xxhash.xxh64_intdigest(ids.astype("<i4").tobytes())).astype(np.int64))
-
-
-def _decodes(ids: np.ndarray, h: int, names: list[bytes]) -> bool:
-    """Whether pieces decode to the word of hash h."""
-    word = b"".join([names[i] for i in ids.tolist()])
-    return xxhash.xxh64_intdigest(word, 42) == h & 0xFFFFFFFFFFFFFFFF
-
-
-def placed(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """32-bit hashes of words at their places; their sum tells a text's pieces in order."""
-    return (mix(h ^ mix(at.astype(np.uint64) + np.uint64(1))) >> np.uint64(32)).astype(np.int64)
-
-
-_SUMS = "n_segments bigint, n_pieces bigint, ids_sum bigint, good boolean"
-
-
-def _part_batches(batches: Iterator[pa.RecordBatch], shared_v, shared_f) -> Iterator[pa.RecordBatch]:
-    """id, key, h, at and the sums of each document's broadcast words (h is spread over all keys there), and of each other word its hash and place."""
-    f = shared_f.value
-    known = Stretches(shared_v.value, f)
-    names = ["id", "key", "h", "at", "n_segments", "n_pieces", "ids_sum", "good"]
-    for batch in batches:
-        for lo, texts, at, offs in _looked_up(batch, known):
-            ends = known.word_ends[0]
-            lens = ends[at + 1] - ends[at]
-            number = known.words[0][_ranges(ends[at], lens)[0]]
-            word_offs = np.concatenate(([0], np.cumsum(lens)))[offs]
-            place = _ranges(np.diff(word_offs), np.diff(word_offs))[1]
-            common = number >= 0
-            num = np.where(common, number, 0)
-            sums = [common, *((np.where(common, f.lens[num], 0), np.where(common, placed(f.hash[num], place), 0), common & ~f.good[num]) if len(f.h) else [np.zeros(len(num), dtype=np.int64)] * 3)]
-            total = [np.concatenate(([0], np.cumsum(x, dtype=np.int64))) for x in sums]
-            n, few, kept, bad = (t[word_offs[1:]] - t[word_offs[:-1]] for t in total)
-            ids = batch.column(0).slice(lo, len(texts))
-            keys = _row_keys(ids.to_pylist(), texts)
-            spread = np.frombuffer(b"".join(k.as_py()[:8] for k in keys), dtype=np.int64)
-            good = (bad == 0) & np.array([SPACE not in t for t in texts], dtype=bool)
-            none = pa.nulls(len(texts), pa.int32())
-            yield pa.record_batch([ids, keys, pa.array(spread), none, pa.array(n), pa.array(few), pa.array(kept), pa.array(good)], names=names)
-            rare = np.flatnonzero(~common)
-            if len(rare):
-                row = pa.array(np.searchsorted(word_offs, rare, side="right") - 1)
-                rare_ends = known.rare_ends[0]
-                h = known.rare[0][_ranges(rare_ends[at], rare_ends[at + 1] - rare_ends[at])[0]]
-                none = pa.nulls(len(rare), pa.int64())
-                yield pa.record_batch([ids.take(row), keys.take(row), pa.array(h), pa.array(place[rare].astype(np.int32)), none, none, none, none.cast(pa.bool_())], names=names)
-
-
-def _hash_batches(batches: Iterator[pa.RecordBatch], names) -> Iterator[pa.RecordBatch]:
-    """h, the number of pieces, their hash and whether they decode to the word."""
-    for b in batches:
-        lists = [x.values.to_numpy() for x in b.column(1)]
-        good = [_decodes(x, h, names.value) for x, h in zip(lists, b.column(0).to_pylist())]
-        yield pa.record_batch([b.column(0), pa.array([len(x) for x in lists], type=pa.int64()), pa.array([ids_hash(x) for x in lists], type=pa.int64()), pa.array(good, type=pa.bool_())], names=["h", "k", "x", "ok"])
-
-
-def _joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of the words that were joined; rows of documents pass."""
-    names = ["id", "key", "rows", "n_segments", "n_pieces", "ids_sum", "good"]
-    for b in batches:
-        rare = b.column("at").is_valid().to_numpy(zero_copy_only=False)
-        for some, c in ((rare, True), (~rare, False)):
-            x = b.take(pa.array(np.flatnonzero(some)))
-            n = x.num_rows
-            if c and n:
-                sums = placed(x.column("x").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), x.column("at").to_numpy(zero_copy_only=False))
-                yield pa.record_batch([x.column("id"), x.column("key"), pa.array(np.zeros(n, dtype=np.int64)), pa.array(np.ones(n, dtype=np.int64)), x.column("k"), pa.array(sums), x.column("ok")], names=names)
-            elif n:
-                yield pa.record_batch([x.column("id"), x.column("key"), pa.array(np.ones(n, dtype=np.int64)), *[x.column(y) for y in names[3:]]], names=names)
-
-
 def encode_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = DEFAULT_MODEL, most: int = FREQUENT) -> DataFrame:
-    """id, n_segments, n_pieces, ids_sum (tells the pieces and their order), round_trip, a row for each row.
-
-    The sums of ``encode``'s pieces without bringing them together: each word's pieces are checked against the word, and
-    a text comes back whole if all of its words do and it has no U+2581.
-    """
-    v = vocabulary(model_file)
-    sc = docs.sparkSession.sparkContext
-    table, shared_v, names = encoded_words(docs, v, text_col), sc.broadcast(v), piece_bytes(v)
-    broad, f = _frequent(table, most)
-    f.checks(names)
-    shared_f, shared_names = sc.broadcast(f), sc.broadcast(names)
-    kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("t"))
-    parts = d.mapInArrow(lambda it: _part_batches(it, shared_v, shared_f), f"id {kind}, key binary, h bigint, at int, {_SUMS}")
-    hashes = table.filter(~broad).select("h", "ids").mapInArrow(lambda it: _hash_batches(it, shared_names), "h bigint, k bigint, x bigint, ok boolean")
-    every = parts.join(hashes, "h", "left").mapInArrow(_joined_batches, f"id {kind}, key binary, rows bigint, {_SUMS}")
-    # Rows that are equal in id and text have one key: their sums are alike.
-    sums = every.groupBy("key", "id").agg(*[F.sum(c).alias(c) for c in ("rows", "n_segments", "n_pieces", "ids_sum")], F.every("good").alias("round_trip"))
-    one = [F.expr(f"{c} div rows").alias(c) for c in ("n_segments", "n_pieces", "ids_sum")]
-    return sums.select(F.col("id").alias(id_col), *one, "round_trip", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy")).drop("copy")
+    """id, n_segments, n_pieces, ids_sum (a hash of the pieces in their order), round_trip, a row for each row, all of ``encode``'s pieces of whole documents and their decoded text."""
+    e = encode(docs, id_col, text_col, model_file, most, check=True)
+    return e.select(id_col, "n_segments", "n_pieces", F.xxhash64("ids").alias("ids_sum"), "round_trip")

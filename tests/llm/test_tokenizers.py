@@ -125,3 +125,9 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     assert L.encode_digest(docs(spark, [])).count() == 0
     assert C.token_counts(docs(spark, [])).count() == 0
+
+
+def test_the_digest_is_of_the_pieces_of_encode(spark):
+    df = docs(spark, [t for t in awkward() if t is None or len(t) < 20000])
+    pieces = {r.doc_id: (r.n_segments, r.n_pieces, r.h, r.round_trip) for r in L.encode(df, check=True).withColumn("h", F.xxhash64("ids")).collect()}
+    assert {r.doc_id: (r.n_segments, r.n_pieces, r.ids_sum, r.round_trip) for r in L.encode_digest(df).collect()} == pieces
