@@ -156,37 +156,40 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(order - 1, 0, -1):
         mask = (1 << (16 * k)) - 1
         tables[k] = written(tables[k + 1].groupBy("lang", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("n")), f"grams-{k}")
-    lower = None
-    parts = []
-    for k in range(1, order + 1):
-        t = tables[k]
-        seen = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        d = t.groupBy("lang").agg(*seen, F.count(F.lit(1)).alias("distinct"))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        some = lambda i: F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))
-        # Too few counts for an estimate: the discount of absolute discounting, 0.5.
-        d = d.select("lang", "distinct", *[F.greatest(F.lit(0.05), F.least(F.lit(i * 0.95), F.coalesce(some(i), F.lit(0.5)))).alias(f"d{i}") for i in (1, 2, 3)])
-        t = t.withColumn("ctx", F.shiftrightunsigned("g", 16)).join(F.broadcast(d), "lang")
+    every = tables[1].withColumn("k", F.lit(1))
+    for k in range(2, order + 1):
+        every = every.unionByName(tables[k].withColumn("k", F.lit(k)))
+    seen = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    some = lambda i: F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))
+    # Too few counts for an estimate: the discount of absolute discounting, 0.5.
+    discounts = written(every.groupBy("k", "lang").agg(*seen).select("k", "lang", *[F.greatest(F.lit(0.05), F.least(F.lit(i * 0.95), F.coalesce(some(i), F.lit(0.5)))).alias(f"d{i}") for i in (1, 2, 3)]), "discounts")
+
+    def discounted(k: int) -> DataFrame:
+        d = discounts.filter(F.col("k") == k).drop("k")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.withColumn("cut", cut)
-        ctx = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
-        t = t.join(ctx, ["lang", "ctx"]).withColumn("gamma", F.col("mass") / F.col("total"))
-        if k == 1:
-            # The lowest order falls back to the uniform share of a character of 2**16.
-            low = F.lit(2.0**-16)
-            parts.append(t.groupBy("lang").agg(F.max("gamma").alias("gamma")).select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("g"), F.lit(1).cast("long").alias("n"), (F.col("gamma") * low).alias("p"), F.lit(None).cast("double").alias("back")))
-        else:
+        return tables[k].join(F.broadcast(d), "lang").select("lang", "g", "n", F.shiftrightunsigned("g", 16).alias("ctx"), cut.alias("cut"))
+
+    ctx = {k: discounted(k).groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass")) for k in range(1, order + 1)}
+    ctx = {k: written(t, f"contexts-{k}") for k, t in ctx.items()}
+    # The lowest order falls back to the uniform share of a character of 2**16.
+    low = F.lit(2.0**-16)
+    out = ctx[1].select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("g"), F.lit(1).cast("long").alias("n"), (F.col("mass") / F.col("total") * low).alias("p"), F.lit(None).cast("double").alias("back"))
+    for k in range(1, order + 1):
+        t = discounted(k).join(ctx[k], ["lang", "ctx"])
+        if k > 1:
             mask = (1 << (16 * (k - 1))) - 1
-            t = t.withColumn("low", F.col("g").bitwiseAND(F.lit(mask))).join(lower, ["lang", "low"])
-            low = F.col("lp")
-            ctx_back = ctx.select("lang", F.col("ctx").alias("g"), (F.col("mass") / F.col("total")).alias("back"))
-            parts[-1] = parts[-1].drop("back").join(ctx_back, ["lang", "g"], "full_outer").select("lang", F.coalesce("k", F.lit(k - 1)).alias("k"), "g", F.coalesce("n", F.lit(1)).alias("n"), "p", "back")
-        p = written(t.select("lang", F.lit(k).alias("k"), "g", "n", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * low).alias("p")), f"probabilities-{k}")
-        lower = p.select("lang", F.col("g").alias("low"), F.col("p").alias("lp"))
-        parts.append(p.withColumn("back", F.lit(None).cast("double")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            t, low = t.withColumn("low", F.col("g").bitwiseAND(F.lit(mask))).join(lower, ["lang", "low"]), F.col("lp")
+        t = t.select("lang", F.lit(k).alias("k"), "g", "n", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("mass") / F.col("total") * low).alias("p"))
+        if k < order:
+            back = ctx[k + 1].select("lang", F.col("ctx").alias("g"), (F.col("mass") / F.col("total")).alias("back"))
+            t = t.join(back, ["lang", "g"], "full_outer").select("lang", F.coalesce("k", F.lit(k)).alias("k"), "g", F.coalesce("n", F.lit(1)).alias("n"), "p", "back")
+        else:
+            t = t.withColumn("back", F.lit(None).cast("double"))
+        t = written(t, f"probabilities-{k}")
+        # A context that is the end of no n-gram has no probability, and no n-gram falls back to it.
+        lower = t.select("lang", F.col("g").alias("low"), F.col("p").alias("lp"))
+        out = out.unionByName(t)
     return out
 
 
@@ -403,13 +406,14 @@ def bands(scored: DataFrame, upper: float = UPPER, lower: float = LOWER) -> Data
     """lang, mid, low, high: the bands of log perplexity, from histograms whose bins do not grow with the corpus."""
     h = scored.filter(F.col("clean") & F.col("log_ppl").isNotNull())
     h = h.groupBy("lang", F.floor(F.col("log_ppl") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    h = written(h, "quality-histogram")
 
     def median(df: DataFrame, value: str, name: str) -> DataFrame:
         w = Window.partitionBy("lang")
         df = df.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w))
         return df.filter(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg(F.min(value).alias(name))
 
-    mid = median(h, "bin", "mid")
+    mid = written(median(h, "bin", "mid"), "quality-medians")
     off = h.join(F.broadcast(mid), "lang").withColumn("off", F.abs(F.col("bin") - F.col("mid"))).groupBy("lang", "mid", "off").agg(F.sum("n").alias("n"))
     dev = median(off, "off", "dev").join(F.broadcast(mid), "lang")
     spread = F.greatest(1.4826 * F.col("dev") / BINS, F.lit(LEAST_DEVIATION))

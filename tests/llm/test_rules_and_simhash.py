@@ -205,3 +205,11 @@ def test_lower_orders_that_are_not_broadcast_are_joined(spark, monkeypatch):
         got = {r.id: r.log_ppl for r in Q.score(df, part, whole).collect()}
         assert {i for i, x in got.items() if x is None} == {i for i, x in want.items() if x is None} and any(x is not None for x in want.values())
         assert all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items() if x is not None), most
+
+
+def test_the_model_is_joined_once(spark):
+    """Whoever reads the model reads written tables: joins that each reader plans again cost the driver's memory."""
+    model = Q.kneser_ney(Q.count_grams(docs(spark, [prose(i, 60) for i in range(5)])))
+    plan = model._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 0
+    assert {r.k for r in model.select("k").distinct().collect()} == {0, 1, 2, 3, 4}
