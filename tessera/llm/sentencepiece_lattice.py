@@ -10,8 +10,8 @@ window needs of the one before is its last ``longest`` nodes.
 
 The documents then take the pieces of their words. The most frequent words (at most FREQUENT, each of at most
 FREQUENT_PIECES pieces: that bounds the broadcast, and a histogram of counts finds the threshold) are looked up where the text
-is read; the occurrences of all others travel as 64-bit hashes, meet the table of words by a join, and fill the
-gaps of their document. So a word that a third of all rows hold never meets in one task, and texts never move.
+is read; each document asks for its others by their 64-bit hashes, which meet the table of words by a join, and fill the
+gaps of the document. So a word that a third of all rows hold never meets in one task, and texts never move.
 Whether the pieces of a document decode to its whole text is checked for each document.
 
 Defined cases: a null or empty text has no words and no pieces; a text of white space is a run of pieces; every row gives a
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -426,70 +427,81 @@ def _looked_up(batch: pa.RecordBatch, known: Stretches) -> Iterator[tuple[int, l
         lo += len(cuts)
 
 
-def _row_keys(ids: list, texts: list[str]) -> pa.Array:
-    """Tells a document: its id and text."""
-    return pa.array([_digest(t.encode("utf-8", "surrogatepass"), f"{x}/".encode()) for x, t in zip(ids, texts)], type=pa.binary())
+def _row_keys(ids: list, texts: list[bytes]) -> pa.Array:
+    """Tells a document by its id and text. Documents that share a key only share the words that both ask for."""
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(f"{x}/".encode() + t) for x, t in zip(ids, texts)], dtype=np.uint64).view(np.int64))
 
 
 def _gapped_batches(batches: Iterator[pa.RecordBatch], shared_v, shared_f) -> Iterator[pa.RecordBatch]:
-    """id, key, digest, words, pieces (bytes, with a gap for each word that is not broadcast)."""
+    """id, key, digest, words, pieces (bytes, with a gap for each word that is not broadcast), the hashes of the gaps' words in order."""
     known = Stretches(shared_v.value, shared_f.value)
     for batch in batches:
         for lo, texts, at, offs in _looked_up(batch, known):
             ids = batch.column(0).slice(lo, len(texts))
-            ends = known.piece_ends[0]
-            lens = ends[at + 1] - ends[at]
+            ends, rare_ends = known.piece_ends[0], known.rare_ends[0]
+            lens, rare = ends[at + 1] - ends[at], rare_ends[at + 1] - rare_ends[at]
             raw = known.pieces[0][_ranges(ends[at], lens)[0]].tobytes()
             cuts = (np.concatenate(([0], np.cumsum(lens)))[offs] * known.kind.itemsize).tolist()
             words = np.concatenate(([0], np.cumsum(known.word_ends[0][at + 1] - known.word_ends[0][at])))[offs]
+            gaps = np.concatenate(([0], np.cumsum(rare)))[offs].astype(np.int32)
+            raw_texts = [t.encode("utf-8", "surrogatepass") for t in texts]
             cols = [
                 ids,
-                _row_keys(ids.to_pylist(), texts),
-                pa.array([_digest(t.encode("utf-8", "surrogatepass")) for t in texts], type=pa.binary()),
+                _row_keys(ids.to_pylist(), raw_texts),
+                pa.array([_digest(t) for t in raw_texts], type=pa.binary()),
                 pa.array(np.diff(words)),
                 pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], type=pa.binary()),
+                pa.ListArray.from_arrays(pa.array(gaps), pa.array(known.rare[0][_ranges(rare_ends[at], rare)[0]])),
             ]
-            yield pa.record_batch(cols, names=["id", "key", "digest", "n_segments", "pieces"])
+            yield pa.record_batch(cols, names=["id", "key", "digest", "n_segments", "pieces", "gaps"])
 
 
-def _rare_batches(batches: Iterator[pa.RecordBatch], shared_v, shared_f) -> Iterator[pa.RecordBatch]:
-    """key, k, h: the words that are not broadcast, numbered within their document."""
-    known = Stretches(shared_v.value, shared_f.value)
+def _asked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, h: the words that are not broadcast of each document."""
     for batch in batches:
-        for lo, texts, at, offs in _looked_up(batch, known):
-            ends = known.rare_ends[0]
-            lens = ends[at + 1] - ends[at]
-            h = known.rare[0][_ranges(ends[at], lens)[0]]
-            per = np.diff(np.concatenate(([0], np.cumsum(lens)))[offs])
-            k = _ranges(per, per)[1]
-            row = np.repeat(np.arange(len(texts)), per)
-            keys = _row_keys(batch.column(0).slice(lo, len(texts)).to_pylist(), texts)
-            yield pa.record_batch([keys.take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(h)], names=["key", "k", "h"])
+        gaps = batch.column("gaps")
+        lens = gaps.value_lengths().to_numpy(zero_copy_only=False)
+        row, h = np.repeat(np.arange(len(lens)), lens), gaps.flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        first = np.ones(len(h), dtype=bool)
+        first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+        yield pa.record_batch([batch.column("key").take(pa.array(row[first])), pa.array(h[first])], names=["key", "h"])
+
+
+def _filled(pieces: pa.Array, gaps: np.ndarray, h: np.ndarray, lens: np.ndarray, flat: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of documents in one and the documents' offsets in them; words of the hashes ``h`` have ``lens`` pieces each of ``flat``."""
+    a = np.frombuffer(b"".join(pieces.to_pylist()), dtype=kind)
+    size = pc.binary_length(pieces).to_numpy(zero_copy_only=False) // kind.itemsize
+    open_ = a == np.iinfo(kind).max
+    long = np.ones(len(a), dtype=np.int64)
+    starts = np.cumsum(lens) - lens
+    order = np.argsort(h, kind="stable")
+    at = order[np.minimum(np.searchsorted(h, gaps, sorter=order), len(h) - 1)] if len(h) else np.zeros(0, dtype=np.int64)
+    if len(at) != len(gaps) or len(gaps) != np.count_nonzero(open_) or (h[at] != gaps).any():
+        raise ValueError("a word of a document is not among the encoded words")
+    long[open_] = lens[at]
+    place = np.concatenate(([0], np.cumsum(long)))
+    out = np.empty(int(place[-1]), dtype=np.int32)
+    out[place[:-1][~open_]] = a[~open_]
+    source, step = _ranges(starts[at], lens[at])
+    out[np.repeat(place[:-1][open_], lens[at]) + step] = flat[source]
+    return out, place[np.concatenate(([0], np.cumsum(size, dtype=np.int64)))]
 
 
 def _filled_batches(batches: Iterator[pa.RecordBatch], shared_v, names=None) -> Iterator[pa.RecordBatch]:
     """Documents with their gaps filled; with ``names`` (what the pieces stand for) also whether they decode to the whole text."""
     kind = _number_type(shared_v.value)
-    gap = np.iinfo(kind).max
     for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-        out = []
-        for raw, rare in zip(batch.column("pieces").to_pylist(), batch.column("rare").to_pylist()):
-            a = np.frombuffer(raw, dtype=kind)
-            gaps = np.flatnonzero(a == gap)
-            if len(gaps):
-                of = {r["k"]: r["ids"] for r in rare or []}
-                parts, last = [], 0
-                for k, at in enumerate(gaps.tolist()):
-                    parts += [a[last:at].astype(np.int32), np.array(of[k], dtype=np.int32)]
-                    last = at + 1
-                a = np.concatenate([*parts, a[last:].astype(np.int32)])
-            out.append(a.astype(np.int32))
-        offs = np.concatenate(([0], np.cumsum([len(a) for a in out]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *out])))
+        found = batch.column("rare").flatten()
+        h, words = found.field("h").to_numpy(zero_copy_only=False), found.field("ids")
+        lens = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        out, offs = _filled(batch.column("pieces"), batch.column("gaps").flatten().to_numpy(zero_copy_only=False), h, lens, words.flatten().to_numpy(zero_copy_only=False), kind)
+        ids = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(out))
         cols = {"id": batch.column("id"), "n_segments": batch.column("n_segments"), "digest": batch.column("digest"), "ids": ids}
         if names is not None:
-            good = [_digest(decode_ids(a.tolist(), names.value).encode()) == d for a, d in zip(out, batch.column("digest").to_pylist())]
-            cols |= {"n_pieces": pa.array([len(a) for a in out], type=pa.int64()), "round_trip": pa.array(good, type=pa.bool_())}
+            good = [_digest(decode_ids(out[x:y].tolist(), names.value).encode()) == d for x, y, d in zip(offs.tolist(), offs[1:].tolist(), batch.column("digest").to_pylist())]
+            cols |= {"n_pieces": pa.array(np.diff(offs)), "round_trip": pa.array(good, type=pa.bool_())}
             del cols["digest"]
         yield pa.record_batch(list(cols.values()), names=list(cols))
 
@@ -506,10 +518,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     shared_v, shared_f = sc.broadcast(v), sc.broadcast(f)
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("t"))
-    gapped = d.mapInArrow(lambda it: _gapped_batches(it, shared_v, shared_f), f"id {kind}, key binary, digest binary, n_segments bigint, pieces binary")
-    rare = d.mapInArrow(lambda it: _rare_batches(it, shared_v, shared_f), "key binary, k int, h bigint")
-    rare = rare.join(table.filter(~broad).select("h", "ids"), "h").groupBy("key").agg(F.collect_set(F.struct("k", "ids")).alias("rare"))
-    every = gapped.join(rare, "key", "left").select("id", "n_segments", "digest", "pieces", "rare")
+    gapped = d.mapInArrow(lambda it: _gapped_batches(it, shared_v, shared_f), f"id {kind}, key bigint, digest binary, n_segments bigint, pieces binary, gaps array<bigint>")
+    # Texts are looked up once: dealt out by key, the documents both ask for their other words and take them in.
+    gapped = gapped.repartition("key")
+    asked = gapped.mapInArrow(_asked_batches, "key bigint, h bigint").withColumnRenamed("key", "of")
+    rare = asked.join(table.filter(~broad).select("h", "ids"), "h").groupBy("of").agg(F.collect_set(F.struct("h", "ids")).alias("rare"))
+    every = gapped.join(rare, gapped["key"] == rare["of"], "left").select("id", "n_segments", "digest", "pieces", "gaps", "rare")
     if check:
         names = sc.broadcast(piece_bytes(v))
         out = every.mapInArrow(lambda it: _filled_batches(it, shared_v, names), f"id {kind}, n_segments bigint, ids array<int>, n_pieces bigint, round_trip boolean")

@@ -131,3 +131,13 @@ def test_the_digest_is_of_the_pieces_of_encode(spark):
     df = docs(spark, [t for t in awkward() if t is None or len(t) < 20000])
     pieces = {r.doc_id: (r.n_segments, r.n_pieces, r.h, r.round_trip) for r in L.encode(df, check=True).withColumn("h", F.xxhash64("ids")).collect()}
     assert {r.doc_id: (r.n_segments, r.n_pieces, r.ids_sum, r.round_trip) for r in L.encode_digest(df).collect()} == pieces
+
+
+def test_texts_are_looked_up_once(spark):
+    """The documents that ask for words and those that take them in are one exchange."""
+    df = docs(spark, [f"some words w{i}x and q{i}z" for i in range(50)])
+    for check in (True, False):
+        e = L.encode(df, most=2, check=check)
+        assert len(e.collect()) == 50
+        plan = e._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in plan
