@@ -10,8 +10,8 @@ window needs of the one before is its last ``longest`` nodes.
 
 The documents then take the pieces of their words. The most frequent words (at most FREQUENT, each of at most
 FREQUENT_PIECES pieces: that bounds the broadcast, and a histogram of counts finds the threshold) are looked up where the text
-is read; each document asks for its others by their 64-bit hashes, which meet the table of words by a join, and fill the
-gaps of the document. So a word that a third of all rows hold never meets in one task, and texts never move.
+is read; up to ROWS neighbouring documents ask together for their others by their 64-bit hashes, which meet the table of words by a join, and fill the
+gaps of the documents. So a word that a third of all rows hold never meets in one task, and texts never move.
 Whether the pieces of a document decode to its whole text is checked for each document.
 
 Defined cases: a null or empty text has no words and no pieces; a text of white space is a run of pieces; every row gives a
@@ -24,7 +24,6 @@ text would fail its round-trip check.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +39,10 @@ from .pieces import DEFAULT_MODEL, SPACE, Vocabulary, escape, vocabulary
 
 #: Words that are broadcast, and pieces of such a word; a word counts n is in bin floor(BINS * log2(n)).
 FREQUENT, FREQUENT_PIECES, BINS = 1 << 18, 40, 8
-#: Stretches of text between spaces that a task holds, and their characters, before it hands them on or forgets them.
-HELD, HELD_CHARS = 250_000, 1 << 26
-#: Characters of documents that are looked up together (or one document); documents whose pieces a task holds.
-TOGETHER, ROWS = 1 << 20, 256
+#: Words that a task holds, repeats between blocks of documents included, before it counts them together; if half of them are left, they are handed on.
+HELD = 1 << 20
+#: Characters of documents that are looked up together (or one document); documents that ask for words together, and their characters (or one document).
+TOGETHER, ROWS, ROWS_CHARS = 1 << 22, 64, 1 << 18
 #: Tasks that build lattices for each task that reads documents; characters of a window and
 #: windows of a group.
 TASKS, WINDOW, GROUP = 4, 64, 64
@@ -64,6 +63,28 @@ def stretches(text: str) -> list[str]:
     return text.split(" ")
 
 
+def blocks(texts: pa.Array, chars: int, rows: int | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of neighbouring texts with some ``chars`` characters (or one text) and at most ``rows`` rows."""
+    ends, lo = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chars)))
+        hi = min(hi, lo + rows) if rows else hi
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def stretched(texts: pa.Array) -> pa.ListArray:
+    """``stretches`` of each text."""
+    odd = pc.or_(pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")), pc.or_(pc.match_substring(texts, "  "), pc.equal(pc.binary_length(texts), 0)))
+    plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    if len(plain) == len(texts):
+        return plain
+    other = pa.array([stretches(t) for t in texts.filter(odd).to_pylist()], type=plain.type)
+    mask = odd.to_numpy(zero_copy_only=False)
+    place = np.where(mask, len(plain) + np.cumsum(mask), np.cumsum(~mask)) - 1
+    return pa.concat_arrays([plain, other]).take(pa.array(place))
+
+
 class Cutter:
     """Cuts blocks of texts into words: between two characters that no piece holds side by side."""
 
@@ -76,10 +97,11 @@ class Cutter:
         for a, b in pairs:
             self.beside[self.number[a], self.number[b]] = True
 
-    def words(self, stretches: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, stretches: pa.Array) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """The escaped stretches in one, the starts of the words in it (and its length), their hashes, and the offsets of the stretches in the words."""
-        joined = "".join([SPACE + x for x in stretches]).replace(" ", SPACE)
-        at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in stretches], dtype=np.int64)))
+        one = pa.ListArray.from_arrays(pa.array([0, len(stretches)], type=pa.int32()), stretches)
+        joined = (SPACE + pc.binary_join(one, SPACE)[0].as_py()).replace(" ", SPACE) if len(stretches) else ""
+        at = np.concatenate(([0], np.cumsum(pc.utf8_length(stretches).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)))
         text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         number = self.number[text]
         cut = np.ones(len(text) + 1, dtype=bool)
@@ -103,34 +125,38 @@ def _cutter(v: Vocabulary) -> Cutter:
     return _cutters[hash(v)]
 
 
+def _counted(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(hashes, counts, words), each word once."""
+    keys, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    return keys, counts, pa.concat_arrays([p[2] for p in parts]).take(pa.array(first))
+
+
 def _word_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     cutter = _cutter(shared.value)
-    held: Counter[str] = Counter()
-    size = 0
+    none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), pa.array([], type=pa.string()))
+    held = [none]
 
     def out() -> Iterator[pa.RecordBatch]:
-        names, times = list(held), np.fromiter(held.values(), dtype=np.int64, count=len(held))
-        held.clear()
-        words, keys, counts = [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-        for lo in range(0, len(names), TOGETHER // 16):
-            text, starts, h, offs = cutter.words(names[lo : lo + TOGETHER // 16])
-            k, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            keys.append(k)
-            counts.append(np.bincount(inverse, np.repeat(times[lo : lo + TOGETHER // 16], np.diff(offs)), len(k)).astype(np.int64))
-            words += [text[x:y] for x, y in zip(starts[first].tolist(), starts[first + 1].tolist())]
-        _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        found, n = [words[i] for i in first.tolist()], np.bincount(inverse, np.concatenate(counts), len(first)).astype(np.int64)
-        for lo in range(0, len(found), 1 << 14):
-            yield pa.record_batch([pa.array(found[lo : lo + (1 << 14)], type=pa.string()), pa.array(n[lo : lo + (1 << 14)])], names=["seg", "n"])
+        _, n, words = held[0]
+        for lo in range(0, len(n), 1 << 14):
+            yield pa.record_batch([words.slice(lo, 1 << 14), pa.array(n[lo : lo + (1 << 14)])], names=["seg", "n"])
 
     for batch in batches:
-        for t in batch.column(0):
-            text = t.as_py()
-            held.update(stretches(text))
-            size += len(text)
-            if len(held) > HELD or size > HELD_CHARS:
-                yield from out()
-                size = 0
+        for _, texts in blocks(batch.column(0), TOGETHER):
+            found = stretched(texts).flatten().value_counts()
+            times = found.field("counts").to_numpy(zero_copy_only=False)
+            text, starts, h, offs = cutter.words(found.field("values"))
+            keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            counts = np.bincount(inverse, np.repeat(times, np.diff(offs)), len(keys)).astype(np.int64)
+            words = [text[x:y] for x, y in zip(starts[first].tolist(), starts[first + 1].tolist())]
+            held.append((keys, counts, pa.array(words, type=pa.string())))
+            if sum(len(n) for _, n, _ in held) > HELD:
+                held[:] = [_counted(held)]
+                if len(held[0][1]) > HELD // 2:
+                    yield from out()
+                    held[:] = [none]
+    held[:] = [_counted(held)]
     yield from out()
 
 
@@ -293,28 +319,33 @@ def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
 def encoded_words(docs: DataFrame, v: Vocabulary, text_col: str = "text") -> DataFrame:
     """``encode_words`` of all distinct words, as a written table. The number of its tasks follows the input."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TASKS * docs.rdd.getNumPartitions())
-    return written(encode_words(distinct_words(docs, v, text_col, parts), v), "word-pieces")
+    # Two bytes a piece where ids allow it: they are dealt out twice.
+    kind = "smallint" if max(len(piece_bytes(v)) - 1, v.unknown_id) < 1 << 15 else "int"
+    words = encode_words(distinct_words(docs, v, text_col, parts), v)
+    return written(words.withColumn("ids", F.col("ids").cast(f"array<{kind}>")), "word-pieces")
 
 
 class Frequent:
-    """The frequent words: sorted hashes with their pieces."""
+    """The frequent words, numbered from 1 by falling counts, with their pieces."""
 
     def __init__(self, rows: pa.Table):
         h = rows.column("h").to_numpy().astype(np.int64)
-        order = np.argsort(h)
-        self.h = h[order]
+        order = np.lexsort((h, -rows.column("n").to_numpy().astype(np.int64)))
+        place = np.argsort(h[order])
+        self.h, self.number = h[order][place], place + 1
         ids = rows.column("ids").combine_chunks().take(pa.array(order))
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
         self.flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.lens = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(ids) else np.zeros(0, dtype=np.int64)
-        self.offs = np.concatenate(([0], np.cumsum(self.lens)))
+        #: By number; 0 is a word that is not among them.
+        self.lens = np.concatenate(([0], ids.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+        self.offs = np.cumsum(self.lens) - self.lens
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hash, or -1."""
+        """The number of each hash, or 0."""
         if not len(self.h):
-            return np.full(len(h), -1)
+            return np.zeros(len(h), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
+        return np.where(self.h[at] == h, self.number[at], 0)
 
 
 def _bin() -> Column:
@@ -335,76 +366,20 @@ def frequent_bin(table: DataFrame, most: int) -> int:
 def _frequent(table: DataFrame, most: int) -> tuple[Column, Frequent]:
     """Which words are broadcast, and these words."""
     broad = (_bin() >= frequent_bin(table, most)) & (F.size("ids") <= FREQUENT_PIECES)
-    return broad, Frequent(table.filter(broad).select("h", "ids").toArrow())
-
-
-def _number_type(v: Vocabulary) -> np.dtype:
-    """Pieces of a document with gaps: unsigned, the largest number is a gap."""
-    return np.dtype(np.uint16 if max(i for _, i, _ in v.pieces) < 0xFFFF else np.uint32)
-
-
-def _digest(text: bytes, more: bytes = b"") -> bytes:
-    return xxhash.xxh3_128_digest(more + text)
-
-
-class Numbers(dict):
-    """stretch -> its number; ``new`` are those since they were last looked up."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-        self.chars = 0
-
-    def __missing__(self, x: str) -> int:
-        n = self[x] = len(self)
-        self.new.append(x)
-        self.chars += len(x)
-        return n
-
-
-class Stretches:
-    """What a worker knows of the stretches of text that it has met: their pieces, a gap for each word that is not broadcast, and the hashes of these."""
-
-    def __init__(self, v: Vocabulary, f: Frequent):
-        self.cutter, self.f, self.kind, self.gap = _cutter(v), f, _number_type(v), np.iinfo(_number_type(v)).max
-        self.clear()
-
-    def clear(self) -> None:
-        self.number = Numbers()
-        #: Flat values of all stretches with the ends of each: pieces, hashes, numbers of the words (-1: not broadcast).
-        self.pieces, self.piece_ends = [np.zeros(0, dtype=self.kind)], [np.zeros(1, dtype=np.int64)]
-        self.rare, self.rare_ends = [np.zeros(0, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
-        self.words, self.word_ends = [np.zeros(0, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
-
-    def add(self, new: list[str]) -> None:
-        text, starts, h, offs = self.cutter.words(new)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        own = np.array([xxhash.xxh64_intdigest(text[starts[i] : starts[i + 1]].encode("utf-8", "surrogatepass"), 42) for i in first.tolist()], dtype=np.uint64).view(np.int64)
-        number, own = self.f.find(own)[inverse], own[inverse]
-        known = number >= 0
-        lens = np.where(known, self.f.lens[number] if len(self.f.lens) else 1, 1)
-        at = np.concatenate(([0], np.cumsum(lens)))
-        out = np.full(int(at[-1]), self.gap, dtype=self.kind)
-        k = np.flatnonzero(known)
-        if len(k):
-            step = _ranges(lens[k], lens[k])[1]
-            out[np.repeat(at[:-1][k], lens[k]) + step] = self.f.flat[np.repeat(self.f.offs[number[k]], lens[k]) + step]
-        rare_at = np.concatenate(([0], np.cumsum(~known)))
-        for flat, ends, values, cuts in ((self.pieces, self.piece_ends, out, at[offs]), (self.rare, self.rare_ends, own[~known], rare_at[offs]), (self.words, self.word_ends, number, offs)):
-            ends.append(cuts[1:] + ends[-1][-1])
-            flat.append(values)
-
-    def find(self, flat: list[str]) -> np.ndarray:
-        """The number of each stretch; what is new is looked up together."""
-        if len(self.number) > HELD // 2 or self.number.chars > HELD_CHARS // 8:
-            self.clear()
-        at = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        if self.number.new:
-            self.add(self.number.new)
-            self.number.new = []
-            for arrays in (self.pieces, self.piece_ends, self.rare, self.rare_ends, self.words, self.word_ends):
-                arrays[:] = [np.concatenate(arrays)]
-        return at
+    return broad, Frequent(table.filter(broad).select("h", "n", "ids").toArrow())
+
+
+def _digest(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(text)
+
+
+def _found(cutter: Cutter, f: Frequent, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the stretches' words, their hashes, offsets of the stretches in the words)."""
+    text, starts, h, offs = cutter.words(new)
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    words = [text[x:y] for x, y in zip(starts[first].tolist(), starts[first + 1].tolist())]
+    own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words], dtype=np.uint64).view(np.int64)
+    return f.find(own)[inverse], own[inverse], offs
 
 
 def _ranges(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -413,51 +388,52 @@ def _ranges(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts, lens) + step, step
 
 
-def _looked_up(batch: pa.RecordBatch, known: Stretches) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
-    """(first row, texts, number of each stretch, offsets of the texts in the stretches) of documents that are looked up together."""
-    column, lo = batch.column(1), 0
-    while lo < len(column):
-        texts, cuts, size = [], [], 0
-        while lo + len(cuts) < len(column) and (not cuts or size < TOGETHER):
-            texts.append(column[lo + len(cuts)].as_py())
-            cuts.append(stretches(texts[-1]))
-            size += len(texts[-1])
-        offs = np.concatenate(([0], np.cumsum([len(c) for c in cuts], dtype=np.int64)))
-        yield lo, texts, known.find([x for c in cuts for x in c]), offs
-        lo += len(cuts)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of words, compressed byte by byte: the high bytes are mostly zero."""
+    return pa.Codec("zstd", compression_level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
 
 
-def _row_keys(ids: list, texts: list[bytes]) -> pa.Array:
-    """Tells a document by its id and text. Documents that share a key only share the words that both ask for."""
-    return pa.array(np.array([xxhash.xxh3_64_intdigest(f"{x}/".encode() + t) for x, t in zip(ids, texts)], dtype=np.uint64).view(np.int64))
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(packed, 4 * n, asbytes=True) if n else b""
+    return np.frombuffer(raw, dtype=np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _gapped_batches(batches: Iterator[pa.RecordBatch], shared_v, shared_f) -> Iterator[pa.RecordBatch]:
-    """id, key, digest, words, pieces (bytes, with a gap for each word that is not broadcast), the hashes of the gaps' words in order."""
-    known = Stretches(shared_v.value, shared_f.value)
+    """A row for up to ROWS documents: key, their ids, digests and counts of words; the numbers of their words in one (compressed), and the hashes of the words without a number in order.
+
+    The key tells the documents by their ids and texts. Those that share a key only share the words that both ask for.
+    """
+    cutter = _cutter(shared_v.value)
     for batch in batches:
-        for lo, texts, at, offs in _looked_up(batch, known):
-            ids = batch.column(0).slice(lo, len(texts))
-            ends, rare_ends = known.piece_ends[0], known.rare_ends[0]
-            lens, rare = ends[at + 1] - ends[at], rare_ends[at + 1] - rare_ends[at]
-            raw = known.pieces[0][_ranges(ends[at], lens)[0]].tobytes()
-            cuts = (np.concatenate(([0], np.cumsum(lens)))[offs] * known.kind.itemsize).tolist()
-            words = np.concatenate(([0], np.cumsum(known.word_ends[0][at + 1] - known.word_ends[0][at])))[offs]
-            gaps = np.concatenate(([0], np.cumsum(rare)))[offs].astype(np.int32)
-            raw_texts = [t.encode("utf-8", "surrogatepass") for t in texts]
-            cols = [
-                ids,
-                _row_keys(ids.to_pylist(), raw_texts),
-                pa.array([_digest(t) for t in raw_texts], type=pa.binary()),
-                pa.array(np.diff(words)),
-                pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], type=pa.binary()),
-                pa.ListArray.from_arrays(pa.array(gaps), pa.array(known.rare[0][_ranges(rare_ends[at], rare)[0]])),
-            ]
-            yield pa.record_batch(cols, names=["id", "key", "digest", "n_segments", "pieces", "gaps"])
+        for lo, texts in blocks(batch.column(1), TOGETHER):
+            lists = stretched(texts)
+            coded = lists.flatten().dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            number, h, offs = _found(cutter, shared_f.value, coded.dictionary)
+            lens = np.diff(offs)[at]
+            place = _ranges(offs[at], lens)[0]
+            number, h = number[place], h[place]
+            by_text = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))
+            words = np.concatenate(([0], np.cumsum(lens)))[by_text]
+            gaps = np.concatenate(([0], np.cumsum(number == 0)))[words]
+            ids, digests = batch.column(0).slice(lo, len(texts)), [_digest(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()]
+            rows = np.array([first for first, _ in blocks(texts, ROWS_CHARS, ROWS)] + [len(texts)], dtype=np.int32)
+            spans = list(zip(rows.tolist(), rows[1:].tolist()))
+            keys = [xxhash.xxh3_64_intdigest(repr(ids.slice(x, y - x).to_pylist()).encode("utf-8", "surrogatepass") + b"".join(digests[x:y])) for x, y in spans]
+            by_row = lambda values, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+            cols = {
+                "key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
+                "id": by_row(ids, rows),
+                "digest": by_row(pa.array(digests, type=pa.binary()), rows),
+                "n_segments": by_row(pa.array(np.diff(words)), rows),
+                "words": pa.array([_packed(number[words[x] : words[y]]) for x, y in spans], type=pa.binary()),
+                "gaps": by_row(pa.array(h[number == 0]), gaps[rows]),
+            }
+            yield pa.record_batch(list(cols.values()), names=list(cols))
 
 
 def _asked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, h: the words that are not broadcast of each document."""
+    """key, h: the words without a number of the documents of a row."""
     for batch in batches:
         gaps = batch.column("gaps")
         lens = gaps.value_lengths().to_numpy(zero_copy_only=False)
@@ -469,41 +445,51 @@ def _asked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([batch.column("key").take(pa.array(row[first])), pa.array(h[first])], names=["key", "h"])
 
 
-def _filled(pieces: pa.Array, gaps: np.ndarray, h: np.ndarray, lens: np.ndarray, flat: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of documents in one and the documents' offsets in them; words of the hashes ``h`` have ``lens`` pieces each of ``flat``."""
-    a = np.frombuffer(b"".join(pieces.to_pylist()), dtype=kind)
-    size = pc.binary_length(pieces).to_numpy(zero_copy_only=False) // kind.itemsize
-    open_ = a == np.iinfo(kind).max
-    long = np.ones(len(a), dtype=np.int64)
+def _filled(number: np.ndarray, f: Frequent, gaps: np.ndarray, h: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of words in one and the words' offsets in them; those without a number have the hashes ``gaps``, and words of the hashes ``h`` have ``lens`` pieces each of ``flat``."""
+    open_ = number == 0
     starts = np.cumsum(lens) - lens
     order = np.argsort(h, kind="stable")
     at = order[np.minimum(np.searchsorted(h, gaps, sorter=order), len(h) - 1)] if len(h) else np.zeros(0, dtype=np.int64)
     if len(at) != len(gaps) or len(gaps) != np.count_nonzero(open_) or (h[at] != gaps).any():
         raise ValueError("a word of a document is not among the encoded words")
-    long[open_] = lens[at]
-    place = np.concatenate(([0], np.cumsum(long)))
+    size = f.lens[number]
+    size[open_] = lens[at]
+    place = np.concatenate(([0], np.cumsum(size)))
     out = np.empty(int(place[-1]), dtype=np.int32)
-    out[place[:-1][~open_]] = a[~open_]
-    source, step = _ranges(starts[at], lens[at])
-    out[np.repeat(place[:-1][open_], lens[at]) + step] = flat[source]
-    return out, place[np.concatenate(([0], np.cumsum(size, dtype=np.int64)))]
-
-
-def _filled_batches(batches: Iterator[pa.RecordBatch], shared_v, names=None) -> Iterator[pa.RecordBatch]:
-    """Documents with their gaps filled; with ``names`` (what the pieces stand for) also whether they decode to the whole text."""
-    kind = _number_type(shared_v.value)
-    for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-        found = batch.column("rare").flatten()
-        h, words = found.field("h").to_numpy(zero_copy_only=False), found.field("ids")
-        lens = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        out, offs = _filled(batch.column("pieces"), batch.column("gaps").flatten().to_numpy(zero_copy_only=False), h, lens, words.flatten().to_numpy(zero_copy_only=False), kind)
-        ids = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(out))
-        cols = {"id": batch.column("id"), "n_segments": batch.column("n_segments"), "digest": batch.column("digest"), "ids": ids}
-        if names is not None:
-            good = [_digest(decode_ids(out[x:y].tolist(), names.value).encode()) == d for x, y, d in zip(offs.tolist(), offs[1:].tolist(), batch.column("digest").to_pylist())]
-            cols |= {"n_pieces": pa.array(np.diff(offs)), "round_trip": pa.array(good, type=pa.bool_())}
-            del cols["digest"]
-        yield pa.record_batch(list(cols.values()), names=list(cols))
+    for where, pieces, first in ((~open_, f.flat, f.offs[number[~open_]]), (open_, flat, starts[at])):
+        source, step = _ranges(first, size[where])
+        out[np.repeat(place[:-1][where], size[where]) + step] = pieces[source]
+    return out, place
+
+
+def _decoded(ids: np.ndarray, offs: np.ndarray, names: pa.Array) -> list[str]:
+    """The texts of documents whose pieces are ``ids`` between ``offs``."""
+    found = names.take(pa.array(ids))
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)))[offs].tolist()
+    data = memoryview(found.buffers()[2] or b"")
+    return [_text(bytes(data[x:y])) for x, y in zip(ends, ends[1:])]
+
+
+def _filled_batches(batches: Iterator[pa.RecordBatch], shared_f, names=None) -> Iterator[pa.RecordBatch]:
+    """Documents with the pieces of all their words; with ``names`` (what the pieces stand for) also whether they decode to the whole text."""
+    stand_for = pa.array(names.value, type=pa.large_binary()) if names is not None else None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            id_, digest, words, gaps = (batch.column(c)[i].values for c in ("id", "digest", "n_segments", "gaps"))
+            found = batch.column("rare").slice(i, 1).flatten()
+            h, rare = found.field("h").to_numpy(zero_copy_only=False), found.field("ids")
+            ends = np.concatenate(([0], np.cumsum(words.to_numpy(zero_copy_only=False))))
+            number = _unpacked(batch.column("words")[i].as_py(), int(ends[-1]))
+            lens = rare.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            out, place = _filled(number, shared_f.value, gaps.to_numpy(zero_copy_only=False), h, lens, rare.flatten().to_numpy(zero_copy_only=False))
+            offs = place[ends]
+            cols = {"id": id_, "n_segments": words, "digest": digest, "ids": pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(out))}
+            if names is not None:
+                good = [_digest(t.encode()) == d for t, d in zip(_decoded(out, offs, stand_for), digest.to_pylist())]
+                cols |= {"n_pieces": pa.array(np.diff(offs)), "round_trip": pa.array(good, type=pa.bool_())}
+                del cols["digest"]
+            yield pa.record_batch(list(cols.values()), names=list(cols))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = DEFAULT_MODEL, most: int = FREQUENT, check: bool = False) -> DataFrame:
@@ -518,17 +504,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     shared_v, shared_f = sc.broadcast(v), sc.broadcast(f)
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("t"))
-    gapped = d.mapInArrow(lambda it: _gapped_batches(it, shared_v, shared_f), f"id {kind}, key bigint, digest binary, n_segments bigint, pieces binary, gaps array<bigint>")
-    # Texts are looked up once: dealt out by key, the documents both ask for their other words and take them in.
+    schema = f"key bigint, id array<{kind}>, digest array<binary>, n_segments array<bigint>, words binary, gaps array<bigint>"
+    gapped = d.mapInArrow(lambda it: _gapped_batches(it, shared_v, shared_f), schema)
+    # Texts are looked up once: dealt out by key, the documents of a row both ask for their other words and take them in.
     gapped = gapped.repartition("key")
     asked = gapped.mapInArrow(_asked_batches, "key bigint, h bigint").withColumnRenamed("key", "of")
     rare = asked.join(table.filter(~broad).select("h", "ids"), "h").groupBy("of").agg(F.collect_set(F.struct("h", "ids")).alias("rare"))
-    every = gapped.join(rare, gapped["key"] == rare["of"], "left").select("id", "n_segments", "digest", "pieces", "gaps", "rare")
+    every = gapped.join(rare, gapped["key"] == rare["of"], "left").select("id", "n_segments", "digest", "words", "gaps", "rare")
     if check:
         names = sc.broadcast(piece_bytes(v))
-        out = every.mapInArrow(lambda it: _filled_batches(it, shared_v, names), f"id {kind}, n_segments bigint, ids array<int>, n_pieces bigint, round_trip boolean")
+        out = every.mapInArrow(lambda it: _filled_batches(it, shared_f, names), f"id {kind}, n_segments bigint, ids array<int>, n_pieces bigint, round_trip boolean")
     else:
-        out = every.mapInArrow(lambda it: _filled_batches(it, shared_v), f"id {kind}, n_segments bigint, digest binary, ids array<int>")
+        out = every.mapInArrow(lambda it: _filled_batches(it, shared_f), f"id {kind}, n_segments bigint, digest binary, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -545,7 +532,11 @@ def piece_bytes(v: Vocabulary) -> list[bytes]:
 
 def decode_ids(ids: list[int], names: list[bytes]) -> str:
     """The text of pieces; byte pieces in a row are read as UTF-8."""
-    return b"".join([names[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+    return _text(b"".join([names[i] for i in ids]))
+
+
+def _text(joined: bytes) -> str:
+    return joined.decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
 
 def decode(encoded: DataFrame, model_file: str = DEFAULT_MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import sentencepiece_lattice as L
@@ -141,3 +144,30 @@ def test_texts_are_looked_up_once(spark):
         assert len(e.collect()) == 50
         plan = e._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert "ReusedExchange" in plan
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_documents_are_dealt_out_in_fewer_bytes_than_their_texts(v):
+    """Rows for up to ROWS documents hold numbers of words, and a task hands on each of its words once."""
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(words[min(int(r.paretovariate(0.5)), 3000) - 1] for _ in range(300)) for _ in range(1000)]
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(texts)], names=["id", "t"])
+    found = [w for b in L._word_batches(iter([batch.select(["t"])] * 30), Shared(v)) for w in b.column("seg").to_pylist()]
+    assert len(found) == len(set(found))
+    keys = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in found], dtype=np.uint64).view(np.int64)
+    table = pa.table({"h": pa.array(keys[10:]), "n": pa.array(range(len(found) - 10)), "ids": pa.array([[1, 2, 3]] * (len(found) - 10), type=pa.list_(pa.int32()))})
+    out = list(L._gapped_batches(iter([batch]), Shared(v), Shared(L.Frequent(table))))
+    assert sum(b.num_rows for b in out) == -(-1000 // L.ROWS)
+    assert sum(b.nbytes for b in out) < 0.6 * sum(map(len, texts))
+
+
+def test_stretches_of_many_texts_are_those_of_each(v):
+    texts = [t or "" for t in [*awkward(), *long_texts(), "a ▁ b", " a", "a ", " ", "", "a  b c", "a b"]]
+    assert L.stretched(pa.array(texts)).to_pylist() == [L.stretches(t) for t in texts]
+    number = np.array([0, 1, 255, 256, 70_000, 1 << 18, 0])
+    assert L._unpacked(L._packed(number), 7).tolist() == number.tolist() and L._unpacked(L._packed(number[:0]), 0).tolist() == []
