@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phase import Shape, images
+from ..sources.shared import written
 from . import trace
 from .composite import effective_depth, relative_profile
 from .profiles import depth_profile
@@ -139,6 +140,7 @@ def plane_reference(frames: DataFrame, keys: Sequence[str], frame: str, bad: str
     from .registration import iterated_reference
     from .tables import central_frames
 
-    middle = central_frames(frames.select(*keys, frame, bad, px), keys, frame, bad, count)
-    offsets = bidirectional_offset(middle, keys, shape, px)
+    # Read again in every round: ``count`` frames a key, and one number.
+    middle = written(central_frames(frames.select(*keys, frame, bad, px), keys, frame, bad, count), "central-frames")
+    offsets = written(bidirectional_offset(middle, keys, shape, px), "row-offsets")
     return iterated_reference(rows_shifted_back(middle, offsets, keys, shape, px), keys, frame, shape, px, n_best), offsets

@@ -262,7 +262,7 @@ def z_registered_movie(spark, sf):
     """The planes' frames as cycles of a scanner, registered into one movie."""
     from .jobs import register_planes
 
-    d = tables.trim_to_shortest(movie(spark, sf), ["plane"], "frame").select("plane", "frame", "bad", "px")
+    d = written(tables.trim_to_shortest(movie(spark, sf), ["plane"], "frame").select("plane", "frame", "bad", "px"), "movie")
     return pixels(register_planes(d, SHAPE, 16, n_best=5)["movie"], "frame", "plane")
 
 

@@ -48,7 +48,7 @@ def register_planes(frames: DataFrame, shape: Shape, count: int, weights: Sequen
     number = F.create_map(*[F.lit(x) for pair in at.items() for x in pair])
     d = frames.filter(F.col("plane").isin(list(at))).select(number[F.col("plane")].cast("int").alias("plane"), "frame", F.coalesce("bad", F.lit(False)).alias("bad"), "px")
     references, offsets = extraction.plane_reference(d, ["plane"], "frame", "bad", shape, count, n_best=n_best)
-    d = extraction.rows_shifted_back(d, offsets, ["plane"], shape)
+    d = written(extraction.rows_shifted_back(d, offsets, ["plane"], shape), "frames")
     aligned, _ = registration.aligned_references(references, [], "plane", shape, limit=limit)
     aligned = written(aligned, "aligned-references")
     found = written(image.register(d.drop("bad"), aligned.withColumnRenamed("plane", "ref"), shape, limit=limit).withColumnRenamed("peak", "corr"), "plane-shifts")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import planes
+from tessera.operators import extraction, planes
 from tessera.plans import catalogue, imaging, jobs, run
 
 from .test_registration import loop_reference, one_shift, scene
@@ -198,3 +198,16 @@ def test_unreadable_manifests_stand(spark, tmp_path):
     ran = []
     sets = [{"ds": "a", "output": "/out/a"}]
     assert run.run_all(spark, sets, "w", lambda *_: ran.append(1), str(m)) == {"a": "refused"} and not ran
+
+
+def test_all_frames_are_not_read_in_every_round_of_a_reference(spark, sf):
+    d = imaging.movie(spark, sf).select("plane", "frame", "bad", "px")
+    reads, n = spark.sparkContext.accumulator(0), d.count()
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    extraction.plane_reference(d.mapInArrow(counted, d.schema), ["plane"], "frame", "bad", (8, 8), 16, n_best=5)[0].collect()
+    assert n <= reads.value <= 3 * n
