@@ -95,11 +95,11 @@ def missing_parts(expected: DataFrame, present: DataFrame, keys: Sequence[str])
     return expected.join(present.select(*keys), list(keys), "left_anti")
 
 
-def scanner_paths(samples: DataFrame, frames: DataFrame, samples_per_frame: int, smooth_width: int, t: str = "t_s", value: str = "volts", block: int = 1 << 18, uncovered: str = "raise") -> DataFrame:
+def scanner_paths(samples: DataFrame, frames: DataFrame, samples_per_frame: int, smooth_width: int, t: str = "t_s", value: str = "volts", block: int = 1 << 18) -> DataFrame:
     """frame columns, offset, v: the smoothed samples from the first at or after each frame's time ``_c`` on.
 
     Samples are numbered and cut into blocks that overlap by what a frame and the kernel reach; beyond the ends of the recording there are zeros
-    for the kernel, and a frame whose samples it does not have fails the query, or goes (``uncovered="drop"``).
+    for the kernel, and a frame whose samples it does not have fails the query.
     """
     weights = np.array(hanning(smooth_width))
     half = len(weights) // 2
@@ -120,10 +120,8 @@ def scanner_paths(samples: DataFrame, frames: DataFrame, samples_per_frame: int,
         x = x.sort_values("_i")
         smooth = np.convolve(np.pad(x["_v"].to_numpy(), (half, len(weights) - 1 - half)), weights[::-1], mode="valid") if len(x) else np.zeros(0)
         first = np.searchsorted(x["_t"].to_numpy(), f["_c"].to_numpy(), side="left")
-        there = first + samples_per_frame <= len(smooth)
-        if not there.all() and uncovered == "raise":
+        if (first + samples_per_frame > len(smooth)).any():
             raise ValueError("samples do not cover a complete frame")
-        f, first = f[there], first[there]
         out = f[names].loc[f.index.repeat(samples_per_frame)].reset_index(drop=True)
         out["offset"] = np.tile(np.arange(samples_per_frame), len(f))
         out["v"] = smooth[(first[:, None] + np.arange(samples_per_frame)[None, :]).ravel()] if len(f) else np.zeros(0)
@@ -138,10 +136,9 @@ def numbered_clock(clock: DataFrame, t: str = "t_s") -> DataFrame:
 
 
 def counted_frames(clock: DataFrame, n: int, planes: int) -> DataFrame:
-    """_c, plane of the frames that a mean cycle is made of: not the first cycle nor the last frame, strided to some 1000 cycles of long recordings."""
-    stride = max(1, round(n / planes / 1000))
-    c = clock.filter((F.col("frame") >= planes) & (F.col("frame") < n - 1)).filter(F.expr(f"(frame div {planes} - 1) % {stride} = 0"))
-    return c.select("_c", (F.col("frame") % planes).alias("plane"))
+    """_c, plane, cycle of the frames that a mean cycle is made of: not the first cycle nor the last frame."""
+    c = clock.filter((F.col("frame") >= planes) & (F.col("frame") < n - 1))
+    return c.select("_c", (F.col("frame") % planes).alias("plane"), F.expr(f"frame div {planes}").alias("cycle"))
 
 
 def mean_cycle(paths: DataFrame, volts_per_micron: float) -> DataFrame:
@@ -151,29 +148,32 @@ def mean_cycle(paths: DataFrame, volts_per_micron: float) -> DataFrame:
 
 
 def piezo_cycle(samples: DataFrame, clock: DataFrame, planes: int, samples_per_frame: int, smooth_width: int, volts_per_micron: float, t: str = "t_s", value: str = "volts", block: int = 1 << 18) -> DataFrame:
-    """plane, offset, depth_um: the scanner's mean path during each plane's frames, from its lowest point."""
+    """plane, offset, depth_um: the scanner's mean path during each plane's frames, from its lowest point; strided to some 1000 cycles of long recordings."""
     c = numbered_clock(clock, t)
-    return mean_cycle(scanner_paths(samples, counted_frames(c, c.count(), planes), samples_per_frame, smooth_width, t, value, block), volts_per_micron)
+    n = c.count()
+    stride = max(1, round(n / planes / 1000))
+    frames = counted_frames(c, n, planes).filter((F.col("cycle") - 1) % stride == 0)
+    return mean_cycle(scanner_paths(samples, frames, samples_per_frame, smooth_width, t, value, block), volts_per_micron)
 
 
 def depth_errors(samples: DataFrame, clock: DataFrame, estimates: DataFrame, planes: int, samples_per_frame: int, smooth_width: int, volts_per_micron: float, spacing: float, end: float = 180.0, t: str = "t_s", value: str = "volts", block: int = 1 << 18) -> DataFrame:
     """plane, rmse, n, shared_offset: estimated depths against where the scanner was, in micrometres, by plane and (plane missing) over all.
 
-    estimates: plane, cycle (from 0), z in slices, ``spacing`` micrometres apart. A cycle's drift is the median of what its frames' samples differ from
+    estimates: plane, cycle (from 0), z in slices, ``spacing`` micrometres apart. The mean cycle is that of all frames but the first cycle's and the last
+    one, however long the recording; samples that do not cover one of them fail the query. A cycle's drift is the median of what its frames' samples differ from
     the mean cycle, about the median of all cycles; it lies at the middle of the cycle and runs on lines in between, and is not known before
     the first or after the last. Up to ``end`` seconds, one offset that all planes share (the median of their median differences) is taken off the estimates.
-    A plane without a complete pair fails the query. The first cycle has no drift of its own; a cycle that the samples do not cover has none either.
+    A plane without a complete pair fails the query. The first cycle has no drift of its own.
     """
     c = numbered_clock(clock, t)
     n = c.count()
-    template = written(mean_cycle(scanner_paths(samples, counted_frames(c, n, planes), samples_per_frame, smooth_width, t, value, block), volts_per_micron), "template")
+    paths = written(scanner_paths(samples, counted_frames(c, n, planes), samples_per_frame, smooth_width, t, value, block), "paths")
+    template = written(mean_cycle(paths, volts_per_micron), "template")
     last = (n - planes - 1) // planes  # cycles 1 .. last have all their frames and one after them
     cycle = F.expr(f"frame div {planes}")
-    whole = c.filter(cycle.between(1, last)).select("_c", (F.col("frame") % planes).alias("plane"), cycle.alias("cycle"))
-    paths = scanner_paths(samples, whole, samples_per_frame, smooth_width, t, value, block, uncovered="drop")
     # Planes x offsets rows.
-    apart = paths.join(F.broadcast(template), ["plane", "offset"]).withColumn("_r", F.col("v") / volts_per_micron - F.col("depth_um"))
-    drift = apart.groupBy("cycle").agg(F.percentile("_r", 0.5).alias("drift"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == planes * samples_per_frame).drop("_n")
+    apart = paths.filter(F.col("cycle") <= last).join(F.broadcast(template), ["plane", "offset"]).withColumn("_r", F.col("v") / volts_per_micron - F.col("depth_um"))
+    drift = apart.groupBy("cycle").agg(F.percentile("_r", 0.5).alias("drift"))
     starts = c.filter(F.col("frame") % planes == 0).select(cycle.alias("cycle"), F.col("_c").alias("at"))
     following = starts.select((F.col("cycle") - 1).alias("cycle"), F.col("at").alias("_next"))
     middle = drift.join(starts, "cycle").join(following, "cycle").select("cycle", ((F.col("at") + F.col("_next")) / 2).alias("x"), "drift")

@@ -162,6 +162,32 @@ def test_depth_against_the_scanner(spark):
     failing(composite.depth_errors(samples, frames, estimates.withColumn("z", F.when(F.col("plane") != 1, F.col("z"))), 3, 10, 9, 0.25, 2.0, end=3.0), "plane 1")
 
 
+def test_depth_against_every_cycle_of_a_long_recording(spark):
+    """The mean cycle is that of all cycles, also where every second one would make some 1000; by NumPy."""
+    planes, spf, cycles = 2, 2, 1601
+    r = np.random.default_rng(8)
+    v = np.array([[0, 2], [3, 7]]) + r.normal(size=(cycles, planes, spf))
+    v[::2, 1] += 6  # planes lie apart in every second cycle
+    t = 0.5 + np.arange(v.size)
+    clock = t[::spf]
+    z = 3 + np.arange(planes)[:, None] + r.normal(size=(planes, cycles))
+    template = np.array([v[1:, 0].mean(axis=0), v[1:-1, 1].mean(axis=0)])
+    template -= template.min()
+    drift = np.median((v - template)[1:-1].reshape(cycles - 2, -1), axis=1)
+    moved = np.interp(clock[::planes], (clock[planes:-planes:planes] + clock[2 * planes :: planes]) / 2, drift - np.median(drift), left=np.nan, right=np.nan)
+    error = z - np.median(template, axis=1)[:, None] - moved
+    shared = np.median(np.nanmedian(error, axis=1))
+    samples = spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, v.ravel())], "t_s double, volts double").repartition(4)
+    frames = spark.createDataFrame([(float(x),) for x in clock], "t_s double").repartition(3)
+    estimates = spark.createDataFrame([(p, c, float(z[p, c])) for p in range(planes) for c in range(cycles)], "plane int, cycle int, z double")
+    run = lambda s: composite.depth_errors(s, frames, estimates, planes, spf, 1, 1.0, 1.0, end=1e9, block=500).collect()
+    got = {x.plane: x for x in run(samples)}
+    for p, e in ((0, error[0] - shared), (1, error[1] - shared), (None, error - shared)):
+        assert got[p].rmse == pytest.approx(np.sqrt(np.nanmean(e**2)), abs=1e-9) and got[p].n == np.isfinite(e).sum() and got[p].shared_offset == pytest.approx(shared, abs=1e-9)
+    with pytest.raises(Exception, match="do not cover"):  # the frames of the last cycle, which a stride leaves out
+        run(samples.filter(F.col("t_s") < float(t[-planes * spf])))
+
+
 def events(spark, sf):
     out = []
     for r in spark.read.parquet(f"{sf}/events.parquet").orderBy("ts").collect():
